@@ -167,9 +167,10 @@ def fit_varying_beta(
 
     Slopes, second-level effects, phi and all intercepts move in joint scoring steps. Rows
     are summed to one record a group; the intercepts, a distributed table, drop out of the
-    joint system by a Schur complement that Spark sums over groups. After each step sigma
-    takes its expectation-maximisation update with the approximate variance of each
-    intercept. Draws hold sigma at its estimate.
+    joint system by a Schur complement that Spark sums over groups. sigma takes a scoring
+    step of its own each time, in which the intercept a group's rows ask for is normal around
+    ``w'delta`` with variance ``sigma^2`` plus its sampling variance. Draws hold sigma at its
+    estimate.
     """
     k = len(names)
     L, R = second.n_z, len(second.regions)
@@ -254,34 +255,36 @@ def fit_varying_beta(
         kappa = own[:, 1] + 1.0 / sigma2
         v = np.column_stack([own[:, 2:], -w / sigma2])
         ga = own[:, 0] - gap / sigma2
-        return w, a, gap, kappa, v, ga
+        # Working intercept, what the group's own rows ask for, and its spread around w'delta.
+        away = gap + own[:, 0] / own[:, 1]
+        return w, a, gap, kappa, v, ga, away, sigma2 + 1.0 / own[:, 1]
 
-    steps, done = 0, False
-    half_log = 0.5 * np.log(sigma2)
+    log_sigma, state = 0.5 * np.log(sigma2), None
     for steps in range(1, max_steps + 1):
-        summed = materialise(row_pass(psi, table))
-        globals_ = np.zeros(hyper)
-        for r in summed.where(F.col("pos") >= 0).select("pos", "v0").collect():
-            globals_[r["pos"]] = r["v0"]
-        state = summed.where(F.col("pos") < 0).drop("pos").join(table, group)
+        # One stored table a step: sums of the data by group next to the group's own row,
+        # and the sums over all rows (pos >= 0), which match no group.
+        state = materialise(row_pass(psi, table).join(table, group, "left"))
+        overall = np.zeros(hyper)
+        for r in state.where(F.col("pos") >= 0).select("pos", "v0").collect():
+            overall[r["pos"]] = r["v0"]
+        state = state.where(F.col("pos") < 0).drop("pos")
 
         def kernel(batch: pa.RecordBatch, delta=delta, sigma2=sigma2) -> np.ndarray:
-            w, _, gap, kappa, v, ga = pieces(batch, delta, sigma2)
+            w, _, gap, kappa, v, ga, away, spread = pieces(batch, delta, sigma2)
             vk = v / kappa[:, None]
             return np.concatenate([
                 (vk.T @ v).ravel(), vk.T @ ga, (w.T @ w).ravel(), w.T @ gap,
-                [gap @ gap + (1.0 / kappa).sum()],
+                [((away / spread) ** 2 - 1.0 / spread).sum(), (spread**-2).sum()],
             ])
 
-        width = q * q + q + d * d + d + 1
+        width = q * q + q + d * d + d + 2
         got = small_vector(block_sums(state, kernel, width), width)
-        cut = np.cumsum([q * q, q, d * d, d])
-        vv, vg, ww, wg, spread = np.split(got, cut)
+        vv, vg, ww, wg, var = np.split(got, np.cumsum([q * q, q, d * d, d]))
         info = np.zeros((q, q))
-        info[:p, :p] = globals_[1 + p :].reshape(p, p)
+        info[:p, :p] = overall[1 + p :].reshape(p, p)
         info[p:, p:] = ww.reshape(d, d) / sigma2 + np.diag(prior)
-        score = np.concatenate([globals_[1 : 1 + p], wg / sigma2 - prior * delta])
-        score[p - 1] += 1.0
+        score = np.concatenate([overall[1 : 1 + p], wg / sigma2 - prior * delta])
+        score[p - 1] += 1.0  # a flat phi on the log scale
         schur = info - vv.reshape(q, q)
         # Second-level columns may be collinear in few groups; the tiny ridge only steadies.
         schur[np.diag_indices(q)] *= 1.0 + 1e-10
@@ -291,7 +294,7 @@ def fit_varying_beta(
 
         def step(batches, delta=delta, sigma2=sigma2, move=move):
             for batch in batches:
-                _, a, _, kappa, v, ga = pieces(batch, delta, sigma2)
+                _, a, _, kappa, v, ga, _, _ = pieces(batch, delta, sigma2)
                 moved = a + np.clip((ga - v @ move) / kappa, -3.0, 3.0)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(group), batch.column("z"), batch.column("region_index"),
@@ -299,18 +302,20 @@ def fit_varying_beta(
                     names=[group, "z", "region_index", "a"],
                 )
 
-        table = materialise(state.mapInArrow(
+        table = state.mapInArrow(
             step, f"`{group}` {key_type}, z array<double>, region_index int, a double"
-        ))
+        )
         psi, delta = psi + move[:p], delta + move[p:]
-        fresh = 0.5 * np.log(max(spread[0] / j, 1e-10))
-        moved_sigma, half_log = abs(fresh - half_log), fresh
-        sigma2 = float(np.exp(2.0 * half_log))
-        if np.abs(move).max() < tolerance and moved_sigma < tolerance * 10:
-            done = True
+        # Score and information of log sigma; a flat sigma adds 1 on the log scale.
+        change = (sigma2 * var[0] + 1.0) / (2.0 * sigma2**2 * var[1] + 1.0)
+        change = float(np.clip(change, -1.0, 1.0))
+        log_sigma += change
+        sigma2 = float(np.exp(2.0 * log_sigma))
+        if np.abs(move).max() < tolerance and abs(change) < tolerance * 10:
             break
-    if not done and steps == max_steps:
+    else:
         raise RuntimeError("varying-intercept beta regression did not converge")
+    half_log = log_sigma
 
     low = np.linalg.cholesky(schur)
     mode = np.concatenate([psi, delta])
