@@ -29,8 +29,8 @@ NUISANCE = r"^beta\[(1[4-9]|20|21)\]$"
 
 
 @query("posterior_terms", TERMS_SQL + """
-SELECT fit, pos, term, round(estimate, 3) AS estimate, round(lo, 3) AS lo, round(hi, 3) AS hi
-FROM s
+SELECT fit, pos, term, round(estimate, 3) + 0.0 AS estimate, round(lo, 3) + 0.0 AS lo,
+  round(hi, 3) + 0.0 AS hi FROM s  -- adding 0 turns -0.0 into 0.0
 """)
 def terms(t: Tables):
     return posterior_terms(draws(t), drop=NUISANCE, rounding=F.round)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -205,8 +206,9 @@ def kde(
 ) -> DataFrame:
     """Gaussian kernel density of a sample on a grid: ``(x, density)``.
 
-    The default bandwidth is ``0.9 * min(sd, IQR/1.34) * n**-0.2``. The grid is a short
-    array constant; its terms are summed in the task that reads the row, so only one row
+    The default bandwidth is ``0.9 * min(sd, IQR/1.34) * n**-0.2``. Equal values are
+    counted first, so a value that many rows share is evaluated once. The grid is a short
+    array constant; its terms are summed in the task that holds the value, so only one row
     for each grid point leaves a task.
     """
     sample = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
@@ -220,16 +222,18 @@ def kde(
             0.9 * F.least("sd", (F.col("q3") - F.col("q1")) / 1.34)
             * F.pow(F.col("n"), F.lit(-0.2))
         ).alias("h"))
-        sample = attach_row(sample, h, ["h"])
+    values = sample.groupBy("v").agg(F.count("*").alias("c"))
+    if bandwidth is None:
+        values = attach_row(values, h, ["h"])
     else:
-        sample = sample.withColumn("h", F.lit(float(bandwidth)))
+        values = values.withColumn("h", F.lit(float(bandwidth)))
     u = (F.col("v") - F.col("x")) / F.col("h")
     points = F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias("x")
     return (
-        sample.select("v", "h", points)
+        values.select("v", "c", "h", points)
         .groupBy("x")
-        .agg(F.avg(F.exp(-0.5 * u * u) / (F.col("h") * (2 * 3.141592653589793) ** 0.5))
-             .alias("density"))
+        .agg((F.sum(F.col("c") * F.exp(-0.5 * u * u) / (F.col("h") * (2 * math.pi) ** 0.5))
+              / F.sum("c")).alias("density"))
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from hinterland.functions.geo import EARTH_RADIUS_M, great_circle, unit_vector
 from hinterland.sources.checkpoint import materialise
 
-_SCRATCH_PAIRS = 2_000_000  # pairs held at once by one task (16 MB a temporary)
+_SCRATCH_PAIRS = 65_536  # pairs computed at once, so that temporaries stay in cache
 
 
 def popdist_weighted_mean(
@@ -78,24 +78,34 @@ def popdist_weighted_mean(
         + [T.StructField(s, T.DoubleType()) for s in sums]
     )
     columns = out_schema.fieldNames()
-    half_radius_power = float(decay)
+    power = float(decay)
 
     def cell_sums(xp: pd.DataFrame, yp: pd.DataFrame) -> pd.DataFrame:
         if xp.empty or yp.empty:
             return pd.DataFrame(columns=columns)
-        ya = yp[["_ux", "_uy", "_uz"]].to_numpy(float)
+        ya = np.ascontiguousarray(yp[["_ux", "_uy", "_uz"]].to_numpy(float).T)
         parts = yp[sums].fillna(0.0).to_numpy(float)
         xa = xp[["_ux", "_uy", "_uz"]].to_numpy(float)
         total = np.empty((len(xa), len(sums)))
-        step = max(1, _SCRATCH_PAIRS // len(ya))
+        step = max(1, _SCRATCH_PAIRS // len(parts))
+        gap, d = np.empty((step, len(parts))), np.empty((step, len(parts)))
         for i in range(0, len(xa), step):
-            chord2 = np.zeros((min(step, len(xa) - i), len(ya)))
+            block = xa[i : i + step]
+            g, w = gap[: len(block)], d[: len(block)]
+            w[:] = 0.0
             for axis in range(3):
-                gap = xa[i : i + step, axis, None] - ya[None, :, axis]
-                chord2 += gap * gap
-            d = 2.0 * EARTH_RADIUS_M * np.arcsin(np.minimum(np.sqrt(chord2) / 2.0, 1.0))
-            np.maximum(d, min_dist, out=d)
-            total[i : i + step] = (d**-half_radius_power) @ parts
+                np.subtract(block[:, axis, None], ya[axis], out=g)
+                np.multiply(g, g, out=g)
+                np.add(w, g, out=w)
+            # From squared chord to metres along the sphere, then to weights.
+            np.sqrt(w, out=w)
+            np.arcsin(np.minimum(w / 2.0, 1.0, out=w), out=w)
+            np.maximum(w * (2.0 * EARTH_RADIUS_M), min_dist, out=w)
+            if power == 2.0:
+                np.divide(1.0, np.multiply(w, w, out=w), out=w)
+            else:
+                np.power(w, -power, out=w)
+            total[i : i + step] = w @ parts
         out = xp[[*by, x_id]].reset_index(drop=True)
         out[sums] = total
         return out[columns]
