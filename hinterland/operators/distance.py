@@ -70,7 +70,9 @@ def popdist_weighted_mean(
     key = [*by, "x_cell", "y_cell"]
     n = partitions or max(spark.sparkContext.defaultParallelism, _shuffle_partitions(spark))
     # An explicit count keeps AQE from merging cells that are small in bytes but long to run.
-    x_cells, y_cells = x_cells.repartition(n, *key), y_cells.repartition(n, *key)
+    # Fresh aliases keep the two sides apart when they come from one table.
+    x_cells = x_cells.select([F.col(c).alias(c) for c in x_cells.columns]).repartition(n, *key)
+    y_cells = y_cells.select([F.col(c).alias(c) for c in y_cells.columns]).repartition(n, *key)
 
     out_schema = T.StructType(
         [x.schema[c] for c in by]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,27 +21,29 @@ def keyed_join(
     how: str = "left",
     null_safe: bool = False,
 ) -> DataFrame:
-    """Equi-join on shared names; with ``null_safe`` a NULL key matches a NULL key."""
+    """Equi-join on shared names; with ``null_safe`` a NULL key matches a NULL key.
+    Columns of the left side keep their order and come first."""
     on = list(on)
+    semi = how in ("left_semi", "left_anti")
+    added = [] if semi else [c for c in right.columns if c not in on]
     if not null_safe:
-        return left.join(right, on, how)
+        return left.join(right, on, how).select(*left.columns, *added)
     l, r = left.alias("_l"), right.alias("_r")
     same = reduce(
         lambda a, b: a & b, [F.col(f"_l.`{k}`").eqNullSafe(F.col(f"_r.`{k}`")) for k in on]
     )
     joined = l.join(r, same, how)
-    if how in ("left_semi", "left_anti"):
+    if semi:
         return joined
-    if how == "right":
-        keys = [F.col(f"_r.`{k}`").alias(k) for k in on]
-    elif how in ("full", "outer", "full_outer"):
-        keys = [F.coalesce(F.col(f"_l.`{k}`"), F.col(f"_r.`{k}`")).alias(k) for k in on]
-    else:
-        keys = [F.col(f"_l.`{k}`").alias(k) for k in on]
+
+    def key(k: str) -> Column:
+        a, b = F.col(f"_l.`{k}`"), F.col(f"_r.`{k}`")
+        # Where only one side has the row, its key is the key.
+        return {"left": a, "inner": a, "right": b}.get(how, F.coalesce(a, b)).alias(k)
+
     return joined.select(
-        *keys,
-        *[F.col(f"_l.`{c}`") for c in left.columns if c not in on],
-        *[F.col(f"_r.`{c}`") for c in right.columns if c not in on],
+        *[key(c) if c in on else F.col(f"_l.`{c}`") for c in left.columns],
+        *[F.col(f"_r.`{c}`") for c in added],
     )
 
 
@@ -87,13 +89,13 @@ def join_renamed(
 ) -> DataFrame:
     """Join ``left.k == right.v`` for each pair; the left name survives."""
     renamed = right.withColumnsRenamed({v: k for k, v in keys.items()})
-    return left.join(renamed, list(keys), how)
+    return keyed_join(left, renamed, list(keys), how)
 
 
 def members(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
     """Rows whose key occurs in another table, each kept once."""
     pool = other.select(F.col(other_key or key).alias(key))
-    return df.join(pool, key, "left_semi")
+    return keyed_join(df, pool, [key], "left_semi")
 
 
 def attach_row(df: DataFrame, row: DataFrame, columns: Sequence[str]) -> DataFrame:

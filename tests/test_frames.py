@@ -86,7 +86,7 @@ def test_joins(spark):
     a = spark.createDataFrame([(1, 10), (2, 20)], "k int, g int")
     b = spark.createDataFrame([(1, "b1")], "k int, b string")
     c = spark.createDataFrame([(20, "c20")], "g int, c string")
-    assert natural_left_join(a, b, c).columns == ["g", "k", "b", "c"]
+    assert natural_left_join(a, b, c).columns == ["k", "g", "b", "c"]
     with pytest.raises(ValueError):
         natural_left_join(b, c)
     assert left_chain(a, [b, b.withColumnRenamed("b", "b2")], "k").count() == 2
