@@ -260,7 +260,12 @@ def fit_varying_normal(
         got = small_vector(block_sums(table, products(rhos), len(rhos) * width), len(rhos) * width)
         got = got.reshape(len(rhos), width)
         full = base + got[:, :-2].reshape(len(rhos), p + 1, p + 1)
-        centre, logs = _grid_posterior(full, got[:, -2], rhos, m.n, prior)
+        try:
+            centre, logs = _grid_posterior(full, got[:, -2], rhos, m.n, prior)
+        except np.linalg.LinAlgError as error:
+            raise ValueError(
+                "design or second-level columns are constant or collinear"
+            ) from error
         return full, centre, logs, int(round(got[0, -1]))
 
     coarse = 10.0 ** np.linspace(-7, 4, 45)

@@ -67,18 +67,20 @@ def model_rows(panel: DataFrame) -> DataFrame:
     )
 
 
-def second_level(rows: DataFrame, average: bool = False) -> GroupLevel:
+def second_level(
+    rows: DataFrame, average: bool = False, covariates: Sequence[str] = SECOND_LEVEL
+) -> GroupLevel:
     """State covariates: those of a state's first row in (unit, year) order, or their mean
     over its rows."""
-    columns = ["stfips", *SECOND_LEVEL, "region"]
+    columns = ["stfips", *covariates, "region"]
     if average:
         states = rows.groupBy("stfips").agg(
-            *[F.avg(c).alias(c) for c in SECOND_LEVEL], F.min("region").alias("region")
+            *[F.avg(c).alias(c) for c in covariates], F.min("region").alias("region")
         )
     else:
         states = first_per_key(rows.select(*columns, "unitid", "year"), ["stfips"],
                                ["unitid", "year"]).select(*columns)
-    return group_level(states, "stfips", SECOND_LEVEL, "region")
+    return group_level(states, "stfips", covariates, "region")
 
 
 def fit_grid(

@@ -174,7 +174,7 @@ def test_analysis_panel(built, spark):
 def test_models_run_on_the_panel(built):
     rows = models.model_rows(built["panel"])
     assert {f"rucc_{k}" for k in models.RUCC} < set(rows.columns)
-    second = models.second_level(rows)
+    second = models.second_level(rows, covariates=["appropfte_t"])
     assert second.table.count() == 4 and second.regions == [1, 2]
     specs = [models.FitSpec("sl", "normal", "full", m) for m in ("download", "upload", "pcount",
                                                                  "all")]
@@ -192,9 +192,13 @@ def test_models_run_on_the_panel(built):
     assert len(models.FIRST_LEVEL["full"]) == 19 and len(models.FIRST_LEVEL["sens"]) == 22
 
 
-def test_average_second_level(built):
+def test_second_level(built):
     rows = models.model_rows(built["panel"])
-    assert models.second_level(rows, average=True).table.count() == 4
+    second = models.second_level(rows, average=True)
+    assert second.table.count() == 4 and second.n_z == 4
+    with pytest.raises(ValueError, match="collinear"):  # four covariates, four states
+        models.fit_grid({"full": rows}, [models.FitSpec("vi", "normal", "full", "download")],
+                        {"normal": "lefdesom"}, {"full": ["twoyr"]}, second={"full": second})
 
 
 def physical(df):
