@@ -245,7 +245,7 @@ def quantiles(
     names: Sequence[str] | None = None,
     extra: Mapping[str, Callable[[Column], Column]] | None = None,
     largest: int | None = None,
-    in_memory: int = 200_000,
+    in_memory: int = 50_000,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation (type 7), NULL values skipped.
 
