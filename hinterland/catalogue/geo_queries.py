@@ -3,14 +3,15 @@
 from pyspark.sql import functions as F
 
 from hinterland.catalogue.registry import (
-    Tables, query, rounded, sql_metres, sql_point, with_point,
+    Tables, query, rounded, sql_half_up, sql_metres, sql_point, with_point,
 )
-from hinterland.functions import distance_weight, great_circle
+from hinterland.functions import distance_weight, great_circle, zero_pad
 from hinterland.operators.aggregates import weighted_mean
 from hinterland.operators.distance import nearest_join, popdist_weighted_mean
 from hinterland.operators.frame import derive
 from hinterland.operators.joins import attach_row
 from hinterland.operators.regions import neighbour_set, points_in_polygons, segments, vertex_join
+from hinterland.plans.measures import merged_measures
 
 MILES = 0.000621371  # fixed value: miles in a metre
 
@@ -153,6 +154,48 @@ def distance_weights(t: Tables):
     )
 
 
+def sql_rollup(status: str) -> str:
+    return f"""
+  SELECT substr(lpad(CAST(l_orderkey AS VARCHAR), 15, '0'), 1, 14) AS fips,
+    CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS mcount,
+    count(DISTINCT l_suppkey) AS pcount,
+    {sql_half_up('avg(CAST(l_quantity AS INTEGER))', 3)} AS download,
+    {sql_half_up('avg(CAST(round(l_tax * 100) AS INTEGER))', 3)} AS upload
+  FROM lineitem WHERE l_linestatus = '{status}' GROUP BY 1, 2"""
+
+
+@query("measure_pipeline", f"""
+WITH p AS ({sql_rollup('O')} UNION ALL {sql_rollup('F')}),
+m AS (SELECT fips, year, sum(pcount) AS pcount,
+    {sql_half_up('sum(mcount * download) / sum(mcount)', 3)} AS download,
+    {sql_half_up('sum(mcount * upload) / sum(mcount)', 3)} AS upload
+  FROM p GROUP BY fips, year),
+y AS (SELECT *, {sql_point('CAST(fips AS BIGINT)')} FROM m),
+x AS (SELECT s_suppkey, {sql_point('s_suppkey')} FROM supplier)
+SELECT year, s_suppkey, round(sum(download * pop * w) / sum(pop * w), 4) AS pdw2_download,
+  round(sum(upload * pop * w) / sum(pop * w), 4) AS pdw2_upload,
+  round(sum(pcount * pop * w) / sum(pop * w), 4) AS pdw2_pcount
+FROM (SELECT x.s_suppkey, y.*, power(greatest({sql_metres('x', 'y')}, 1.0), -2) AS w
+      FROM x CROSS JOIN y) GROUP BY year, s_suppkey
+""")
+def measure_pipeline(t: Tables):
+    """From raw rows of two sources to yearly weighted measures around each institution."""
+    raw = t.lineitem.select(
+        zero_pad("l_orderkey", 15).alias("fullfipsid"), F.col("l_suppkey").alias("frn"),
+        F.col("l_quantity").cast("int").alias("downloadspeed"),
+        F.round(F.col("l_tax") * 100).cast("int").alias("uploadspeed"),
+        F.year("l_shipdate").alias("year"), "l_linestatus",
+    )
+    sources = [raw.where(F.col("l_linestatus") == s) for s in ("O", "F")]
+    areas = merged_measures(sources, by=["year"], n_chars=14)
+    areas = with_point(areas.withColumn("k", F.col("fips").cast("long")), "k")
+    years = raw.agg(F.collect_set("year").alias("y"))  # a handful of years
+    places = schools(t).withColumn("year", F.explode(years.scalar()))
+    names = ["download", "upload", "pcount"]
+    out = popdist_weighted_mean(places, areas, names, "s_suppkey", by=["year"])
+    return rounded(out, 4, *[f"pdw2_{n}" for n in names])
+
+
 # Nations laid out on a 5 by 5 grid over the stand-in coordinates, one shape in each tile.
 
 HALF_WIDTH, HALF_HEIGHT = 4.6437, 2.4961

@@ -69,9 +69,9 @@ def coefficient_table(t: Tables):
 
 
 EFFECT_SQL = """
-SELECT fit, round(x + 1, 4) AS x, round(quantile_cont(effect, 0.025), 5) AS lo_ci,
-  round(quantile_cont(effect, 0.5), 5) AS med, round(avg(effect), 5) AS mean,
-  round(quantile_cont(effect, 0.975), 5) AS hi_ci,
+SELECT fit, round(x + 1, 4) AS x, round(quantile_cont(effect, 0.025), 5) + 0.0 AS lo_ci,
+  round(quantile_cont(effect, 0.5), 5) + 0.0 AS med, round(avg(effect), 5) + 0.0 AS mean,
+  round(quantile_cont(effect, 0.975), 5) + 0.0 AS hi_ci,
   round(avg(CAST(effect > 0 AS INTEGER)), 5) AS gt0
 """
 EFFECT = ["x", "lo_ci", "med", "mean", "hi_ci", "gt0"]

@@ -24,8 +24,10 @@ def rollup(
     digits: int | None = 3,
     blank_as_zero: bool = False,
     approximate: bool = False,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Row count, distinct providers and mean measures by the leading ``n_chars`` of a key.
+    """Row count, distinct providers and mean measures by the leading ``n_chars`` of a key
+    and any further ``by`` columns, such as a period.
 
     ``means`` maps output names to measure columns. Text that is no number is skipped, or
     counted as 0 with ``blank_as_zero``. The distinct count is planned on (key, provider)
@@ -41,7 +43,7 @@ def rollup(
 
     distinct = F.approx_count_distinct if approximate else F.count_distinct
     return (
-        df.groupBy(F.substring(key, 1, n_chars).alias(key))
+        df.groupBy(F.substring(key, 1, n_chars).alias(key), *by)
         .agg(
             F.count("*").alias("mcount"),
             distinct(provider).alias("pcount"),

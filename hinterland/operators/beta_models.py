@@ -78,6 +78,7 @@ def fit_beta(
     k = len(names)
     design = materialise(open_interval(design).select("y", "x"))
     m = known or moments(design, k)
+    m.require_full_rank()
     mean, scale = m.mean[:-1], m.scale[:-1]
     p = k + 2  # intercept, slopes, log phi
 
@@ -178,6 +179,7 @@ def fit_varying_beta(
     d = L + R
     rows = materialise(open_interval(design).select(group, "y", "x"))
     m = known or moments(rows, k)
+    m.require_full_rank()
     mean, scale = m.mean[:-1], m.scale[:-1]
     p = k + 1  # slopes, log phi
     q = p + d

@@ -145,6 +145,15 @@ class Moments:
     def k(self) -> int:
         return len(self.mean) - 1
 
+    @property
+    def condition(self) -> float:
+        """Condition number of the centred, scaled x'x."""
+        return float(np.linalg.cond(self.cross[:-1, :-1]))
+
+    def require_full_rank(self, limit: float = 1e13) -> None:
+        if not self.condition < limit:
+            raise ValueError(f"design columns are collinear (condition {self.condition:.1e})")
+
     def subset(self, positions: Sequence[int]) -> Moments:
         """Moments of fewer x columns: one wide pass serves every smaller model."""
         keep = [*positions, self.k]

@@ -88,6 +88,7 @@ def fit_normal(
     k, n = m.k, m.n
     if n - k - 2 <= 0:
         raise ValueError("more rows than columns + 2 are needed")
+    m.require_full_rank()
     sx, sy = m.scale[:-1], m.scale[-1]
     sxx, sxy, syy = m.cross[:-1, :-1], m.cross[:-1, -1], m.cross[-1, -1]
     low = np.linalg.cholesky(sxx)
@@ -163,8 +164,8 @@ def group_level(groups: DataFrame, group: str, z: Sequence[str], region: str) ->
     ).first()
     if summary["r"] > MAX_REGIONS:
         raise ValueError("too many regions for a region effect")
-    regions = sorted(r[0] for r in groups.select(region).distinct().limit(MAX_REGIONS * 2)
-                     .collect())
+    known = groups.select(region).where(F.col(region).isNotNull()).distinct()
+    regions = sorted(r[0] for r in known.collect())
     where = F.array_position(F.array(*[F.lit(r) for r in regions]), F.col(region)) - 1
     table = groups.select(
         group, F.array(*[F.col(c).cast("double") for c in z]).alias("z"),
@@ -212,6 +213,7 @@ def fit_varying_normal(
     """
     k = len(names)
     m = known or moments(design, k)
+    m.require_full_rank()
     at = list(range(k)) if columns is None else list(columns)
     stats = group_stats(design, group, k) if stats is None else stats
     table = lookup(stats, second.table, group).where(F.col("region_index").isNotNull())

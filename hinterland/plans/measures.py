@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,28 +28,34 @@ def read_measures(spark: SparkSession, path: str, columns: Sequence[str]) -> Dat
     return read_table(spark, path, text_schema(*columns), sep="|").select(*MEASURE_COLUMNS)
 
 
-def block_group_measures(raw: DataFrame, blank_as_zero: bool = False) -> DataFrame:
-    """One source rolled up to block groups. Technologies count alike, so their code is
-    set to one value and only the row count matters."""
+PERIOD = ["year", "mon"]
+
+
+def block_group_measures(
+    raw: DataFrame, n_chars: int = AREA_CODE_LENGTH["block_group"], by: Sequence[str] = PERIOD,
+    **options,
+) -> DataFrame:
+    """One source rolled up to block groups, for all its periods at once. Technologies
+    count alike, so their code is set to one value and only the row count matters."""
     return rollup(
-        raw.withColumn("transtech", F.lit(1)),
-        "fullfipsid", AREA_CODE_LENGTH["block_group"], "frn",
-        {"download": "downloadspeed", "upload": "uploadspeed"}, blank_as_zero=blank_as_zero,
+        raw.withColumn("transtech", F.lit(1)), "fullfipsid", n_chars, "frn",
+        {"download": "downloadspeed", "upload": "uploadspeed"}, by=by, **options,
     ).withColumnRenamed("fullfipsid", "fips")
 
 
-def period_measures(sources: Sequence[DataFrame], **options) -> DataFrame:
-    """Block groups of one period over all its sources."""
-    return merge_rollups([block_group_measures(s, **options) for s in sources], "fips")
+def merged_measures(
+    sources: Sequence[DataFrame], by: Sequence[str] = PERIOD, **options
+) -> DataFrame:
+    """Block groups by period over all sources."""
+    return merge_rollups(
+        [block_group_measures(s, by=by, **options) for s in sources], ["fips", *by]
+    )
 
 
-def store_periods(periods: Mapping[tuple[int, int], Sequence[DataFrame]], path: str) -> None:
-    """Write every ``(year, month)`` into one table partitioned by year and month."""
-    table = None
-    for (year, mon), sources in periods.items():
-        part = period_measures(sources).withColumns({"year": F.lit(year), "mon": F.lit(mon)})
-        table = part if table is None else table.unionByName(part)
-    write_table(table, path, partition_by=["year", "mon"], sort_by=["fips"])
+def store_measures(sources: Sequence[DataFrame], path: str, **options) -> None:
+    """Write the merged table partitioned by period, so that readers of one period skip
+    the others."""
+    write_table(merged_measures(sources, **options), path, partition_by=PERIOD, sort_by=["fips"])
 
 
 def block_group_centres(raw: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:

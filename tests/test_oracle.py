@@ -35,6 +35,8 @@ def cell(v):
 def test_same_rows(spark, duck, tables, name):
     got = QUERIES[name](spark, tables)
     columns = sorted(got.columns)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     want = duck.execute(ORACLE[name])
     names = [d[0] for d in want.description]
     assert sorted(names) == columns

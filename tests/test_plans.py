@@ -101,7 +101,8 @@ def built(spark, country, tmp_path_factory):
     base = str(tmp_path_factory.mktemp("pipeline"))
     raw = country["raw"]
     streets = raw.where("frn <> '3'")
-    measures.store_periods({(y, 6): [raw, streets] for y in YEARS}, f"{base}/measures")
+    years = spark.createDataFrame([(y, 6) for y in YEARS], "year int, mon int")
+    measures.store_measures([s.join(years) for s in (raw, streets)], f"{base}/measures")
     stored = spark.read.schema(
         "fips string, mcount long, pcount long, download double, upload double, "
         "year int, mon int").parquet(f"{base}/measures")
