@@ -176,15 +176,19 @@ def vi_beta_fit(t: Tables):
 
 @query("fit_grid")
 def model_grid(t: Tables):
-    """Several measure sets from one wide pass over the data."""
+    """Both families and several measure sets, one wide pass over the data for the normal
+    fits."""
+    top = t.orders.agg((F.max("o_totalprice") * 1.01).alias("m"))
     rows = panel(t).withColumns({
         "pdw2_pcount": 1 + F.col("o_custkey") % 7, "pdw2_upload": (F.col("o_custkey") * 13) % 11,
+        "share": F.col("o_totalprice") / top.scalar(),
     })
     specs = [
-        FitSpec(model, "normal", "full", m)
-        for model in ("sl", "vi") for m in ("download", "upload", "pcount", "all")
+        FitSpec(model, family, "full", m)
+        for model, family in (("sl", "normal"), ("vi", "normal"), ("sl", "beta"))
+        for m in ("download", "upload", "pcount", "all")
     ]
     return posterior_terms(fit_grid(
-        {"full": rows}, specs, {"normal": "y"}, {"full": COVARIATES},
+        {"full": rows}, specs, {"normal": "y", "beta": "share"}, {"full": COVARIATES},
         group="c_nationkey", second={"full": states(t)},
     ))

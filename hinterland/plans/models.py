@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from typing import NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,15 +96,17 @@ def fit_grid(
     draws: int = DRAWS,
     chains: int = CHAINS,
     seed: int = SEED,
+    at_once: int = 4,
 ) -> DataFrame:
     """Draws of every requested fit, keyed by ``fit``, ``chain`` and ``draw``.
 
     For each sample and family the widest design is built and stored once. Normal fits
     need one cross-product pass (and one group pass) over it: the four measure sets are
-    sub-matrices. Beta fits iterate over the stored design.
+    sub-matrices. Beta fits iterate over the stored design. ``at_once`` fits send their
+    jobs to Spark at the same time, which fills the gaps between small jobs.
     """
     second = second or {}
-    parts = []
+    work = []
     for sample, family in dict.fromkeys((s.sample, s.family) for s in specs):
         wanted = [s for s in specs if (s.sample, s.family) == (sample, family)]
         used = [m for m in MEASURES if any(m in s.measures for s in wanted)]
@@ -117,12 +122,13 @@ def fit_grid(
         for spec in wanted:
             own = [*square_terms([MEASURES[m] for m in spec.measures]), *covariates[sample]]
             at = [names.index(n) for n in own]
-            parts.append(_fit(spec, design, own, at, wide, stats, group,
-                              second.get(sample), draws, chains, seed))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            work.append((spec, design, own, at, wide, stats, group, second.get(sample),
+                         draws, chains, seed))
+    spark = work[0][1].sparkSession
+    run = inheritable_thread_target(spark)(lambda job: _fit(*job))
+    with ThreadPoolExecutor(at_once) as pool:
+        parts = list(pool.map(run, work))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _fit(
