@@ -18,7 +18,8 @@ from pyspark.sql import SparkSession  # noqa: E402
 from hinterland.catalogue import QUERIES  # noqa: E402
 
 HEADLINE = [
-    "pdw_mean", "pdw_mean_by_group", "nearest_in_group", "nearest_large_group", "nearest_wmean",
+    "pdw_mean", "pdw_mean_by_group", "measure_pipeline", "nearest_in_group",
+    "nearest_large_group", "nearest_wmean",
     "rollup_prefix", "merge_two_sources", "county_wmean", "panel_left_chain", "natural_fold",
     "point_in_polygon", "first_per_key", "key_index", "group_mutate", "describe_by_year",
     "propmiss", "hist_density", "kde_curve", "group_quantiles", "group_quantiles_sorted",
@@ -43,7 +44,9 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     # Start the JVM's and the Python workers' machinery outside the timings.
-    spark.range(1000).mapInArrow(lambda batches: batches, "id long").count()
+    ids = spark.range(64).repartition(int(cpus), "id")
+    ids.mapInArrow(lambda batches: batches, "id long").count()
+    ids.groupBy("id").applyInPandas(lambda rows: rows, "id long").count()
 
     times = {}
     for name in HEADLINE:

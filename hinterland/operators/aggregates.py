@@ -208,7 +208,8 @@ def kde(
 ) -> DataFrame:
     """Gaussian kernel density of a sample on a grid: ``(x, density)``.
 
-    The default bandwidth is ``0.9 * min(sd, IQR/1.34) * n**-0.2``. Equal values are
+    The default bandwidth is ``0.9 * min(sd, IQR/1.34) * n**-0.2``; without a spread in the
+    middle half the deviation alone counts, then the size of the value. Equal values are
     counted first, so a value that many rows share is evaluated once. The grid is a short
     array constant; its terms are summed in the task that holds the value, so only one row
     for each grid point leaves a task.
@@ -220,10 +221,14 @@ def kde(
             sample.agg(F.stddev_samp("v").alias("sd"), F.count("*").alias("n")),
             spread, ["q1", "q3"],
         )
-        h = scale.select((
-            0.9 * F.least("sd", (F.col("q3") - F.col("q1")) / 1.34)
-            * F.pow(F.col("n"), F.lit(-0.2))
-        ).alias("h"))
+        middle = (F.col("q3") - F.col("q1")) / 1.34
+        width = (
+            F.when(middle > 0, F.least("sd", middle))
+            .when(F.col("sd") > 0, F.col("sd"))
+            .when(F.col("q1") != 0, F.abs("q1"))
+            .otherwise(1.0)
+        )
+        h = scale.select((0.9 * width * F.pow(F.col("n"), F.lit(-0.2))).alias("h"))
     values = sample.groupBy("v").agg(F.count("*").alias("c"))
     if bandwidth is None:
         values = attach_row(values, h, ["h"])

@@ -86,6 +86,17 @@ def test_kde_matches_formula(spark):
         assert r["density"] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("values, h", [([3.0] * 5, 0.9 * 3 * 5**-0.2),
+                                       ([0.0] * 4, 0.9 * 4**-0.2),
+                                       ([1.0] * 9 + [5.0], None)])
+def test_kde_without_spread_in_the_middle(spark, values, h):
+    df = spark.createDataFrame([(x,) for x in values], "v double")
+    v = np.array(values)
+    h = h or 0.9 * v.std(ddof=1) * len(v) ** -0.2
+    want = np.exp(-0.5 * ((v - 2.0) / h) ** 2).mean() / (h * np.sqrt(2 * np.pi))
+    assert kde(df, "v", [2.0]).first()["density"] == pytest.approx(want)
+
+
 @pytest.mark.parametrize("in_memory", [0, 10**6])
 def test_quantiles_equal_numpy(spark, in_memory):
     rng = np.random.default_rng(2)
