@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -188,8 +188,7 @@ def nearest_join(
     Ends are reduced to distinct locations. Groups of at most ``leaf`` locations are
     compared directly. Where a group is larger, space is cut into nested cells and each
     start walks down the levels, keeping only the cells that can still hold its nearest
-    end: a cell goes when its nearest corner is farther than another cell's farthest
-    corner. The bounds come from the box around the points really in a cell, so the
+    end: a cell goes when the box around its ends is farther than an end already met. The
     pruning is exact at any density and no start is ever paired with its whole group.
     """
     if not by:
@@ -220,55 +219,94 @@ def nearest_join(
     )
 
 
+_START, _END = ("_sx", "_sy", "_sz"), ("_ex", "_ey", "_ez")
+
+
+def _cell(axes: Sequence[str], level: int) -> Column:
+    """Code of the cube of the given level around a point of the unit sphere."""
+    n = 4**level
+    code = F.lit(0).cast("long")
+    for axis in axes:
+        slice_ = F.least(F.floor((F.col(axis) + 1.0) * (n / 2.0)), F.lit(n - 1))
+        code = code * n + F.greatest(slice_, F.lit(0))
+    return code
+
+
+def _squared(points: Sequence[str]) -> Column:
+    """Squared chord from a start to the point held in three columns."""
+    total = F.lit(0.0)
+    for s, p in zip(_START, points):
+        total = total + (F.col(s) - F.col(p)) * (F.col(s) - F.col(p))
+    return total
+
+
 def _descend(
     seekers: DataFrame, points: DataFrame, start_id: str, by: list[str], leaf: int
 ) -> DataFrame:
-    from pyspark.sql import Window
-
-    ex, ey, ez = unit_vector("_elon", "_elat")
-    points = points.withColumns({"_ex": ex, "_ey": ey, "_ez": ez})
-    points = materialise(points)
-
-    def cell(level: int) -> Column:
-        n = 4**level
-        code = F.lit(0).cast("long")
-        for axis in ("_ex", "_ey", "_ez"):
-            slice_ = F.least(F.floor((F.col(axis) + 1.0) * (n / 2.0)), F.lit(n - 1))
-            code = code * n + F.greatest(slice_, F.lit(0))
-        return code
+    """Candidate pairs that hold every start's nearest end.
 
+    Each start carries an upper bound of its distance: the closest end it has met so far,
+    one sample end a cell. A cell whose box is farther than the bound is dropped.
+    """
+    points = materialise(points.withColumns(dict(zip(_END, unit_vector("_elon", "_elat")))))
     depth = 1
     while depth < _MAX_LEVEL:
-        crowd = points.groupBy(*by, cell(depth).alias("c")).count().agg(F.max("count"))
+        crowd = points.groupBy(*by, _cell(_END, depth).alias("c")).count().agg(F.max("count"))
         if crowd.first()[0] <= leaf:
             break
         depth += 1
 
-    ux, uy, uz = unit_vector("_slon", "_slat")
-    frontier = seekers.withColumns({"_sx": ux, "_sy": uy, "_sz": uz})
+    sample = [f"{c}_any" for c in _END]
+
+    def boxes(level: int, parent: bool) -> DataFrame:
+        """Occupied cells with the box around their ends and one of the ends. The three
+        ``first`` columns are updated by the same row, so they belong to one end."""
+        keys = [_cell(_END, level).alias("_child")]
+        if parent:
+            keys.append(_cell(_END, level - 1).alias("_cell"))
+        return points.groupBy(*by, *keys).agg(
+            *[F.min(c).alias(f"{c}_lo") for c in _END],
+            *[F.max(c).alias(f"{c}_hi") for c in _END],
+            *[F.first(c).alias(n) for c, n in zip(_END, sample)],
+        )
+
+    frontier = seekers.withColumns(dict(zip(_START, unit_vector("_slon", "_slat"))))
+    carried = list(frontier.columns)
+    # First bound: an end in the start's own cell at the two finest levels; 4 is the largest
+    # squared chord.
+    frontier = frontier.withColumn("_bound", F.lit(4.0))
+    for level in range(max(1, depth - 1), depth + 1):
+        own = boxes(level, parent=False).select(*by, "_child", *sample)
+        frontier = (
+            frontier.withColumn("_child", _cell(_START, level))
+            .join(own, [*by, "_child"], "left")
+            .withColumn("_bound", F.least("_bound", _squared(sample)))
+            .select(*carried, "_bound")
+        )
+
+    # The slack covers rounding of the squared chords.
+    within = F.col("_near") <= F.col("_bound") * (1 + 1e-9) + 1e-15
     per_start = Window.partitionBy(*by, start_id)
     for level in range(1, depth + 1):
-        parent = [cell(level - 1).alias("_cell")] if level > 1 else []
-        boxes = points.groupBy(*by, *parent, cell(level).alias("_child")).agg(
-            *[F.min(c).alias(f"{c}_lo") for c in ("_ex", "_ey", "_ez")],
-            *[F.max(c).alias(f"{c}_hi") for c in ("_ex", "_ey", "_ez")],
-        )
-        near, far = F.lit(0.0), F.lit(0.0)
-        for s, e in (("_sx", "_ex"), ("_sy", "_ey"), ("_sz", "_ez")):
-            below, above = F.col(f"{e}_lo") - F.col(s), F.col(s) - F.col(f"{e}_hi")
-            outside = F.greatest(below, above, F.lit(0.0))
-            across = F.greatest(F.abs(below), F.abs(above))
-            near, far = near + outside * outside, far + across * across
-        kept = [c for c in frontier.columns if c != "_cell"]
+        near = F.lit(0.0)
+        for s, e in zip(_START, _END):
+            outside = F.greatest(
+                F.col(f"{e}_lo") - F.col(s), F.col(s) - F.col(f"{e}_hi"), F.lit(0.0)
+            )
+            near = near + outside * outside
         frontier = (
-            frontier.join(boxes, [*by, "_cell"] if level > 1 else by)
-            .select(*kept, F.col("_child").alias("_cell"), near.alias("_near"), far.alias("_far"))
-            .withColumn("_bound", F.min("_far").over(per_start))
-            # The slack covers rounding of the two squared chords.
-            .where(F.col("_near") <= F.col("_bound") * (1 + 1e-9) + 1e-15)
-            .select(*kept, "_cell")
+            frontier.join(boxes(level, parent=level > 1), [*by, "_cell"] if level > 1 else by)
+            .select(*carried, "_bound", F.col("_child").alias("_cell"), near.alias("_near"),
+                    _squared(sample).alias("_met"))
+            .where(within)
+            .withColumn("_bound", F.least("_bound", F.min("_met").over(per_start)))
+            .where(within)
+            .select(*carried, "_bound", "_cell")
         )
-    leaves = points.select(
-        *[c for c in points.columns if c not in ("_ex", "_ey", "_ez")], cell(depth).alias("_cell")
+    leaves = points.withColumn("_cell", _cell(_END, depth))
+    return (
+        frontier.join(leaves, [*by, "_cell"])
+        .withColumn("_near", _squared(_END))
+        .where(within)
+        .drop("_bound", "_near", *_START, *_END)
     )
-    return frontier.join(leaves, [*by, "_cell"])
