@@ -9,7 +9,6 @@ from hinterland.functions import distance_weight, great_circle, zero_pad
 from hinterland.operators.aggregates import weighted_mean
 from hinterland.operators.distance import nearest_join, popdist_weighted_mean
 from hinterland.operators.frame import derive
-from hinterland.operators.joins import attach_row
 from hinterland.operators.regions import neighbour_set, points_in_polygons, segments, vertex_join
 from hinterland.plans.measures import merged_measures
 

@@ -256,22 +256,34 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation (type 7), NULL values skipped.
 
-    ``extra`` adds further aggregates of the same column. Spark's ``percentile`` holds the
-    values of a group in one task. It is used when the largest group, counted first unless
-    the caller knows it, has at most ``in_memory`` rows. Larger groups take the sorted
-    way: equal values are counted, ranked by ``running_total`` over range partitions, and
-    only the two rows next to each quantile are kept.
+    ``extra`` adds further aggregates of the same column. Spark's ``percentile`` keeps the
+    distinct values of a group in one task. It is used when the caller knows that no group
+    has more than ``in_memory`` rows (``largest``), or, on counted values, when a count
+    shows that no group has more distinct values than that. Larger groups take the sorted
+    way: counted values are ranked by ``running_total`` over range partitions, and only the
+    two next to each quantile are kept.
     """
     by, names = list(by), list(names or [f"q{p:g}" for p in probs])
     extra = {n: f(F.col("_v")).alias(n) for n, f in (extra or {}).items()}
     rows = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_v"))
-    if largest is None:
-        largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= in_memory:
-        qs = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))
-        out = rows.groupBy(*by).agg(qs.alias("_q"), *extra.values())
-        return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)], *extra)
-    out = _sorted_quantiles(rows, probs, by, names)
+    at = F.array(*[F.lit(float(p)) for p in probs])
+
+    def unpacked(grouped: DataFrame) -> DataFrame:
+        return grouped.select(
+            *by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)],
+            *[c for c in extra if c in grouped.columns],
+        )
+
+    if largest is not None and largest <= in_memory:
+        return unpacked(
+            rows.groupBy(*by).agg(F.percentile("_v", at).alias("_q"), *extra.values())
+        )
+    counted = rows.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    distinct = counted.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if distinct <= in_memory:
+        out = unpacked(counted.groupBy(*by).agg(F.percentile("_v", at, F.col("_c")).alias("_q")))
+    else:
+        out = _sorted_quantiles(counted, probs, by, names)
     if not extra:
         return out
     more = rows.groupBy(*by).agg(*extra.values())
@@ -281,9 +293,8 @@ def quantiles(
 
 
 def _sorted_quantiles(
-    rows: DataFrame, probs: Sequence[float], by: list[str], names: list[str]
+    counted: DataFrame, probs: Sequence[float], by: list[str], names: list[str]
 ) -> DataFrame:
-    counted = rows.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
     ranked = running_total(counted, ["_v"], F.col("_c"), "_upto", by)
     totals = ranked.groupBy(*by).agg(F.max("_upto").alias("_n"))
     joined = (
