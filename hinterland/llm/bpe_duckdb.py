@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hinterland.llm.segments import space_pieces
+from hinterland.llm.worker import kept
 
 #: Each step joins the token rows of every unfinished word to the merge table and contracts the
 #: leftmost pair of the smallest rank; a word without a pair is done.
@@ -176,12 +176,6 @@ class RankEncoder:
         return [bytes(data[a:b]) for a, b in zip(ends[last[:-1]], ends[last[1:]])]
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(ranks: str, pattern: str) -> RankEncoder:
-    """One encoder a Python worker: what it has met serves the worker's later tasks."""
-    return RankEncoder(ranks, pattern)
-
-
 def encode_decode(
     docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
     with_outputs: bool = True,
@@ -203,7 +197,8 @@ def encode_decode(
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks, pattern)
+        # What a worker has met serves its later tasks.
+        encoder = kept(("ranks", ranks, pattern), lambda: RankEncoder(ranks, pattern))
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
             start, size = 0, 0

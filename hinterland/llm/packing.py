@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import struct
 import zlib
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hinterland.llm.segments import space_pieces
+from hinterland.llm.worker import kept
 
 LONGEST = 1024
 _END = b"\0\0\0\0"
@@ -104,12 +104,6 @@ class PieceEncoder:
         return self._first[pieces[0]] + b"".join(map(self._later.__getitem__, pieces[1:]))
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> PieceEncoder:
-    """One encoder a Python worker: what it has met serves the worker's later tasks."""
-    return PieceEncoder(path)
-
-
 def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:
     """Whole pieces of ``longest``, then the binary digits of the rest, largest first."""
     rest = n % longest
@@ -139,7 +133,8 @@ def pack_pieces(
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer)
+        # What a worker has met serves its later tasks.
+        encode = kept(("pieces", tokenizer), lambda: PieceEncoder(tokenizer))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
