@@ -17,11 +17,14 @@ COLLECTIONS = ((8, 2, 101), (11, 3, 202))
 
 
 def tensored_keys(nodes: DataFrame) -> DataFrame:
-    """``(key, node, n)``: every pair of a value of the first and of the second collection."""
+    """``(key, node, n, early)``: every pair of a value of the first and of the second collection.
+
+    The pairs of like position are looked at first.
+    """
     a, b = F.col("sketch")[0], F.col("sketch")[1]
     keys = F.flatten(F.transform(a, lambda x, i: F.transform(
-        b, lambda y, j: F.xxhash64(x, y, i, j))))
-    return nodes.select(F.explode(keys).alias("key"), "node", "n")
+        b, lambda y, j: F.struct(F.xxhash64(x, y, i, j).alias("key"), (i == j).alias("early")))))
+    return nodes.select(F.explode(keys).alias("k"), "node", "n").select("k.key", "node", "n", "k.early")
 
 
 def near_duplicates(

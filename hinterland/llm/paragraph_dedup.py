@@ -17,8 +17,10 @@ LEAST_WORDS = 40
 
 
 def band_keys(nodes: DataFrame) -> DataFrame:
-    bands = F.transform(F.col("sketch")[0], lambda x, i: F.xxhash64(x, i))
-    return nodes.select(F.explode(bands).alias("key"), "node", "n")
+    """``(key, node, n, early)``: one key a band; the first quarter is looked at first."""
+    bands = F.transform(F.col("sketch")[0], lambda x, i: F.struct(
+        F.xxhash64(x, i).alias("key"), (i < BANDS // 4).alias("early")))
+    return nodes.select(F.explode(bands).alias("k"), "node", "n").select("k.key", "node", "n", "k.early")
 
 
 def repeated_paragraphs(

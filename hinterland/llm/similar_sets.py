@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hinterland.llm.components import components
 from hinterland.llm.scratch import Scratch
 
-#: Rounds that compare one pivot of a key with the rest, before what is left is paired up.
+#: Rounds that compare one pivot of a key with the rest, before what is left is compared exactly.
 PIVOT_ROUNDS = 2
 
 
@@ -31,6 +33,35 @@ def _sizes_fit(a: str, b: str, percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
+def _rare_pairs(nodes: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """All pairs ``(u, v)`` of ``nodes(node, component)`` that can be similar across components.
+
+    With items ordered by rarity, two sets that share ``percent`` per cent of their union share
+    an item among their first n - ceil(n * percent / 100) + 1, and at the first that they share
+    what is left of either still suffices; other pairs never meet.
+    """
+    items = scratch.keep(sets.join(nodes, "node").select(
+        "node", "component", F.size("items").alias("n"), F.explode("items").alias("item")), "items")
+    seen = scratch.keep(items.groupBy("item").agg(F.count("*").alias("seen")).where("seen > 1"), "seen")
+    # Items of one set only come first and pair nothing: they only push the others back.
+    shared = items.join(seen, "item")
+    counts = shared.groupBy("node").agg(F.count("*").alias("m"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("seen", "item"))
+    first = scratch.keep(
+        shared.withColumn("rank", rank).join(counts, "node").withColumn("i", F.expr("rank + n - m"))
+        .where(f"i <= n - (n * {percent} + 99) div 100 + 1")
+        .select("node", "component", "n", "item", "i"), "first")
+    left = first.select("item", F.col("node").alias("u"), F.col("n").alias("nu"),
+                        F.col("component").alias("cu"), F.col("i").alias("iu"))
+    right = first.select("item", F.col("node").alias("v"), F.col("n").alias("nv"),
+                         F.col("component").alias("cv"), F.col("i").alias("iv"))
+    pairs = left.join(right, "item").where("cu < cv").where(_sizes_fit("nu", "nv", percent)).where(
+        f"(1 + least(nu - iu, nv - iv)) * (100 + {percent}) >= {percent} * (nu + nv)")
+    pairs = scratch.keep(pairs.select("u", "v").distinct(), "rare")
+    scratch.drop(items, seen, first)
+    return pairs
+
+
 def link_sets(
     keys: DataFrame,
     fetch: Callable[[DataFrame], DataFrame],
@@ -39,60 +70,56 @@ def link_sets(
 ) -> DataFrame:
     """Components of sets that share a key and are similar: ``(node, component)``.
 
-    ``keys(key, node, n)`` holds a set's keys and size, ``fetch`` returns ``(node, items)`` for
-    a table of nodes. Nodes without a link are not in the result.
+    ``keys(key, node, n, early)`` holds a set's keys and size and marks the few keys that are
+    looked at first; ``fetch`` returns ``(node, items)`` for a table of nodes. Nodes without a
+    link are not in the result.
 
-    Within a key every set is first compared with one pivot, so that a key shared by g sets
-    costs g pairs. Only where a key still joins several components after ``PIVOT_ROUNDS`` are
-    its remaining sets paired, and only across components: a pair within one changes nothing.
-    No pair of sets that share a key is thus left out, and no key is dropped for its size.
+    Within a key sets are compared with one pivot, so that a key shared by g sets costs g pairs.
+    The early keys join most copies; from then on only keys that still hold several components
+    are looked at, and in them only sets of another component than the pivot's, as a pair
+    within one changes nothing. What remains after ``PIVOT_ROUNDS`` is compared exactly, by rare
+    items. No pair of sets that share a key is thus left out, and no key is dropped for its size.
     """
     shared = scratch.keep(
-        keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-        .where("pivot < last").select("key", "pivot"), "shared")
+        keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+        .where("low < high").select("key", F.col("low").alias("pivot")), "shared")
     members = scratch.keep(keys.join(shared.hint("shuffle_hash"), "key"), "members")
     scratch.drop(shared)
-    sizes = members.select("node", "n").distinct()
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    sets: DataFrame | None = None
-    used: list[DataFrame] = []
-    for turn in range(PIVOT_ROUNDS + 1):
-        if turn < PIVOT_ROUNDS:
-            pairs = members.where("node <> pivot").select(
-                F.col("pivot").alias("u"), F.col("node").alias("v"), F.col("n").alias("nv"))
-            pairs = pairs.distinct().join(
-                sizes.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u")
-        else:
-            left = members.select("key", F.col("node").alias("u"), F.col("n").alias("nu"),
-                                  F.col("component").alias("cu"))
-            right = members.select("key", F.col("node").alias("v"), F.col("n").alias("nv"),
-                                   F.col("component").alias("cv"))
-            pairs = left.join(right, "key").where("cu < cv").select("u", "v", "nu", "nv").distinct()
+    sets = scratch.keep(fetch(members.select("node").distinct()), "sets")
+    sizes = scratch.keep(members.select("node", "n").distinct(), "sizes")
+    links: list[DataFrame] = []
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Verify pairs ``(u, v)`` and label all nodes linked so far."""
+        pairs = pairs.distinct().join(
+            sizes.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(
+            sizes.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
         pairs = scratch.keep(pairs.where(_sizes_fit("nu", "nv", percent)).select("u", "v"), "pairs")
-        if sets is None:
-            wanted = members.select("node").distinct()
-            sets = scratch.keep(fetch(wanted), "sets")
-        found = scratch.keep(_verified(pairs, sets, percent), "links")
+        links.append(scratch.keep(_verified(pairs, sets, percent), "links"))
         scratch.drop(pairs)
-        links = found if links is None else links.unionByName(found)
-        used.append(found)
-        labels = scratch.keep(components(links, scratch), "labels")
-        if turn == PIVOT_ROUNDS:
-            break
-        # What is left: sets other than the pivot, where their key joins several components.
-        rest = members.where("node <> pivot").select("key", "node", "n").join(
-            labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rest = scratch.keep(rest, "rest")
+        return components(reduce(DataFrame.unionByName, links), scratch)
+
+    labels = linked(members.where("early AND node <> pivot").select(
+        F.col("pivot").alias("u"), F.col("node").alias("v")))
+    members = members.select("key", "node")
+    for turn in range(PIVOT_ROUNDS + 1):
+        named = scratch.keep(members.join(labels, "node", "left").withColumn(
+            "component", F.coalesce("component", "node")), "named")
         open_keys = scratch.keep(
-            rest.groupBy("key").agg(
+            named.groupBy("key").agg(
                 F.min("component").alias("low"), F.max("component").alias("high"),
-                F.min("node").alias("pivot")).where("low < high").select("key", "pivot"), "open")
-        left_over = scratch.keep(rest.join(open_keys, "key"), "members")
-        scratch.drop(members, rest, open_keys)
-        members = left_over
+                F.min(F.struct("component", "node")).alias("first")).where("low < high")
+            .select("key", F.col("first.node").alias("pivot"), F.col("first.component").alias("own")),
+            "open")
+        members = scratch.keep(named.join(open_keys, "key"), "members")
+        scratch.drop(named, open_keys)
         if not members.take(1):
             break
-        sizes = members.select("node", "n").distinct()
-    scratch.drop(members, sets, *used)
+        if turn < PIVOT_ROUNDS:
+            labels = linked(members.where("component <> own").select(
+                F.col("pivot").alias("u"), F.col("node").alias("v")))
+            members = members.where("node <> pivot").select("key", "node")
+        else:
+            labels = linked(_rare_pairs(members.select("node", "component").distinct(), sets, scratch, percent))
+    scratch.drop(sets, sizes, *links)
     return labels
