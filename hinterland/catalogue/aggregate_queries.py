@@ -151,7 +151,7 @@ def yearly_measures(t: Tables):
         F.year("l_shipdate").alias("year"), F.col("l_quantity").alias("pdw2_q"),
         F.col("l_discount").alias("pdw2_d"),
     )
-    return measures_by_year(rows, ["pdw2_q", "pdw2_d"], YEARS, digits=4, rounding=F.round)
+    return measures_by_year(rows, ["pdw2_q", "pdw2_d"], digits=4, rounding=F.round)
 
 
 @query("unique_and_rows", """

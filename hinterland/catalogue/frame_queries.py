@@ -145,7 +145,7 @@ def yearly(t: Tables):
                            F.year("o_orderdate").alias("year")).join(
         t.customer.select("c_custkey", "c_nationkey"), "c_custkey")
     sums = rows.groupBy("c_nationkey", "year").agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
-    return to_wide(sums, ["c_nationkey"], "year", "v", YEARS)
+    return to_wide(sums, ["c_nationkey"], "year", "v")
 
 
 YEARLY_SQL = """

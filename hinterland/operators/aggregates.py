@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hinterland.functions.scalar import round_large
-from hinterland.operators.frame import split_col, stack_rows, to_long
+from hinterland.operators.frame import pivot_keys, split_col, stack_rows, to_long
 from hinterland.operators.joins import attach_row, keyed_join
 from hinterland.operators.windows import running_total
 
@@ -341,10 +341,11 @@ def descriptive_table(
 
 
 def measures_by_year(
-    df: DataFrame, cols: Sequence[str], years: Sequence[int], year: str = "year", digits: int = 2,
+    df: DataFrame, cols: Sequence[str], years: Sequence[int] | None = None, year: str = "year", digits: int = 2,
     rounding=F.bround,
 ) -> DataFrame:
-    """``(ord, var, stat)`` rows with one column a year."""
+    """``(ord, var, stat)`` rows with one column a year: every year, or those given if they
+    are all."""
     wide = describe(df, cols, [year])
     stats = [c for c in wide.columns if c != year]
     keyed = wide.withColumnsRenamed({
@@ -358,6 +359,6 @@ def measures_by_year(
     return (
         long.withColumn("ord", F.col("ord").cast("int"))
         .groupBy("ord", "var", "stat")
-        .pivot(year, list(years))
+        .pivot(year, pivot_keys(df, year, years))
         .agg(rounding(F.first("value"), digits))
     )

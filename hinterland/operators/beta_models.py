@@ -21,7 +21,6 @@ from hinterland.operators.design import Moments, block_sums, matrix, moments, sm
 from hinterland.operators.normal_models import REGION_PRIOR_SD, GroupLevel, make_draws
 from hinterland.sources.checkpoint import materialise
 
-_SMALL_GROUPS = 100_000  # group intercepts up to this many rows may be broadcast (a few MB)
 
 
 def open_interval(design: DataFrame) -> DataFrame:
@@ -177,7 +176,7 @@ def fit_varying_beta(
     L, R = second.n_z, len(second.regions)
     weigh, z_scale = second.weights, second.z_scale
     d = L + R
-    rows = materialise(open_interval(design).select(group, "y", "x"))
+    rows = materialise(open_interval(second.restrict(design, group)).select(group, "y", "x"))
     m = known or moments(rows, k)
     m.require_full_rank()
     mean, scale = m.mean[:-1], m.scale[:-1]
@@ -186,7 +185,7 @@ def fit_varying_beta(
 
     key_type = rows.schema[group].dataType.simpleString()
     start = float(np.log(m.mean[-1] / (1 - m.mean[-1])))
-    table = second.table.where(F.col("region_index").isNotNull()).join(
+    table = second.table.join(
         rows.select(group).distinct(), group, "left_semi"
     ).withColumn("a", F.lit(start))
     table = materialise(table)
@@ -207,8 +206,7 @@ def fit_varying_beta(
     def row_pass(psi: np.ndarray, table: DataFrame) -> DataFrame:
         phi, theta = float(np.exp(psi[-1])), psi[:-1]
         small = table.select(group, "a")
-        # Broadcast only when the number of groups is known to be small.
-        joined = rows.join(F.broadcast(small) if j <= _SMALL_GROUPS else small, group)
+        joined = rows.join(small, group)
 
         def run(batches):
             total = np.zeros(hyper)

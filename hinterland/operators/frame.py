@@ -70,12 +70,23 @@ def split_col(df: DataFrame, col: str, into: Sequence[str], sep: str = "_") -> D
     return df.withColumns({n: F.get(parts, i) for i, n in enumerate(into)}).drop(col)
 
 
+def pivot_keys(df: DataFrame, key: str, keys: Sequence[object] | None = None) -> list[object]:
+    """Keys of a pivot, one job over the distinct values: all that occur, in order, or the given
+    ones if none is missing from them."""
+    found = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).distinct().collect())
+    if keys is None:
+        return found
+    if missed := [k for k in found if k not in keys]:
+        raise ValueError(f"{key} has values without a column: {missed[:10]}")
+    return list(keys)
+
+
 def to_wide(
-    df: DataFrame, ids: Sequence[str], key: str, value: str, keys: Sequence[object]
+    df: DataFrame, ids: Sequence[str], key: str, value: str, keys: Sequence[object] | None = None
 ) -> DataFrame:
-    """Pivot one value per (ids, key). ``keys`` is required: with it Spark needs no extra
-    pass to learn the columns."""
-    return df.groupBy(*ids).pivot(key, list(keys)).agg(F.first(value, ignorenulls=True))
+    """Pivot one value per (ids, key), with a column for each key that occurs; given ``keys``
+    set the order and must miss none."""
+    return df.groupBy(*ids).pivot(key, pivot_keys(df, key, keys)).agg(F.first(value, ignorenulls=True))
 
 
 def stack_rows(*parts: DataFrame) -> DataFrame:

@@ -25,7 +25,6 @@ DRAW_SCHEMA = (
     "a_region array<double>, sigma double, sigma_a double, phi double"
 )
 REGION_PRIOR_SD = 5.0  # fixed value: a_region ~ normal(0, 5)
-MAX_REGIONS = 500
 
 
 def make_draws(
@@ -153,17 +152,21 @@ class GroupLevel:
     def n_z(self) -> int:
         return len(self.weights.z_mean)
 
+    def restrict(self, design: DataFrame, group: str) -> DataFrame:
+        """Rows of groups that have a second level; sums over others must not enter a fit."""
+        return design.join(self.table.select(group), group, "left_semi")
+
 
 def group_level(groups: DataFrame, group: str, z: Sequence[str], region: str) -> GroupLevel:
     """Prepare one row per group for the second level. Groups are indexed after all
-    filters, so no group is empty."""
+    filters, so no group is empty. Groups without a region or with a NULL in ``z`` are left
+    out, and with them their rows: ``restrict``."""
+    for c in (*z, region):
+        groups = groups.where(F.col(c).isNotNull())
     summary = groups.agg(
         F.array(*[F.avg(c) for c in z]).alias("m"),
         F.array(*[F.stddev_pop(c) for c in z]).alias("s"),
-        F.approx_count_distinct(region).alias("r"),
     ).first()
-    if summary["r"] > MAX_REGIONS:
-        raise ValueError("too many regions for a region effect")
     known = groups.select(region).where(F.col(region).isNotNull()).distinct()
     regions = sorted(r[0] for r in known.collect())
     where = F.array_position(F.array(*[F.lit(r) for r in regions]), F.col(region)) - 1
@@ -209,14 +212,16 @@ def fit_varying_normal(
     other effects are normal, with cross-products that need one weight a group, 1/(1 + n
     rho). Spark sums those products over the group table for a grid of rho; sigma lives on
     a grid on the driver. Data rows are read once, group rows twice.
-    ``columns`` picks x columns when ``stats`` was made for a wider design.
+    ``columns`` picks x columns when ``stats`` was made for a wider design. Rows of groups
+    without a second level take no part; ``known`` and ``stats`` have to be of the rest.
     """
     k = len(names)
+    design = second.restrict(design, group)
     m = known or moments(design, k)
     m.require_full_rank()
     at = list(range(k)) if columns is None else list(columns)
     stats = group_stats(design, group, k) if stats is None else stats
-    table = lookup(stats, second.table, group).where(F.col("region_index").isNotNull())
+    table = lookup(stats, second.table, group)
     sx, xm, ym = m.scale[:-1], m.mean[:-1], m.mean[-1]
     L, R = second.n_z, len(second.regions)
     weigh, z_scale = second.weights, second.z_scale

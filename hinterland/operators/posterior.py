@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hinterland.functions.scalar import interval_text, number_text
 from hinterland.operators.aggregates import quantiles
-from hinterland.operators.frame import stack_rows
+from hinterland.operators.frame import pivot_keys, stack_rows
 from hinterland.operators.joins import attach_row
 
 
@@ -195,7 +195,7 @@ def regression_table(
         )
         .select("fit", "ord", "term", "c.*")
     )
-    body = cells.groupBy("ord", "term", "stat").pivot("fit", list(fits)).agg(F.first("text"))
+    body = cells.groupBy("ord", "term", "stat").pivot("fit", pivot_keys(summary, "fit", fits)).agg(F.first("text"))
     if counts is None:
         return body
     closing = counts.select(F.explode(F.array(*[

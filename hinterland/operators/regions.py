@@ -116,8 +116,8 @@ def neighbour_set(
 ) -> DataFrame:
     """Neighbours of one area together with the area itself."""
     rows = adjacency.where(F.col(origin_col) == F.lit(origin)).select(origin_col, neighbour_col)
-    own = rows.select(F.col(origin_col), F.col(origin_col).alias(neighbour_col)).distinct()
-    return rows.unionByName(own)
+    both = F.explode(F.array(neighbour_col, origin_col)).alias(neighbour_col)
+    return rows.select(origin_col, both).distinct()
 
 
 def segments(

@@ -143,10 +143,6 @@ def _derived() -> dict[str, Column]:
     }
 
 
-def distances_to_nearest(institutions: DataFrame, centres: DataFrame) -> DataFrame:
-    return nearest_mean_distance(institutions, centres)
-
-
 def store_analysis(panel: DataFrame, base: str) -> dict[str, str]:
     """Write the panel and its two subsets; returns their paths."""
     public = F.col("public") == 1

@@ -116,13 +116,16 @@ def fit_grid(
         )
         design = materialise(design)
         wide = moments(design, len(names)) if family == "normal" else None
-        stats = None
+        stats = grouped = None
         if family == "normal" and any(s.model == "vi" for s in wanted):
-            stats = materialise(group_stats(design, group, len(names)))
+            # Varying fits take only rows whose group has a second level, in all their sums.
+            usable = second[sample].restrict(design, group)
+            grouped = moments(usable, len(names))
+            stats = materialise(group_stats(usable, group, len(names)))
         for spec in wanted:
             own = [*square_terms([MEASURES[m] for m in spec.measures]), *covariates[sample]]
             at = [names.index(n) for n in own]
-            work.append((spec, design, own, at, wide, stats, group, second.get(sample),
+            work.append((spec, design, own, at, grouped if spec.model == "vi" else wide, stats, group, second.get(sample),
                          draws, chains, seed))
     spark = work[0][1].sparkSession
     run = inheritable_thread_target(spark)(lambda job: _fit(*job))

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
-    A temporary folder is made only where none is set and the master is local (tests);
-    on a cluster a missing setting is an error, since a machine-local folder would lose
-    its data with the machine.
+    Where none is set, a folder of the warehouse is taken, which all executors share too.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,10 +16,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     if configured:
         sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="hinterland-checkpoint-"))
     else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
 
 
 def materialise(df: DataFrame) -> DataFrame:

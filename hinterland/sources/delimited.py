@@ -26,11 +26,12 @@ def read_table(
     header: bool = True,
 ) -> DataFrame:
     """Headed text to a typed table. Nothing is inferred, so the file is read once.
-    ``names`` replaces the header's names; otherwise they are lower-cased."""
-    # enforceSchema matches by position and does not compare the file's own header.
+    ``names`` replaces the header's names, by position; otherwise they are lower-cased, and a
+    header whose names or order differ from the schema's fails the read."""
     df = spark.read.csv(
         list(path) if not isinstance(path, str) else path,
-        schema=schema, sep=sep, header=header, enforceSchema=True,
+        schema=schema, sep=sep, header=header,
+        enforceSchema=names is not None or not header,
     )
     if names is not None:
         return df.toDF(*names)

@@ -16,21 +16,38 @@ def read_draws(
 ) -> DataFrame:
     """``(fit, model, family, sample, measure, chain, draw, <prefix> array, scalars)``.
 
-    All files of one call must have the same columns (the same fit or fits of one size).
-    ``draw`` identifies a row; draws are exchangeable and it does not count from 1.
+    Each file is read by its own header, so fits of different width may lie in one folder; a
+    data line with another number of fields than its header fails the read. A scalar that a
+    file lacks is NULL. ``draw`` identifies a row; draws are exchangeable and it does not count
+    from 1.
     """
-    raw = spark.read.csv(glob, comment="#", header=True, inferSchema=False)
-    vector = sorted(
-        (c for c in raw.columns if re.fullmatch(rf"{re.escape(prefix)}\.\d+", c)),
-        key=lambda c: int(c.rsplit(".", 1)[1]),
+    lines = spark.read.text(glob).select(
+        F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value")
+    ).where((F.col("value") != "") & ~F.col("value").startswith("#"))
+    # Only a header starts with a letter: draws are numbers.
+    is_header = F.col("value").rlike("^[A-Za-z]")
+    named = F.filter(F.col("names"), lambda c: c.rlike(rf"^{re.escape(prefix)}\.\d+$"))
+    headers = (
+        lines.where(is_header).groupBy("file").agg(F.first("value").alias("header"), F.count("*").alias("n"))
+        .select("file", F.split("header", ",").alias("names"),
+                F.assert_true(F.col("n") == 1, F.lit("a draw file has one header")).alias("one"))
+        .withColumn("vector", F.transform(
+            F.array_sort(F.transform(named, lambda c: F.struct(
+                F.element_at(F.split(c, "\\."), -1).cast("int").alias("k"), c.alias("c")))),
+            lambda c: c["c"]))
     )
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    rows = lines.where(~is_header).join(headers, "file", "left")
+    fields = F.split("value", ",")
+    rows = rows.withColumn("cells", F.when(
+        F.size(fields) == F.size("names"), F.map_from_arrays("names", fields)).otherwise(
+        F.raise_error(F.concat(F.lit("fields differ from the header in "), "file"))))
+    name = F.element_at(F.split(F.col("file"), "/"), -1)
     part = {n: i + 1 for i, n in enumerate(("model", "family", "sample", "measure", "chain"))}
-    return raw.select(
+    return rows.select(
         F.regexp_replace(name, r"_\d+\.csv$", "").alias("fit"),
         *[F.regexp_extract(name, DRAW_FILE, i).alias(n) for n, i in part.items() if n != "chain"],
         F.regexp_extract(name, DRAW_FILE, part["chain"]).try_cast("int").alias("chain"),
         F.monotonically_increasing_id().alias("draw"),
-        F.array(*[F.col(f"`{c}`").try_cast("double") for c in vector]).alias(prefix),
-        *[F.col(f"`{c}`").try_cast("double").alias(c) for c in scalars],
+        F.transform("vector", lambda c: F.col("cells")[c].try_cast("double")).alias(prefix),
+        *[F.col("cells")[F.lit(c)].try_cast("double").alias(c) for c in scalars],
     )

@@ -117,7 +117,7 @@ def built(spark, country, tmp_path_factory):
     centres = measures.block_group_centres(country["centres"], measures.OUTSIDE_CONTINENT)
     weighted = stored_table(measures.weighted_measures(units, stored, centres), "weighted")
     located = analysis.located_institutions(units, weighted, country["crosswalk"])
-    distances = analysis.distances_to_nearest(
+    distances = analysis.nearest_mean_distance(
         located, measures.block_group_centres(country["centres"], measures.NO_STATE))
     full = analysis.analysis_panel(
         located,
