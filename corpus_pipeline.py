@@ -18,10 +18,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows are told apart by a hash of id and text, so repeated or NULL ids do no harm.
     """
-    marked = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    verdicts = judge_quality(marked, id_col="_row")
-    kept = Scratch(spark).keep(verdicts.where("kept").select(F.col("doc_id").alias("_row")).distinct(), "kept")
-    return marked.join(kept, "_row", "left_semi").select(*docs.columns)
+    row = F.xxhash64(docs["doc_id"], docs["text"])
+    verdicts = judge_quality(docs.select(row.alias("doc_id"), "text"))
+    kept = Scratch(spark).keep(verdicts.where("kept").select("doc_id").distinct(), "kept")
+    return docs.join(kept, row == kept["doc_id"], "left_semi")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat an id count as one document; rows without an id stay unless they reach one.
     """
     verdicts = near_duplicates(docs, shingle=5)
-    kept = Scratch(spark).keep(verdicts.where("kept").select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    kept = Scratch(spark).keep(verdicts.where("kept").select("doc_id").distinct(), "kept")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

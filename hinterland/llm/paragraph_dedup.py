@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hinterland.llm.scratch import Scratch
 from hinterland.llm.similar_sets import link_sets
-from hinterland.llm.sketches import Units, distinct_nodes, set_source, unit_sketches
+from hinterland.llm.sketches import Units, distinct_nodes, place, set_source, unit_sketches
 
 #: 16 bands of 3 rows: paragraphs of similarity 0.8 share no band with probability 0.00001,
 #: those of 0.9 with 0.00000000003. Tuned for recall; wrong candidates fail the exact test.
@@ -55,12 +55,18 @@ def repeated_paragraphs(
         linked.join(first, "component").select("digest", "kept").unionByName(alone), "clusters")
     return (
         places.select("row_id", "row_key", "unit", "digest").join(clusters, "digest")
-        .where(~F.struct("row_id", "unit", "row_key").eqNullSafe(F.col("kept")))
+        .where(~place().eqNullSafe(F.col("kept")))
         .select("row_key", F.col("row_id").alias("doc_id"), "unit",
                 F.col("kept.row_id").alias("kept_doc_id"), F.col("kept.unit").alias("kept_unit"))
     )
 
 
+def _free_name(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def dedup_paragraphs(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -79,21 +85,21 @@ def dedup_paragraphs(
     """
     gone = repeated_paragraphs(docs, id_col, text_col, shingle, percent, least_words)
     scratch = Scratch(docs.sparkSession)
+    found, own = _free_name(docs, "_cuts"), _free_name(docs, "_cut_key")
     lists = scratch.keep(
         gone.select("row_key", F.struct("unit", "kept_doc_id", "kept_unit").alias("cut")).distinct()
-        .groupBy("row_key").agg(F.sort_array(F.collect_list("cut")).alias("_cuts")), "lists")
-    lists = lists.withColumnRenamed("row_key", "_cut_key")
+        .groupBy(F.col("row_key").alias(own)).agg(F.sort_array(F.collect_list("cut")).alias(found)), "lists")
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
     rows = docs.drop("n_removed", "removed")
-    cuts = F.transform("_cuts", lambda c: c["unit"])
+    cuts = F.transform(found, lambda c: c["unit"])
     lines = F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains(cuts, i))
     return (
-        rows.join(lists, key == lists["_cut_key"], "left")
+        rows.join(lists, key == lists[own], "left")
         .withColumns({
-            text_col: F.when(F.col("_cuts").isNull(), F.col(text_col))
+            text_col: F.when(F.col(found).isNull(), F.col(text_col))
             .otherwise(F.array_join(lines, "\n")),
-            "n_removed": F.coalesce(F.size("_cuts"), F.lit(0)),
-            "removed": F.coalesce(F.col("_cuts"), F.array().cast(
+            "n_removed": F.coalesce(F.size(found), F.lit(0)),
+            "removed": F.coalesce(F.col(found), F.array().cast(
                 "array<struct<unit:int,kept_doc_id:bigint,kept_unit:int>>")),
         })
         .select(*rows.columns, "n_removed", "removed")

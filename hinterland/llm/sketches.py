@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hinterland.llm.words import MinHash, set_digest, shingle_set, units
@@ -91,6 +91,11 @@ def _sets(digests: list[bytes], items: list) -> pa.RecordBatch:
         ["digest", "items"])
 
 
+def place() -> Column:
+    """A unit's place in the order of ids, then of lines; rows without an id come last."""
+    return F.struct(F.col("row_id").isNull().alias("nameless"), "row_id", "unit", "row_key")
+
+
 def distinct_nodes(sketches: DataFrame) -> DataFrame:
     """Equal sets become one node with a number, its size, sketch and first place.
 
@@ -99,7 +104,7 @@ def distinct_nodes(sketches: DataFrame) -> DataFrame:
     return (
         sketches.where("n > 0").groupBy("digest")
         .agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"),
-             F.min(F.struct("row_id", "unit", "row_key")).alias("place"), F.count("*").alias("copies"))
+             F.min(place()).alias("place"), F.count("*").alias("copies"))
         .withColumn("node", F.monotonically_increasing_id())
     )
 

@@ -27,9 +27,9 @@ STEPS = 25
 #: Shares of good documents, and of votes to keep and to reject among good and among bad ones:
 #: where EM starts, and what it is smoothed towards with the weight of so many documents.
 PRIOR_GOOD, PRIOR_WEIGHT = 0.9, 20.0
-PRIOR = {"gk": 0.7, "gr": 0.02, "bk": 0.2, "br": 0.4}
+PRIOR = {"gk": 0.5, "gr": 0.001, "bk": 0.3, "br": 0.2}
 #: Rules reject at most this share of good documents, so "good" cannot come to mean the rejected.
-MOST_REJECTED = 0.1
+MOST_REJECTED = 0.001
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 
