@@ -25,7 +25,7 @@ HEADLINE = [
     "propmiss", "hist_density", "kde_curve", "group_quantiles", "group_quantiles_sorted",
     "posterior_terms", "regression_table", "margin_quad", "margin_mult", "margin_tables",
     "design_matrix", "gram_entries", "gram_wide", "ols_coef", "state_suffstats",
-    "normal_draws", "vi_normal_fit", "beta_fit",
+    "normal_draws", "vi_normal_fit", "beta_fit", "vi_beta_fit", "fit_grid",
 ]
 
 
