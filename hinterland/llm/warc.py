@@ -134,11 +134,9 @@ def assemble(records: DataFrame) -> DataFrame:
     size = F.regexp_extract(F.left("body", split + 1), r"(?im)^Content-Length:[ \t]*(\d+)", 1).cast("long")
     held = F.col("kind") == "response"
     captures = records.where(F.col("kind").isin("response", "revisit")).select(
-        "record_id", "kind", "target", F.struct(
-            F.when(held, payload).alias("payload"),
-            F.when(held, F.octet_length(payload).cast("long")).otherwise(size).alias("payload_bytes"),
-            F.when(held, F.sha1(payload.cast("binary"))).otherwise(F.col("digest")).alias("payload_digest"),
-        ).alias("response"))
+        "record_id", "kind", "target", F.when(held, payload).alias("payload"),
+        F.when(held, F.octet_length(payload).cast("long")).otherwise(size).alias("payload_bytes"),
+        F.when(held, F.sha1(payload.cast("binary"))).otherwise(F.col("digest")).alias("payload_digest"))
     others = (
         records.where(F.col("kind").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
         .groupBy(F.col("concurrent_to").alias("record_id"))
@@ -148,8 +146,11 @@ def assemble(records: DataFrame) -> DataFrame:
         some = F.coalesce("others", F.array().cast("array<struct<record_id:string,kind:string,body:string>>"))
         return F.transform(F.filter(some, lambda o: o["kind"] == kind), lambda o: o["body"])
 
+    # The nested row is built last: measures are taken before the join, and payloads that nobody
+    # reads are not shuffled.
+    response = F.struct("payload", "payload_bytes", "payload_digest").alias("response")
     return captures.join(others, "record_id", "left").select(
-        "record_id", "kind", "target", "response", pick("request").alias("requests"),
+        "record_id", "kind", "target", response, pick("request").alias("requests"),
         pick("metadata").alias("metadata"))
 
 
