@@ -195,7 +195,9 @@ def regression_table(
         )
         .select("fit", "ord", "term", "c.*")
     )
-    body = cells.groupBy("ord", "term", "stat").pivot("fit", pivot_keys(summary, "fit", fits)).agg(F.first("text"))
+    named = summary.select(F.col("fit").cast("string").alias("fit"))
+    cells = cells.withColumn("fit", F.col("fit").cast("string"))
+    body = cells.groupBy("ord", "term", "stat").pivot("fit", pivot_keys(named, "fit", fits)).agg(F.first("text"))
     if counts is None:
         return body
     closing = counts.select(F.explode(F.array(*[
