@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hinterland.llm.sampling import hashed_sample
 from hinterland.llm.scratch import Scratch
 
 #: Rows that the tree is fitted on and calibrated with at most, by the order of a hash of their ids.
@@ -164,7 +165,8 @@ def nearest_neighbours(
     lengths = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     width = lengths["d"] if lengths else 1
     rows = rows.where(F.size("vector") == width)
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()
+    hashed = rows.select(F.xxhash64("vec_id").alias("h"), "vector")
+    picked = hashed_sample(hashed, "h", lengths["count"] if lengths else 0, SAMPLE).select("vector").toArrow()
     tree = fit_tree(_matrix(picked.column(0), width), k)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

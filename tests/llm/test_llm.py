@@ -16,6 +16,7 @@ from hinterland.llm.hilbert import curve_table, hilbert_shards
 from hinterland.llm.near_dedup import near_duplicates
 from hinterland.llm.packing import PieceEncoder, binary_lengths, pack_pieces
 from hinterland.llm.paragraph_dedup import dedup_paragraphs
+from hinterland.llm.sampling import hashed_sample
 from hinterland.llm.scratch import Scratch
 from hinterland.llm.url_templates import filter_urls
 from hinterland.llm.warc import archived_pages, read_warc, write_warc
@@ -194,6 +195,14 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><l
 </ul><div class="comments"><p>Nice post this is</p></div></article><form>mail <input></form><footer>&copy; foot</footer></body>"""
 
 
+def test_hashed_sample_takes_the_smallest_hashes(spark):
+    rows = spark.range(20000).selectExpr("xxhash64(id) AS h", "id")
+    every = sorted(r.h for r in rows.collect())
+    assert [r.h for r in hashed_sample(rows, "h", 20000, 300).collect()] == every[:300]
+    assert hashed_sample(rows.limit(50), "h", 50, 300).count() == 50
+    assert hashed_sample(rows.limit(0), "h", 0, 300).count() == 0
+
+
 def test_main_text(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "plain words only"), (4, "u", "<"), (4, "u", "<p")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text int")
