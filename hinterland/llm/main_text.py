@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hinterland.llm.sampling import hashed_sample
+
 #: Elements whose whole content is never main text.
 SKIPPED = frozenset("""script style noscript template svg math iframe object canvas head title nav
 header footer aside form button select textarea option dialog menu audio video""".split())
@@ -162,7 +164,7 @@ def fit_weights(pages: DataFrame, id_col: str, html_col: str, limit: int = LABEL
     """
     marked = pages.where(F.lower(html_col).rlike("<(article|main)[\\s>]")).select(
         F.xxhash64(F.col(id_col).cast("string"), F.col(html_col)).alias("h"), html_col)
-    sample = marked.orderBy("h").limit(limit).select(html_col)
+    sample = hashed_sample(marked, "h", marked.count(), limit).select(html_col)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
