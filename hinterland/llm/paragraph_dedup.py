@@ -1,10 +1,11 @@
-"""Substring dedup by MinHash banding of paragraphs."""
+"""Substring dedup by MinHash banding of paragraphs, then of exact passages across lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hinterland.llm.passages import repeated_windows, take_out
 from hinterland.llm.scratch import Scratch
 from hinterland.llm.similar_sets import link_sets
 from hinterland.llm.sketches import Units, distinct_nodes, place, set_source, unit_sketches
@@ -75,32 +76,55 @@ def dedup_paragraphs(
     percent: int = 80,
     least_words: int = LEAST_WORDS,
 ) -> DataFrame:
-    """``docs`` with repeated paragraphs taken out of the text, and two columns more.
+    """``docs`` with repeated paragraphs and passages taken out of the text, and three columns more.
 
-    ``n_removed`` counts the lines taken out and ``removed`` lists them with the place of the
-    copy that stays. Every row stays, in any case: NULL texts and rows without long paragraphs
-    are unchanged, and a row that loses all its lines has an empty text. Rows equal in id and
-    text hold the same place and are treated alike. Columns of ``docs`` called ``n_removed`` or
-    ``removed`` are replaced; others are carried along.
+    First whole lines go that are near copies of an earlier line. Of what is left each run of
+    over 50 words that an earlier place holds word for word goes as well, wherever it lies:
+    inside a longer line, over several lines, or across a line break. Words are compared as
+    for paragraphs, so case and white space make no difference.
+
+    ``n_removed`` counts the lines and passages taken out; ``removed`` lists the lines with the
+    place of the copy that stays, ``passages`` the runs: ``first_word`` counts the words that the
+    line step left, from 0, and ``kept_word`` those of the text that keeps the run's first window.
+    Every row stays, in any case: NULL texts and rows without repeats are unchanged, and a row
+    that loses all its lines has an empty text. Rows equal in id and text hold the same lines and
+    lose the same ones, but a passage stays in one row only. Columns of ``docs`` called
+    ``n_removed``, ``removed`` or ``passages`` are replaced; others are carried along.
     """
     gone = repeated_paragraphs(docs, id_col, text_col, shingle, percent, least_words)
     scratch = Scratch(docs.sparkSession)
     found, own = _free_name(docs, "_cuts"), _free_name(docs, "_cut_key")
+    number, out = _free_name(docs, "_number"), _free_name(docs, "_left")
     lists = scratch.keep(
         gone.select("row_key", F.struct("unit", "kept_doc_id", "kept_unit").alias("cut")).distinct()
         .groupBy(F.col("row_key").alias(own)).agg(F.sort_array(F.collect_list("cut")).alias(found)), "lists")
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
-    rows = docs.drop("n_removed", "removed")
+    rows = docs.drop("n_removed", "removed", "passages")
     cuts = F.transform(found, lambda c: c["unit"])
     lines = F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains(cuts, i))
-    return (
+    left = scratch.keep(
         rows.join(lists, key == lists[own], "left")
         .withColumns({
             text_col: F.when(F.col(found).isNull(), F.col(text_col))
             .otherwise(F.array_join(lines, "\n")),
-            "n_removed": F.coalesce(F.size(found), F.lit(0)),
             "removed": F.coalesce(F.col(found), F.array().cast(
                 "array<struct<unit:int,kept_doc_id:bigint,kept_unit:int>>")),
+            number: F.monotonically_increasing_id(),
+        })
+        .select(*rows.columns, "removed", number), "left")
+    windows = scratch.keep(repeated_windows(left.select(
+        F.col(number).alias("number"), F.col(id_col).cast("long").alias("row_id"),
+        F.col(text_col).cast("string").alias("text")), scratch), "windows").select(
+        F.col("number").alias(own), F.col("cuts").alias(found))
+    # Texts that lose nothing are not sent to Python.
+    cut = take_out(F.when(F.col(found).isNotNull(), F.col(text_col)), F.col(found))
+    return (
+        left.join(windows, F.col(number) == F.col(own), "left").withColumn(out, cut)
+        .withColumns({
+            text_col: F.coalesce(F.col(f"{out}.text"), F.col(text_col)),
+            "passages": F.coalesce(F.col(f"{out}.passages"), F.array().cast(
+                "array<struct<first_word:int,n_words:int,kept_doc_id:bigint,kept_word:int>>")),
         })
-        .select(*rows.columns, "n_removed", "removed")
+        .withColumn("n_removed", F.size("removed") + F.size("passages"))
+        .select(*rows.columns, "n_removed", "removed", "passages")
     )

@@ -52,7 +52,7 @@ def op5_power_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_paragraphs(_table(spark, folder, "documents")).select(
-        "doc_id", "text", "n_removed", "removed")
+        "doc_id", "text", "n_removed", "removed", "passages")
 
 
 def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:

@@ -95,6 +95,19 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(_sequence(words, np.arange(n - k + 1), k))
 
 
+def run_hashes(words: np.ndarray, k: int, second: bool = False) -> np.ndarray:
+    """A hash of each ``k`` running words; ``second`` takes another polynomial."""
+    n = len(words)
+    if n < k:
+        return np.zeros(0, _U)
+    base = 0xD6E8FEB86659FD93 if second else _BASE
+    power = np.multiply.accumulate(np.full(n, base, _U))
+    total = np.zeros(n + 1, _U)
+    np.cumsum(words * power, out=total[1:])
+    back = np.multiply.accumulate(np.full(n, pow(base, -1, 1 << 64), _U))
+    return mix((total[k:] - total[:-k]) * back[:n - k + 1] + _U(k))
+
+
 def set_digest(shingles: np.ndarray) -> bytes:
     return hashlib.md5(shingles.tobytes()).digest()
 

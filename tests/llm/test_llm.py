@@ -92,6 +92,35 @@ def test_repeated_paragraph_stays_once(spark, docs):
     assert by_id[16].n_removed == 0
 
 
+def test_passages_of_over_fifty_words_match_brute_force(spark):
+    short = "\n".join(" ".join(text_of(20, 90).split()[i:i + 15]) for i in range(0, 90, 15))
+    inside, across = text_of(21, 55), text_of(22, 60)
+    rows = [
+        (0, text_of(30, 70) + "\n" + short + "\n" + text_of(31, 70)),
+        (1, text_of(32, 45) + "\n" + short.upper() + "\n" + text_of(33, 45)),
+        (2, text_of(34, 20) + " " + inside + " " + text_of(35, 20)),
+        (3, text_of(36, 30) + " " + inside + " " + text_of(37, 30)),
+        (4, text_of(38, 30) + " " + across + " " + text_of(39, 30)),
+        (5, text_of(40, 60) + " " + "\n".join(across.split(" ", 30)) + "\n" + text_of(41, 60)),
+        (6, "p q r s\n" * 60), (None, "\n".join(text_of(42, 51).split())),
+        (None, "\n\n".join(text_of(42, 51).split()) + " é"), (7, text_of(21, 50)),
+        (8, "\n".join(text_of(43, 60).split())), (8, "\n".join(text_of(43, 60).split())),
+    ]
+    got = dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = {r.doc_id: word_list(r.text) for r in got}
+    assert texts[0] == word_list(rows[0][1]) and texts[2] == word_list(rows[2][1])
+    assert texts[1] == word_list(text_of(32, 45) + " " + text_of(33, 45))
+    assert texts[3] == word_list(text_of(36, 30) + " " + text_of(37, 30))
+    assert texts[5] == word_list(text_of(40, 60) + " " + text_of(41, 60))
+    assert texts[6] == (["p", "q", "r", "s"] * 13)[:51] and len(texts[7]) == 50
+    assert sorted(len(word_list(r.text)) for r in got if r.doc_id is None) in ([1, 51], [0, 52])
+    assert sorted(len(word_list(r.text)) for r in got if r.doc_id == 8) == [0, 60]
+    held = [tuple(w[i:i + 51]) for w in map(word_list, (r.text for r in got)) for i in range(len(w) - 50)]
+    assert len(held) == len(set(held))
+    told = next(r for r in got if r.doc_id == 3)
+    assert told.n_removed == 1 and tuple(told.passages[0]) == (30, 55, 2, 20)
+
+
 def test_quality_counts_match_brute_force(spark, docs):
     got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
            for r in weak_quality.judge_quality(docs).collect()}
