@@ -35,7 +35,8 @@ def popdist_weighted_mean(
     """Population and inverse-distance weighted mean of every measure around each point.
 
     For each row of ``x``: ``sum(m * pop * d**-decay) / sum(pop * d**-decay)`` over all
-    rows of ``y`` in the same ``by`` group, where NULL measures drop out of both sums.
+    rows of ``y`` in the same ``by`` group, where NULL measures drop out of both sums. Rows of
+    ``x`` without coordinates, or whose group (a NULL one too) has no ``y``, get NULL measures.
     ``x_id`` must be unique within ``by``.
 
     Every x meets every y by definition, so the work is cut into blocks instead of
@@ -115,8 +116,10 @@ def popdist_weighted_mean(
     partial = (
         x_cells.groupBy(*key).cogroup(y_cells.groupBy(*key)).applyInPandas(cell_sums, out_schema)
     )
+    # Rows of x that meet no y are in no cell; a row of NULL sums each leaves the others as they are.
+    every = x.select(*by, x_id, *[F.lit(None).cast("double").alias(s) for s in sums])
     return (
-        partial.groupBy(*by, x_id)
+        partial.unionByName(every).groupBy(*by, x_id)
         .agg(*[F.sum(s).alias(s) for s in sums])
         .select(
             *by, x_id,

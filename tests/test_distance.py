@@ -77,6 +77,22 @@ def test_all_null_measure_is_null(spark, world):
                popdist_weighted_mean(x, y, ["m"], "unitid").collect())
 
 
+@pytest.mark.parametrize("by", [(), ("year",)])
+def test_rows_that_meet_no_area_stay_with_null_measures(spark, by):
+    x = spark.createDataFrame(
+        [(1, 0, -90.0, 40.0), (2, 0, None, 40.0), (3, 0, -90.0, None), (4, 7, -90.0, 40.0),
+         (5, None, -90.0, 40.0)], "unitid long, year int, lon double, lat double")
+    y = spark.createDataFrame(
+        [(0, -91.0, 41.0, 10, 3.0), (None, -91.0, 41.0, 10, 3.0)],
+        "year int, lon double, lat double, pop int, m double")
+    got = {r.unitid: r.pdw2_m for r in
+           popdist_weighted_mean(x, y, ["m"], "unitid", by=by).collect()}
+    met = pytest.approx(3.0)
+    assert got == {1: met, 2: None, 3: None, 4: None if by else met, 5: None if by else met}
+    none = popdist_weighted_mean(x, y.limit(0), ["m"], "unitid", by=by).collect()
+    assert len(none) == 5 and all(r.pdw2_m is None for r in none)
+
+
 def test_no_pairs_and_no_cross_join_in_plan(spark, world):
     x, y = (spark.createDataFrame(d) for d in world)
     plan = popdist_weighted_mean(x, y, ["m"], "unitid", by=["year"])
