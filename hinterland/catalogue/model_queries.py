@@ -9,8 +9,8 @@ from hinterland.operators.frame import one_hot
 from hinterland.operators.normal_models import (
     fit_normal, fit_varying_normal, group_level, group_stats,
 )
-from hinterland.operators.posterior import posterior_terms
-from hinterland.plans.models import FitSpec, fit_grid
+from hinterland.operators.posterior import OTHER_TERMS, posterior_terms
+from hinterland.plans.models import ALL_FITS, fit_grid
 
 PANEL_SQL = """
 WITH panel AS (
@@ -150,7 +150,7 @@ def normal_draws(t: Tables):
 def vi_normal_fit(t: Tables):
     rows, names = design(t)
     fitted = fit_varying_normal(rows, names, "c_nationkey", states(t))
-    return posterior_terms(fitted.draws, names)
+    return posterior_terms(fitted.draws, names, also=OTHER_TERMS)
 
 
 def share_design(t: Tables):
@@ -163,32 +163,35 @@ def share_design(t: Tables):
 @query("beta_fit")
 def beta_fit(t: Tables):
     rows, names = share_design(t)
-    return posterior_terms(fit_beta(rows, names).draws, names)
+    return posterior_terms(fit_beta(rows, names).draws, names, also=OTHER_TERMS)
 
 
 @query("vi_beta_fit")
 def vi_beta_fit(t: Tables):
     rows, names = share_design(t)
     return posterior_terms(
-        fit_varying_beta(rows, names, "c_nationkey", states(t)).draws, names
+        fit_varying_beta(rows, names, "c_nationkey", states(t)).draws, names, also=OTHER_TERMS
     )
 
 
 @query("fit_grid")
 def model_grid(t: Tables):
-    """Both families and several measure sets, one wide pass over the data for the normal
-    fits."""
+    """All 32 fits of the library's list, one wide pass over a sample for its normal fits.
+
+    The full sample holds every order; sens leaves out the urgent ones and has two flags more.
+    """
     top = t.orders.agg((F.max("o_totalprice") * 1.01).alias("m"))
     rows = panel(t).withColumns({
         "pdw2_pcount": 1 + F.col("o_custkey") % 7, "pdw2_upload": (F.col("o_custkey") * 13) % 11,
         "share": F.col("o_totalprice") / top.scalar(),
     })
-    specs = [
-        FitSpec(model, family, "full", m)
-        for model, family in (("sl", "normal"), ("vi", "normal"), ("sl", "beta"))
-        for m in ("download", "upload", "pcount", "all")
-    ]
-    return posterior_terms(fit_grid(
-        {"full": rows}, specs, {"normal": "y", "beta": "share"}, {"full": COVARIATES},
-        group="c_nationkey", second={"full": states(t)},
-    ))
+    sens = rows.where("rucc > 1").withColumns({
+        "rucc_4": (F.col("rucc") == 4).cast("int"), "third": (F.col("o_custkey") % 3 == 0).cast("int"),
+    })
+    level = states(t)
+    draws = fit_grid(
+        {"full": rows, "sens": sens}, ALL_FITS, {"normal": "y", "beta": "share"},
+        {"full": COVARIATES, "sens": [*COVARIATES, "rucc_4", "third"]},
+        group="c_nationkey", second={"full": level, "sens": level},
+    )
+    return posterior_terms(draws, also=OTHER_TERMS)

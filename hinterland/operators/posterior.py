@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hinterland.functions.scalar import interval_text, number_text
 from hinterland.operators.aggregates import quantiles
@@ -18,16 +19,40 @@ from hinterland.operators.frame import pivot_keys, stack_rows
 from hinterland.operators.joins import attach_row
 
 
+#: Columns of a draw besides its slopes, in table order: the intercept comes last.
+OTHER_TERMS = ("gamma", "a_region", "sigma", "sigma_a", "phi", "alpha")
+
+
 def draws_long(
     draws: DataFrame, terms: Sequence[str] | None = None, by: Sequence[str] = ("fit",),
-    vector: str = "beta",
+    vector: str = "beta", also: Sequence[str] = (),
 ) -> DataFrame:
-    """``(by, pos, term, value)``; unnamed terms are called ``vector[k]``, k from 1."""
-    long = draws.select(*by, F.posexplode(vector).alias("pos", "value"))
+    """``(by, pos, term, value)``; unnamed terms are called ``vector[k]``, k from 1.
+
+    ``also`` names more columns, whose values follow those of ``vector``: a number under its own
+    name, an array as ``name[k]``. What a fit does not have (NULL) is left out.
+    """
+    if also:
+        def listed(c: str) -> Column:
+            if isinstance(draws.schema[c].dataType, T.ArrayType):
+                named = F.transform(c, lambda v, i: F.struct(
+                    F.format_string(f"{c}[%d]", i + 1).alias("name"), v.cast("double").alias("value")))
+                return F.coalesce(named, F.array().cast("array<struct<name:string,value:double>>"))
+            return F.array(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")))
+
+        held = F.filter(F.concat(*map(listed, also)), lambda e: e["value"].isNotNull())
+        slopes = F.transform(vector, lambda v: F.struct(
+            F.lit(None).cast("string").alias("name"), v.cast("double").alias("value")))
+        long = draws.select(*by, F.posexplode(F.concat(slopes, held)).alias("pos", "e")).select(
+            *by, "pos", "e.name", "e.value")
+    else:
+        long = draws.select(
+            *by, F.posexplode(vector).alias("pos", "value")).withColumn("name", F.lit(None).cast("string"))
     fallback = F.format_string(f"{vector}[%d]", F.col("pos") + 1)
     if terms is not None:
         fallback = F.coalesce(F.get(F.array(*[F.lit(t) for t in terms]), F.col("pos")), fallback)
-    return long.select(*by, "pos", fallback.alias("term"), F.col("value").cast("double"))
+    return long.select(
+        *by, "pos", F.coalesce("name", fallback).alias("term"), F.col("value").cast("double"))
 
 
 def posterior_terms(
@@ -39,10 +64,12 @@ def posterior_terms(
     vector: str = "beta",
     drop: str | None = None,
     rounding=F.bround,
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """Posterior mean and central interval of each term: ``(by, pos, term, estimate, lo,
-    hi)``. ``drop`` is a pattern of term names to leave out before anything is computed."""
-    long = draws_long(draws, terms, by, vector)
+    hi)``. ``drop`` is a pattern of term names to leave out before anything is computed;
+    ``also`` names columns that follow the vector, such as ``OTHER_TERMS``."""
+    long = draws_long(draws, terms, by, vector, also)
     if drop is not None:
         long = long.where(~F.col("term").rlike(drop))
     tail = (1.0 - level) / 2.0

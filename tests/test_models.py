@@ -224,3 +224,20 @@ def test_grid_names_and_shapes(frames):
         F.count("*").alias("n"), F.max(F.size("beta")).alias("k")).collect()}
     assert got == {"sl_normal_full_all": (100, 7), "sl_normal_full_upload": (100, 3),
                    "vi_normal_full_download": (100, 3), "sl_beta_full_pcount": (100, 3)}
+
+
+def test_grid_query_has_all_fits_with_their_other_terms(spark, tables):
+    from hinterland.catalogue import QUERIES
+    from hinterland.plans.models import ALL_FITS
+
+    terms = {}
+    for r in QUERIES["fit_grid"](spark, tables).collect():
+        assert r.lo <= r.estimate <= r.hi
+        terms.setdefault(r.fit, []).append(r.term)
+    assert set(terms) == {f.name for f in ALL_FITS}
+    for f in ALL_FITS:
+        slopes = (6 if f.measure == "all" else 2) + (5 if f.sample == "sens" else 3)
+        own = terms[f.name]
+        assert sum(t.startswith("beta[") for t in own) == slopes
+        assert ("alpha" in own) == (f.model == "sl") and ("gamma[1]" in own) == (f.model == "vi")
+        assert ("phi" in own) == (f.family == "beta") and ("a_region[1]" in own) == (f.model == "vi")

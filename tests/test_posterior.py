@@ -82,3 +82,14 @@ def test_draws_in_large_groups_take_the_sorted_way(draws, monkeypatch):
     large = posterior_terms(draws, digits=None).orderBy("fit", "pos").collect()
     for a, b in zip(small, large, strict=True):
         assert (a["lo"], a["hi"], a["estimate"]) == pytest.approx((b["lo"], b["hi"], b["estimate"]))
+
+
+def test_other_columns_follow_the_slopes_and_the_intercept_comes_last(spark):
+    draws = spark.createDataFrame(
+        [("sl", [1.0, 2.0], None, 0.5, 3.0), ("sl", [3.0, 4.0], None, 1.5, 5.0),
+         ("vi", [1.0], [7.0, 8.0], 0.5, None)],
+        "fit string, beta array<double>, gamma array<double>, sigma double, alpha double")
+    got = posterior_terms(draws, ["dl"], also=["gamma", "sigma", "alpha"]).orderBy("fit", "pos").collect()
+    assert [(r.fit, r.pos, r.term, r.estimate) for r in got] == [
+        ("sl", 0, "dl", 2.0), ("sl", 1, "beta[2]", 3.0), ("sl", 2, "sigma", 1.0), ("sl", 3, "alpha", 4.0),
+        ("vi", 0, "dl", 1.0), ("vi", 1, "gamma[1]", 7.0), ("vi", 2, "gamma[2]", 8.0), ("vi", 3, "sigma", 0.5)]
