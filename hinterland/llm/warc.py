@@ -167,7 +167,7 @@ def archived_pages(
     scratch = Scratch(spark)
     path = scratch.path("archives")
     border = write_warc(pages, path, id_col, url_col, payload_col)
-    page_id = F.regexp_extract(F.element_at("metadata", 1), r"(?m)^page-id: (\d+)", 1)
+    page_id = F.regexp_extract(F.element_at("metadata", 1), r"(?m)^page-id: (-?\d+)", 1)
     rows = scratch.keep(assemble(read_warc(spark, path, border)).select(
         F.nullif(page_id, F.lit("")).cast("long").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"),

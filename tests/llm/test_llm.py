@@ -218,6 +218,14 @@ def test_warc_round_trip(spark):
     assert read_warc(spark, path, border).count() == 6
 
 
+def test_warc_keeps_negative_ids(spark):
+    big = "y" * 1200
+    pages = spark.createDataFrame([(-7, "u", big), (-3, "u", big), (-9, "u", "z")],
+                                  "page_id long, url string, html string")
+    got = {(r.page_id, r.record_type, r.refers_to) for r in archived_pages(pages).collect()}
+    assert got == {(-7, "revisit", -3), (-3, "response", None), (-9, "response", None)}
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a>menu one</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><article><h1>Head &amp; tail</h1><p>One two<br>three <b>four</b> five six
  seven</p><aside>Aside words here</aside><script>var t="</p>";</script><p>Eight nine ten eleven twelve</p><ul><li>item a b</li>
