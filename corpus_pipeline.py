@@ -25,13 +25,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, by shingles of five words.
+    """One row of each group of near duplicates, by shingles of five words.
 
-    Rows that repeat an id count as one document; rows without an id stay unless they reach one.
+    Rows are told apart by a number of their own, so that ids may repeat or be NULL. Of a group
+    the row with the smallest id stays, of rows without ids or with one id that of the smallest
+    hash; rows without words stay.
     """
-    verdicts = near_duplicates(docs, shingle=5)
-    kept = Scratch(spark).keep(verdicts.where("kept").select("doc_id").distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    scratch = Scratch(spark)
+    number = "_number"
+    while number in docs.columns:
+        number += "_"
+    rows = scratch.keep(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, id_col=number, shingle=5).select(
+        F.col("doc_id").alias("n"), "component_id")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col(number).alias("n"))
+    kept = scratch.keep(
+        found.join(rows.select(F.col(number).alias("n"), place.alias("place")), "n")
+        .groupBy("component_id").agg(F.min("place").alias("place")).select("place.n"), "kept")
+    return rows.join(kept, rows[number] == kept["n"], "left_semi").drop(number)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,6 +72,31 @@ def test_near_duplicates_match_brute_force(spark, docs):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_pipeline_keeps_one_row_of_each_near_group(spark, docs):
+    import corpus_pipeline
+
+    more = spark.createDataFrame([(i, text_of(50, 90), "en", "s", 0, 1, 2, "z") for i in (None, None, 20, 20)]
+                                 + [(None, text_of(51, 90), "en", "s", 0, 1, 2, "z")] * 2, SCHEMA)
+    rows = docs.unionByName(more)
+    held = [(r.doc_id, r.text, shingles(r.text, 5)) for r in rows.collect()]
+    group = list(range(len(held)))
+    for a, b in itertools.combinations(range(len(held)), 2):
+        s, t = held[a][2], held[b][2]
+        if s and t and 100 * len(s & t) >= 80 * len(s | t):
+            old, new = group[b], group[a]
+            group = [new if g == old else g for g in group]
+    want = []
+    for g in set(group):
+        own = [held[i][:2] for i in range(len(held)) if group[i] == g]
+        low = min((i for i, _ in own if i is not None), default=None)
+        want.append({(i, t) for i, t in own if i == low})
+    out = corpus_pipeline.near_dedup(spark, rows, "")
+    assert out.columns == rows.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(got) == len(want) and all(any(r in w for r in got) for w in want)
+    assert got.count((20, text_of(50, 90))) == 1 and got.count((None, text_of(51, 90))) == 1
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 140)] + [(5, 5), (1, 0)]
     got = {r.node: r.component for r in components(
