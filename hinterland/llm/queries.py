@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hinterland.llm import hilbert, url_templates, warc, weak_quality
+from hinterland.llm import (
+    hilbert, importance, projection_passes, sharded_lloyd, url_templates, warc, weak_quality,
+)
 from hinterland.llm.bpe_duckdb import encode_decode
 from hinterland.llm.hilbert import hilbert_shards
+from hinterland.llm.importance import resample
 from hinterland.llm.kmeans_tree import nearest_neighbours
 from hinterland.llm.main_text import extract_main_text
 from hinterland.llm.near_dedup import near_duplicates
 from hinterland.llm.packing import pack_pieces
 from hinterland.llm.paragraph_dedup import dedup_paragraphs
+from hinterland.llm.projection_passes import near_vectors
+from hinterland.llm.sharded_lloyd import cluster_vectors
 from hinterland.llm.url_templates import filter_urls
 from hinterland.llm.warc import archived_pages
 from hinterland.llm.weak_quality import judge_quality
@@ -75,9 +80,23 @@ def op10_url_templates(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(_table(spark, folder, "pages"))
 
 
+def op11_prefix_crc(spark: SparkSession, folder: str) -> DataFrame:
+    return resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_sharded_lloyd(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster_vectors(_table(spark, folder, "embeddings"))
+
+
+def op13_projection_passes(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_hilbert, op2_warc, op3_weak_quality, op4_tensored_minhash, op5_power_packing,
-    op6_paragraph_dedup, op7_main_text, op8_bpe_duckdb, op9_kmeans_tree, op10_url_templates)}
+    op6_paragraph_dedup, op7_main_text, op8_bpe_duckdb, op9_kmeans_tree, op10_url_templates,
+    op11_prefix_crc, op12_sharded_lloyd, op13_projection_passes)}
 
 #: Links of near duplicates, exactly: sets that share a shingle are compared in full.
 _NEAR = r"""
@@ -119,4 +138,7 @@ ORACLE: dict[str, str] = {
     "op3_weak_quality": weak_quality.oracle(),
     "op4_tensored_minhash": _NEAR,
     "op10_url_templates": url_templates.oracle(),
+    "op11_prefix_crc": importance.ORACLE,
+    "op12_sharded_lloyd": sharded_lloyd.oracle(),
+    "op13_projection_passes": projection_passes.ORACLE,
 }
