@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hinterland.functions.geo import EARTH_RADIUS_M, great_circle, unit_vector
-from hinterland.sources.checkpoint import materialise
+from hinterland.operators.cells import POINTS, cells, nearest_points
 
 _SCRATCH_PAIRS = 65_536  # pairs computed at once, so that temporaries stay in cache
 
@@ -170,9 +170,6 @@ def _block_cells(x, y, x_rows, y_rows, by, x_block, y_block) -> tuple[DataFrame,
     return x.drop("_bx", "_by"), y.drop("_bx", "_by")
 
 
-_MAX_LEVEL = 10  # 4**10 slices an axis: cells about 12 m wide
-
-
 def nearest_join(
     starts: DataFrame,
     ends: DataFrame,
@@ -181,135 +178,36 @@ def nearest_join(
     by: Sequence[str],
     lon: str = "lon",
     lat: str = "lat",
-    leaf: int = 64,
+    cell: int = POINTS,
 ) -> DataFrame:
     """Nearest end for each start within the same ``by`` group.
 
     Returns ``(*by, start_id, end_id, meters)``; ties go to the smallest ``end_id`` and
-    starts whose group has no end give no row.
+    starts whose group has no end give no row. Rows without coordinates take no part.
 
-    Ends are reduced to distinct locations. Groups of at most ``leaf`` locations are
-    compared directly. Where a group is larger, space is cut into nested cells and each
-    start walks down the levels, keeping only the cells that can still hold its nearest
-    end: a cell goes when the box around its ends is farther than an end already met. The
-    pruning is exact at any density and no start is ever paired with its whole group.
+    Ends are reduced to distinct locations. Starts and ends are dealt into cells of at most
+    ``cell`` points of one group, cut by rank, so that a dense place or a group with most rows is
+    many cells. Pairs of cells are pruned from the top of both trees by exact bounds; the arrays
+    of the pairs left are compared in tasks, so no start meets its whole group and nothing is
+    keyed by the group alone.
     """
     if not by:
         raise ValueError("nearest_join needs at least one grouping column")
     by = list(by)
-    sx, sy, sz = unit_vector(lon, lat)
-    located = F.col(lon).isNotNull() & F.col(lat).isNotNull()
-    points = (
+    located = (F.col(lon).isNotNull() & F.col(lat).isNotNull() & ~F.isnan(lon) & ~F.isnan(lat))
+    places = (
         ends.where(located)
         .groupBy(*by, F.col(lon).alias("_elon"), F.col(lat).alias("_elat"))
-        .agg(F.min(end_id).alias(end_id))
+        .agg(F.min(end_id).alias("_end"))
     )
     seekers = starts.where(located).select(
-        *by, start_id, F.col(lon).alias("_slon"), F.col(lat).alias("_slat")
-    )
-
-    largest = points.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= leaf:
-        pairs = seekers.join(points, by)
-    else:
-        pairs = _descend(seekers, points, start_id, by, leaf)
-
+        *by, F.col(start_id).alias("_start"), F.col(lon).alias("_slon"), F.col(lat).alias("_slat"))
+    start_cols, end_cols = ["_start", "_slon", "_slat"], ["_end", "_elon", "_elat"]
+    pairs = nearest_points(
+        cells(seekers, by, start_cols, "_slon", "_slat", cell),
+        cells(places, by, end_cols, "_elon", "_elat", cell),
+        [seekers.schema[c] for c in start_cols], [places.schema[c] for c in end_cols])
     best = F.min(F.struct(
-        great_circle("_slon", "_slat", "_elon", "_elat").alias("meters"), F.col(end_id)
-    )).alias("best")
-    return pairs.groupBy(*by, start_id).agg(best).select(
-        *by, start_id, F.col(f"best.{end_id}").alias(end_id), "best.meters"
-    )
-
-
-_START, _END = ("_sx", "_sy", "_sz"), ("_ex", "_ey", "_ez")
-
-
-def _cell(axes: Sequence[str], level: int) -> Column:
-    """Code of the cube of the given level around a point of the unit sphere."""
-    n = 4**level
-    code = F.lit(0).cast("long")
-    for axis in axes:
-        slice_ = F.least(F.floor((F.col(axis) + 1.0) * (n / 2.0)), F.lit(n - 1))
-        code = code * n + F.greatest(slice_, F.lit(0))
-    return code
-
-
-def _squared(points: Sequence[str]) -> Column:
-    """Squared chord from a start to the point held in three columns."""
-    total = F.lit(0.0)
-    for s, p in zip(_START, points):
-        total = total + (F.col(s) - F.col(p)) * (F.col(s) - F.col(p))
-    return total
-
-
-def _descend(
-    seekers: DataFrame, points: DataFrame, start_id: str, by: list[str], leaf: int
-) -> DataFrame:
-    """Candidate pairs that hold every start's nearest end.
-
-    Each start carries an upper bound of its distance: the closest end it has met so far,
-    one sample end a cell. A cell whose box is farther than the bound is dropped.
-    """
-    points = materialise(points.withColumns(dict(zip(_END, unit_vector("_elon", "_elat")))))
-    depth = 1
-    while depth < _MAX_LEVEL:
-        crowd = points.groupBy(*by, _cell(_END, depth).alias("c")).count().agg(F.max("count"))
-        if crowd.first()[0] <= leaf:
-            break
-        depth += 1
-
-    sample = [f"{c}_any" for c in _END]
-
-    def boxes(level: int, parent: bool) -> DataFrame:
-        """Occupied cells with the box around their ends and one of the ends. The three
-        ``first`` columns are updated by the same row, so they belong to one end."""
-        keys = [_cell(_END, level).alias("_child")]
-        if parent:
-            keys.append(_cell(_END, level - 1).alias("_cell"))
-        return points.groupBy(*by, *keys).agg(
-            *[F.min(c).alias(f"{c}_lo") for c in _END],
-            *[F.max(c).alias(f"{c}_hi") for c in _END],
-            *[F.first(c).alias(n) for c, n in zip(_END, sample)],
-        )
-
-    frontier = seekers.withColumns(dict(zip(_START, unit_vector("_slon", "_slat"))))
-    carried = list(frontier.columns)
-    # First bound: an end in the start's own cell at the two finest levels; 4 is the largest
-    # squared chord.
-    frontier = frontier.withColumn("_bound", F.lit(4.0))
-    for level in range(max(1, depth - 1), depth + 1):
-        own = boxes(level, parent=False).select(*by, "_child", *sample)
-        frontier = (
-            frontier.withColumn("_child", _cell(_START, level))
-            .join(own, [*by, "_child"], "left")
-            .withColumn("_bound", F.least("_bound", _squared(sample)))
-            .select(*carried, "_bound")
-        )
-
-    # The slack covers rounding of the squared chords.
-    within = F.col("_near") <= F.col("_bound") * (1 + 1e-9) + 1e-15
-    per_start = Window.partitionBy(*by, start_id)
-    for level in range(1, depth + 1):
-        near = F.lit(0.0)
-        for s, e in zip(_START, _END):
-            outside = F.greatest(
-                F.col(f"{e}_lo") - F.col(s), F.col(s) - F.col(f"{e}_hi"), F.lit(0.0)
-            )
-            near = near + outside * outside
-        frontier = (
-            frontier.join(boxes(level, parent=level > 1), [*by, "_cell"] if level > 1 else by)
-            .select(*carried, "_bound", F.col("_child").alias("_cell"), near.alias("_near"),
-                    _squared(sample).alias("_met"))
-            .where(within)
-            .withColumn("_bound", F.least("_bound", F.min("_met").over(per_start)))
-            .where(within)
-            .select(*carried, "_bound", "_cell")
-        )
-    leaves = points.withColumn("_cell", _cell(_END, depth))
-    return (
-        frontier.join(leaves, [*by, "_cell"])
-        .withColumn("_near", _squared(_END))
-        .where(within)
-        .drop("_bound", "_near", *_START, *_END)
-    )
+        great_circle("_slon", "_slat", "_elon", "_elat").alias("meters"), "_end")).alias("best")
+    return pairs.groupBy(*by, F.col("_start").alias(start_id)).agg(best).select(
+        *by, start_id, F.col("best._end").alias(end_id), "best.meters")

@@ -100,8 +100,8 @@ def test_no_pairs_and_no_cross_join_in_plan(spark, world):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("leaf", [2, 64])
-def test_nearest_equals_brute_force(spark, leaf):
+@pytest.mark.parametrize("cell", [2, 64])
+def test_nearest_equals_brute_force(spark, cell):
     rng = np.random.default_rng(5)
     n = 150
     starts = pd.DataFrame({"sid": range(n), "g": np.where(np.arange(n) < 100, "a", "b"),
@@ -112,7 +112,7 @@ def test_nearest_equals_brute_force(spark, leaf):
     ends.loc[1, ["lon", "lat"]] = ends.loc[0, ["lon", "lat"]].values  # a tie
     starts.loc[len(starts)] = [n, "empty", 0.0, 0.0]
     got = nearest_join(
-        spark.createDataFrame(starts), spark.createDataFrame(ends), "sid", "eid", ["g"], leaf=leaf
+        spark.createDataFrame(starts), spark.createDataFrame(ends), "sid", "eid", ["g"], cell=cell
     ).collect()
     assert len(got) == n
     for r in got:
