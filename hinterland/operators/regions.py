@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hinterland.operators.joins import attach_row, lookup
+from hinterland.operators.quadtree import EDGES, build_tree, locate
 from hinterland.operators.windows import first_per_key
+from hinterland.sources.checkpoint import materialise
 
 
 def polygon_edges(
@@ -27,16 +29,12 @@ def polygon_edges(
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     def following(c: str) -> Column:
-        return F.coalesce(F.lead(c).over(w), F.first(c).over(whole))
-
-    return (
-        vertices.select(
-            polygon,
-            F.col(lon).alias("x1"), F.col(lat).alias("y1"),
-            following(lon).alias("x2"), following(lat).alias("y2"),
-        )
-        # Horizontal edges are never crossed by the horizontal test ray.
-        .where(F.col("y1") != F.col("y2"))
+        return F.coalesce(F.lead(c).over(w), F.first(c).over(whole)).cast("double")
+
+    return vertices.select(
+        polygon,
+        F.col(lon).cast("double").alias("x1"), F.col(lat).cast("double").alias("y1"),
+        following(lon).alias("x2"), following(lat).alias("y2"),
     )
 
 
@@ -51,61 +49,30 @@ def points_in_polygons(
     order: str = "order",
     vertex_lon: str = "long",
     vertex_lat: str = "lat",
-    cell: float = 1.0,
+    most_edges: int = EDGES,
     point_key: Sequence[str] | None = None,
 ) -> DataFrame:
     """Name of the polygon around each point, NULL outside all of them.
 
-    Points and polygons meet through an equi-join on grid cells of ``cell`` degrees. A
-    (polygon, cell) row carries only the edges a ray from that cell can cross, and the
-    even-odd test is part of the join condition, so non-matching candidates never become
-    rows. Points on a left or lower border count as inside.
+    Polygons lie in a quadtree whose cells hold at most ``most_edges`` edges, however many a
+    polygon has and however densely; a point meets its own cell and tests the edges there, none
+    where the cell lies inside or outside as a whole. Points on a left or lower border count as
+    inside.
 
     Polygons of one map do not overlap; where they may, give ``point_key`` to keep the
-    first polygon by name for each point. ``names`` adds columns by polygon name.
+    first polygon by name for each point. ``names`` adds columns by polygon name and has one row
+    a polygon.
     """
-    edges = polygon_edges(polygons, polygon, ring, order, vertex_lon, vertex_lat)
-
-    def slot(c: Column) -> Column:
-        return F.floor(c / F.lit(cell)).cast("long")
-
-    lo_y, hi_y = F.least("y1", "y2"), F.greatest("y1", "y2")
-    banded = edges.withColumn("_cy", F.explode(F.sequence(slot(lo_y), slot(hi_y))))
-    extent = edges.groupBy(polygon).agg(
-        slot(F.min(F.least("x1", "x2"))).alias("_from"),
-        slot(F.max(F.greatest("x1", "x2"))).alias("_to"),
-    )
-    cells = (
-        banded.join(extent, polygon)
-        # An edge can be crossed from every cell at or to the left of its right end.
-        .withColumn("_cx", F.explode(
-            F.sequence("_from", F.least(F.col("_to"), slot(F.greatest("x1", "x2"))))
-        ))
-        .groupBy(polygon, "_cx", "_cy")
-        .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
-        .withColumnRenamed(polygon, "_poly")
-    )
-
-    px, py = F.col(f"_p.{lon}"), F.col(f"_p.{lat}")
-
-    def crossed(e: Column) -> Column:
-        spans = (e["y1"] <= py) != (e["y2"] <= py)
-        at = e["x1"] + (py - e["y1"]) / (e["y2"] - e["y1"]) * (e["x2"] - e["x1"])
-        return F.when(spans & (px < at), F.lit(1)).otherwise(F.lit(0))
-
-    inside = F.aggregate(F.col("_edges"), F.lit(0), lambda n, e: n + crossed(e)) % 2 == 1
-    out = (
-        points.alias("_p")
-        .join(
-            cells.alias("_c"),
-            (slot(px) == F.col("_c._cx")) & (slot(py) == F.col("_c._cy")) & inside,
-            "left",
-        )
-        .select("_p.*", F.col("_c._poly").alias(polygon))
-    )
-    if point_key is not None:
-        out = first_per_key(out, point_key, [polygon], nulls="last")
-    return out if names is None else lookup(out, names, polygon)
+    edges = materialise(polygon_edges(polygons, polygon, ring, order, vertex_lon, vertex_lat))
+    tree = build_tree(edges, polygon, names, most_edges)
+    added = [c for c in names.columns if c != polygon] if names is not None else []
+    if tree is None:
+        empty = polygons.select(polygon) if names is None else names
+        return points.withColumns({c: F.lit(None).cast(empty.schema[c].dataType) for c in (polygon, *added)})
+    placed, around = locate(points, tree, lon, lat)
+    out = placed.withColumn("_qaround", F.explode_outer(around)).select(
+        *points.columns, F.col("_qaround.poly").alias(polygon), *[F.col(f"_qaround.{c}").alias(c) for c in added])
+    return out if point_key is None else first_per_key(out, point_key, [polygon], nulls="last")
 
 
 def neighbour_set(

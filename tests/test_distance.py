@@ -140,9 +140,9 @@ def test_polygons_with_hole_edge_and_outside(spark):
         [(1, 1.0, 1.0), (2, 5.0, 5.0), (3, 0.0, 5.0), (4, 10.0, 5.0), (5, 15.0, 2.0),
          (6, -1.0, 5.0), (7, 9.999, 9.0), (8, None, 1.0)], "id int, lon double, lat double")
     names = spark.createDataFrame([("p", "00001"), ("q", "00002")], "polyname string, fips string")
-    for cell in (1.0, 3.7, 50.0):
+    for most in (2, 4, 50):
         got = {r["id"]: r["fips"] for r in
-               points_in_polygons(points, polygons, names=names, cell=cell).collect()}
+               points_in_polygons(points, polygons, names=names, most_edges=most).collect()}
         assert got == {1: "00001", 2: None, 3: "00001", 4: None, 5: "00002", 6: None,
                        7: "00001", 8: None}
 
