@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from hinterland.catalogue.registry import Tables, query, rounded
 from hinterland.operators.beta_models import fit_beta, fit_varying_beta
-from hinterland.operators.design import centre_columns, design_matrix, gram, sizes
+from hinterland.operators.design import (
+    centre_columns, design_matrix, gram, sizes, thin_qr, triangle_entries,
+)
 from hinterland.operators.frame import one_hot
 from hinterland.operators.normal_models import (
     fit_normal, fit_varying_normal, group_level, group_stats,
@@ -108,6 +110,23 @@ def gram_wide(t: Tables):
     return rounded(gram(wide, WIDE), 3, "value")
 
 
+@query("thin_qr", f"""
+WITH c AS (SELECT {", ".join(f"covar_samp({a}, {b}) AS c{i}{j}" for i, a in enumerate(NUMBERS)
+                            for j, b in enumerate(NUMBERS) if j >= i)} FROM lineitem),
+r1 AS (SELECT *, sqrt(c00) AS r00, c01 / sqrt(c00) AS r01, c02 / sqrt(c00) AS r02 FROM c),
+r2 AS (SELECT *, sqrt(c11 - r01 * r01) AS r11 FROM r1),
+r3 AS (SELECT *, (c12 - r01 * r02) / r11 AS r12 FROM r2),
+r4 AS (SELECT *, sqrt(c22 - r02 * r02 - r12 * r12) AS r22 FROM r3)
+""" + " UNION ALL ".join(
+    f"SELECT '{a}' AS i, '{b}' AS j, round(r{i}{j}, 6) AS value FROM r4"
+    for i, a in enumerate(NUMBERS) for j, b in enumerate(NUMBERS) if j >= i))
+def qr_factor(t: Tables):
+    """R of the thin QR of centred columns, scaled as the models scale it."""
+    rows = t.lineitem.select(F.col("l_extendedprice").alias("y"), F.array(*NUMBERS).alias("x"))
+    r = thin_qr(rows, len(NUMBERS)).factor()
+    return rounded(triangle_entries(t.spark, r, NUMBERS), 6, "value")
+
+
 @query("ols_coef", """
 SELECT 'l_quantity' AS term, round(regr_slope(l_extendedprice, l_quantity), 4) AS estimate,
        round(avg(l_extendedprice), 4) AS alpha FROM lineitem

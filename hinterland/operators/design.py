@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hinterland.sources.checkpoint import materialise
+
 JVM_COLUMNS = 12  # wider cross-products would outgrow one generated method
 
 
@@ -154,6 +156,15 @@ class Moments:
         if not self.condition < limit:
             raise ValueError(f"design columns are collinear (condition {self.condition:.1e})")
 
+    def triangle(self) -> ThinQR:
+        """R by Cholesky of the cross-products."""
+        low = np.linalg.cholesky(self.cross[:-1, :-1])
+        half = np.linalg.solve(low, self.cross[:-1, -1])
+        r = np.zeros_like(self.cross)
+        r[:-1, :-1], r[:-1, -1] = low.T, half
+        r[-1, -1] = np.sqrt(max(self.cross[-1, -1] - half @ half, 0.0))
+        return ThinQR(self.n, self.mean, self.scale, r)
+
     def subset(self, positions: Sequence[int]) -> Moments:
         """Moments of fewer x columns: one wide pass serves every smaller model."""
         keep = [*positions, self.k]
@@ -189,6 +200,110 @@ def moments(design: DataFrame, k: int) -> Moments:
 
 
 def cholesky_r(m: Moments) -> np.ndarray:
-    """Upper triangular R of the thin QR of the centred x, scaled by ``1/sqrt(N-1)``."""
+    """Upper triangular R of the thin QR of the centred x, scaled by ``1/sqrt(N-1)``. It squares
+    the condition of x; ``thin_qr`` doesn't."""
     s = np.linalg.cholesky(m.cross[:-1, :-1]).T * m.scale[:-1]
     return s / np.sqrt(m.n - 1)
+
+
+def _triangle(rows: np.ndarray) -> np.ndarray:
+    """R of a QR with no negative diagonal entry, square even for few rows."""
+    r = np.zeros((rows.shape[1], rows.shape[1]))
+    got = np.linalg.qr(rows, mode="r")
+    r[:len(got)] = got
+    return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
+
+
+@dataclass(frozen=True)
+class ThinQR:
+    """R of the centred and scaled columns (x, y), found without cross-products."""
+
+    n: int
+    mean: np.ndarray
+    scale: np.ndarray
+    r: np.ndarray
+
+    @property
+    def k(self) -> int:
+        return len(self.mean) - 1
+
+    @property
+    def condition(self) -> float:
+        """Condition number of the centred, scaled x."""
+        return float(np.linalg.cond(self.r[:-1, :-1]))
+
+    def require_full_rank(self, limit: float = 1e13) -> None:
+        if not self.condition < limit:
+            raise ValueError(f"design columns are collinear (condition {self.condition:.1e})")
+
+    def subset(self, positions: Sequence[int]) -> ThinQR:
+        """R of fewer x columns, from the wide R alone."""
+        keep = [*positions, self.k]
+        return ThinQR(self.n, self.mean[keep], self.scale[keep], _triangle(self.r[:, keep]))
+
+    def factor(self) -> np.ndarray:
+        """R of the thin QR of the centred x in its own units, scaled by ``1/sqrt(N-1)``."""
+        return self.r[:-1, :-1] * self.scale[:-1] / np.sqrt(self.n - 1)
+
+
+#: Triangles that one task stacks into one, and rows that are added to a triangle at once.
+TREE_FAN, TREE_ROWS = 64, 4096
+
+
+def thin_qr(design: DataFrame, k: int) -> ThinQR:
+    """Tall-skinny QR of a ``(y, x)`` table: each task keeps the R of the rows it has met, and the
+    triangles of the tasks are stacked and reduced in a tree.
+
+    A first pass finds means and spreads. They only bring the columns to one size: a column of
+    ones goes first and takes up what rounding leaves of the means, so nearly collinear columns
+    such as x and x**2 keep all their digits. Two passes over the rows; a triangle has a row for
+    each column, so tasks and driver hold a few small matrices.
+    """
+    cols = [F.col("x")[i] for i in range(k)] + [F.col("y")]
+    first = design.agg(
+        F.count("*").alias("n"), F.array(*[F.avg(c) for c in cols]).alias("mean"),
+        F.array(*[F.stddev_pop(c) for c in cols]).alias("sd")).first()
+    if not first["n"]:
+        raise ValueError("no complete rows")
+    mean, scale = np.array(first["mean"], float), np.array(first["sd"], float)
+    if (flat := np.flatnonzero(scale[:-1] == 0)).size:
+        raise ValueError(f"constant design columns at positions {flat.tolist()}")
+    scale[scale == 0] = 1.0
+    width = k + 2
+    schema = "part long, r array<double>"
+
+    def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        r = np.zeros((0, width))
+        for batch in batches:
+            xy = np.column_stack([matrix(batch, "x", k), vector(batch, "y")])
+            rows = np.column_stack([np.ones(len(xy)), (xy - mean) / scale])
+            for a in range(0, len(rows), TREE_ROWS):
+                r = _triangle(np.vstack([r, rows[a:a + TREE_ROWS]]))
+        if len(r):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([TaskContext.get().partitionId()], pa.int64()),
+                 pa.array([r.ravel()], pa.list_(pa.float64()))], ["part", "r"])
+
+    def stack(table: pa.Table) -> pa.Table:
+        # In the order of the parts, so that a repeated task gives the same digits.
+        rows = table.sort_by("part").column("r").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return pa.table({
+            "part": pa.array([min(table.column("part").to_pylist()) // TREE_FAN], pa.int64()),
+            "r": pa.array([_triangle(rows.reshape(-1, width)).ravel()], pa.list_(pa.float64()))})
+
+    parts = materialise(design.select("y", "x").mapInArrow(reduce_rows, schema))
+    left = parts.agg(F.max("part")).first()[0] + 1
+    while left > 1:
+        parts = parts.groupBy(F.floor(F.col("part") / TREE_FAN)).applyInArrow(stack, schema)
+        left = -(-left // TREE_FAN)
+    r = np.array(parts.first()["r"], float).reshape(width, width)
+    return ThinQR(int(first["n"]), mean, scale, r[1:, 1:])
+
+
+def triangle_entries(spark: SparkSession, r: np.ndarray, names: Sequence[str]) -> DataFrame:
+    """Upper triangle of a small matrix as ``(i, j, value)`` by column name."""
+    return spark.createDataFrame(
+        [(names[i], names[j], float(r[i, j])) for i in range(len(r)) for j in range(i, len(r))],
+        "i string, j string, value double")

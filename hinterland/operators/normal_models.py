@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hinterland.operators.design import Moments, block_sums, matrix, moments, small_vector, vector
+from hinterland.operators.design import (
+    Moments, ThinQR, block_sums, matrix, moments, small_vector, thin_qr, vector,
+)
 from hinterland.operators.joins import lookup
 
 DRAW_SCHEMA = (
@@ -76,31 +78,30 @@ def fit_normal(
     draws: int = 1000,
     chains: int = 4,
     seed: int = 100605,
-    known: Moments | None = None,
+    known: ThinQR | Moments | None = None,
 ) -> NormalFit:
     """Single-level normal regression with flat priors on intercept, slopes and sigma.
 
     sigma^2 is inverse gamma with shape (N-K-2)/2 and scale SSE/2; given sigma^2 the slopes
-    are normal around least squares and the intercept, for centred x, around mean(y).
+    are normal around least squares and the intercept, for centred x, around mean(y). Least
+    squares come from the thin QR, or from cross-products where ``known`` holds those.
     """
-    m = known or moments(design, len(names))
-    k, n = m.k, m.n
+    f = known or thin_qr(design, len(names))
+    f = f.triangle() if isinstance(f, Moments) else f
+    k, n = f.k, f.n
     if n - k - 2 <= 0:
         raise ValueError("more rows than columns + 2 are needed")
-    m.require_full_rank()
-    sx, sy = m.scale[:-1], m.scale[-1]
-    sxx, sxy, syy = m.cross[:-1, :-1], m.cross[:-1, -1], m.cross[-1, -1]
-    low = np.linalg.cholesky(sxx)
-    half = np.linalg.solve(low, sxy)
-    theta = np.linalg.solve(low.T, half)
-    sse = float(max(syy - half @ half, 0.0) * sy**2)
-    beta, ybar = theta * sy / sx, float(m.mean[-1])
-    inv_low = np.linalg.inv(low)
-    cov = (inv_low.T @ inv_low) / np.outer(sx, sx)
+    f.require_full_rank()
+    sx, sy = f.scale[:-1], f.scale[-1]
+    inverse = np.linalg.solve(f.r[:-1, :-1], np.eye(k))
+    theta = inverse @ f.r[:-1, -1]
+    sse = float((f.r[-1, -1] * sy) ** 2)
+    beta, ybar = theta * sy / sx, float(f.mean[-1])
+    cov = (inverse @ inverse.T) / np.outer(sx, sx)
 
     def one(rng: np.random.Generator) -> dict[str, object]:
         sigma = np.sqrt(sse / 2.0 / rng.gamma((n - k - 2) / 2.0))
-        noise = (inv_low.T @ rng.standard_normal(k)) / sx
+        noise = (inverse @ rng.standard_normal(k)) / sx
         return {
             "alpha": ybar + sigma * rng.standard_normal() / np.sqrt(n),
             "beta": beta + sigma * noise,

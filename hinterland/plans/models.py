@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hinterland.operators.beta_models import fit_beta, fit_varying_beta
-from hinterland.operators.design import Moments, design_matrix, moments, square_terms
+from hinterland.operators.design import Moments, ThinQR, design_matrix, moments, square_terms, thin_qr
 from hinterland.operators.frame import one_hot
 from hinterland.operators.normal_models import (
     GroupLevel, fit_normal, fit_varying_normal, group_level, group_stats,
@@ -115,7 +115,7 @@ def fit_grid(
             group,
         )
         design = materialise(design)
-        wide = moments(design, len(names)) if family == "normal" else None
+        wide = thin_qr(design, len(names)) if family == "normal" else None
         stats = grouped = None
         if family == "normal" and any(s.model == "vi" for s in wanted):
             # Varying fits take only rows whose group has a second level, in all their sums.
@@ -135,7 +135,7 @@ def fit_grid(
 
 
 def _fit(
-    spec: FitSpec, design: DataFrame, names: list[str], at: list[int], wide: Moments | None,
+    spec: FitSpec, design: DataFrame, names: list[str], at: list[int], wide: ThinQR | Moments | None,
     stats: DataFrame | None, group: str, second: GroupLevel | None, draws: int, chains: int,
     seed: int,
 ) -> DataFrame:
