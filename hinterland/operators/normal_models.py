@@ -21,6 +21,8 @@ from hinterland.operators.design import (
     Moments, ThinQR, block_sums, matrix, moments, small_vector, thin_qr, vector,
 )
 from hinterland.operators.joins import lookup
+from hinterland.operators.windows import dense_index
+from hinterland.sources.checkpoint import materialise
 
 DRAW_SCHEMA = (
     "fit string, chain int, draw int, alpha double, beta array<double>, gamma array<double>, "
@@ -32,13 +34,15 @@ REGION_PRIOR_SD = 5.0  # fixed value: a_region ~ normal(0, 5)
 def make_draws(
     spark: SparkSession,
     fit: str,
-    one: Callable[[np.random.Generator], dict[str, object]],
+    one: Callable[[np.random.Generator], dict[str, object]] | None,
     draws: int,
     chains: int,
     seed: int,
+    known: Callable[[int], dict[str, object]] | None = None,
 ) -> DataFrame:
     """``chains * draws`` independent draws, made in tasks. Each draw seeds its own
-    generator, so a re-run task repeats its values however rows are partitioned."""
+    generator, so a re-run task repeats its values however rows are partitioned. ``known`` gives
+    draws by their number instead."""
     number, array = pa.float64(), pa.list_(pa.float64())
     schema = pa.schema([
         ("fit", pa.string()), ("chain", pa.int32()), ("draw", pa.int32()), ("alpha", number),
@@ -51,7 +55,7 @@ def make_draws(
             rows = []
             for i in ids.column("id").to_pylist():
                 chain, draw = divmod(i, draws)
-                value = one(np.random.default_rng([seed, chain, draw]))
+                value = known(i) if known else one(np.random.default_rng([seed, chain, draw]))
                 rows.append({"fit": fit, "chain": chain + 1, "draw": draw + 1, **value})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -125,25 +129,24 @@ def group_stats(design: DataFrame, group: str, k: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Weights:
-    """Turns group rows into second-level columns; small enough to travel with a task."""
+    """Centres and scales z of group rows; small enough to travel with a task."""
 
     z_mean: np.ndarray
     z_scale: np.ndarray
-    n_regions: int
 
     def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
-        """Centred, scaled z next to region indicators."""
-        z = (matrix(batch, "z", len(self.z_mean)) - self.z_mean) / self.z_scale
-        return np.column_stack([z, np.eye(self.n_regions)[vector(batch, "region_index")]])
+        return (matrix(batch, "z", len(self.z_mean)) - self.z_mean) / self.z_scale
 
 
 @dataclass(frozen=True)
 class GroupLevel:
-    """Second-level table ``(group, z array, region_index)`` with z centred over groups."""
+    """Second-level table ``(group, z array, region_index)`` with z centred over groups, and
+    ``regions(region, region_index)``, numbered from 0 in their order."""
 
     table: DataFrame = field(repr=False)
     weights: Weights
-    regions: list[object]
+    regions: DataFrame = field(repr=False)
+    n_regions: int = 0
 
     @property
     def z_scale(self) -> np.ndarray:
@@ -168,31 +171,119 @@ def group_level(groups: DataFrame, group: str, z: Sequence[str], region: str) ->
         F.array(*[F.avg(c) for c in z]).alias("m"),
         F.array(*[F.stddev_pop(c) for c in z]).alias("s"),
     ).first()
-    known = groups.select(region).where(F.col(region).isNotNull()).distinct()
-    regions = sorted(r[0] for r in known.collect())
-    where = F.array_position(F.array(*[F.lit(r) for r in regions]), F.col(region)) - 1
+    regions = materialise(
+        dense_index(groups, region, "_place").select(
+            F.col(region).alias("region"), (F.col("_place") - 1).alias("region_index")))
     table = groups.select(
-        group, F.array(*[F.col(c).cast("double") for c in z]).alias("z"),
-        where.cast("int").alias("region_index"),
-    )
+        group, F.array(*[F.col(c).cast("double") for c in z]).alias("z"), F.col(region).alias("region"),
+    ).join(regions, "region").select(group, "z", "region_index")
     scale = np.array(summary["s"], float)
     scale[~(scale > 0)] = 1.0
-    weights = Weights(np.array(summary["m"], float), scale, len(regions))
-    return GroupLevel(table, weights, regions)
+    return GroupLevel(table, Weights(np.array(summary["m"], float), scale), regions, regions.count())
 
 
 @dataclass(frozen=True)
 class VaryingNormalFit:
+    """``mean`` holds slopes and second-level slopes, ``region_means`` a row for each region."""
+
     fit: str
     names: list[str]
     n: int
     groups: int
-    regions: list[object]
+    regions: DataFrame = field(repr=False)
     mean: dict[str, np.ndarray]
+    region_means: DataFrame = field(repr=False)
     draws: DataFrame = field(repr=False)
     intercepts: Callable[[int], DataFrame] = field(repr=False)
 
 
+#: Ratios of the two variances that are looked at: over all orders of magnitude first, then where
+#: the posterior lies; and places of sigma for each.
+COARSE = 10.0 ** np.linspace(-7, 4, 45)
+FINE, SIGMAS, SPREAD = 61, 57, 7.0
+#: Relative error of what the eliminated regions add, as a function of sigma.
+INTERPOLATION = 1e-9
+
+
+@dataclass(frozen=True)
+class _Nodes:
+    """Chebyshev nodes in the log of kappa, the prior precision of a region times sigma^2."""
+
+    lo: float
+    hi: float
+    count: int
+
+    @classmethod
+    def over(cls, lo: float, hi: float) -> _Nodes:
+        lo, hi = np.log(lo), np.log(hi)
+        # The sums have poles at log W + i pi, and converge like powers of this.
+        half = max((hi - lo) / 2, 1e-12)
+        ratio = np.pi / half + np.sqrt(1 + (np.pi / half) ** 2)
+        return cls(lo, hi, int(np.clip(np.ceil(-np.log(INTERPOLATION) / np.log(ratio)), 3, 32)))
+
+    @property
+    def angles(self) -> np.ndarray:
+        return (np.arange(self.count) + 0.5) * np.pi / self.count
+
+    @property
+    def values(self) -> np.ndarray:
+        return np.exp((self.lo + self.hi) / 2 + (self.hi - self.lo) / 2 * np.cos(self.angles))
+
+    def weights(self, kappa: float) -> np.ndarray:
+        x = np.clip((np.log(kappa) - (self.lo + self.hi) / 2) / max((self.hi - self.lo) / 2, 1e-12), -1, 1)
+        gap = x - np.cos(self.angles)
+        if (near := np.abs(gap) < 1e-14).any():
+            return near.astype(float)
+        w = (-1.0) ** np.arange(self.count) * np.sin(self.angles) / gap
+        return w / w.sum()
+
+
+@dataclass(frozen=True)
+class _Marginal:
+    """Posterior for one ratio of the variances, with group and region effects integrated out.
+
+    ``cross`` at each node is the cross-product of (slopes, second-level slopes, y) after the
+    elimination, ``dets`` the log determinant of the regions' part; ``groups`` that of the groups'.
+    """
+
+    rho: float
+    nodes: _Nodes
+    cross: np.ndarray
+    dets: np.ndarray
+    groups: float
+    n: int
+    regions: int
+
+    def at(self, log_sigma: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log posterior in (log rho, log sigma), Cholesky factor and mean of the slopes."""
+        s2 = np.exp(2.0 * log_sigma)
+        w = self.nodes.weights(s2 * REGION_PRIOR_SD**-2)
+        m = np.tensordot(w, self.cross, 1)
+        q = len(m) - 1
+        low = np.linalg.cholesky(m[:q, :q])
+        half = np.linalg.solve(low, m[:q, q])
+        log = (
+            -self.n * log_sigma - 0.5 * self.groups - 0.5 * (m[q, q] - half @ half) / s2
+            - 0.5 * (w @ self.dets - 2.0 * self.regions * log_sigma)
+            - np.log(np.diag(low)).sum() + q * log_sigma
+            + 2.0 * log_sigma + 0.5 * np.log(self.rho)  # flat on (sigma, sigma_a)
+        )
+        return log, low / np.exp(log_sigma), np.linalg.solve(low.T, half)
+
+    def peak(self) -> tuple[float, float]:
+        """Place and width of the peak along log sigma."""
+        lo, hi = self.nodes.lo / 2 + np.log(REGION_PRIOR_SD), self.nodes.hi / 2 + np.log(REGION_PRIOR_SD)
+        for _ in range(6):
+            grid = np.linspace(lo, hi, 13)
+            logs = [self.at(v)[0] for v in grid]
+            best = int(np.argmax(logs))
+            lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, 12)]
+        centre, step = grid[best], 0.05 / np.sqrt(2.0 * self.n)
+        around = [self.at(centre + d * step)[0] for d in (-1, 0, 1)]
+        curve = (2 * around[1] - around[0] - around[2]) / step**2
+        return centre, 1.0 / np.sqrt(max(curve, 1.0))
+
+
 def fit_varying_normal(
     design: DataFrame,
     names: Sequence[str],
@@ -209,12 +300,16 @@ def fit_varying_normal(
     """Normal regression with an intercept for each group:
     ``a_group ~ N(z'gamma + a_region, sigma_a)``, ``a_region ~ N(0, 5)``, flat elsewhere.
 
-    The group intercepts are integrated out. For a given ratio rho = sigma_a^2/sigma^2 all
-    other effects are normal, with cross-products that need one weight a group, 1/(1 + n
-    rho). Spark sums those products over the group table for a grid of rho; sigma lives on
-    a grid on the driver. Data rows are read once, group rows twice.
-    ``columns`` picks x columns when ``stats`` was made for a wider design. Rows of groups
-    without a second level take no part; ``known`` and ``stats`` have to be of the rest.
+    The effects are integrated out one level after the other. For a given ratio rho =
+    sigma_a^2/sigma^2 a group leaves its sums with the weight 1/(1 + n rho). Spark adds them up
+    by region, and a region, which has one effect, leaves the product of its sums divided by
+    their weight plus 25^-1 sigma^2; as sigma is not known yet, at a few Chebyshev nodes of it. The
+    driver sees the cross-products of slopes and second-level slopes only, whose size depends
+    neither on the groups nor on the regions. Both variances live on a grid.
+
+    Data rows are read once, group rows twice. ``columns`` picks x columns when ``stats`` was made
+    for a wider design. Rows of groups without a second level take no part; ``known`` and
+    ``stats`` have to be of the rest.
     """
     k = len(names)
     design = second.restrict(design, group)
@@ -224,11 +319,11 @@ def fit_varying_normal(
     stats = group_stats(design, group, k) if stats is None else stats
     table = lookup(stats, second.table, group)
     sx, xm, ym = m.scale[:-1], m.mean[:-1], m.mean[-1]
-    L, R = second.n_z, len(second.regions)
-    weigh, z_scale = second.weights, second.z_scale
-    p = k + L + R
-    width = (p + 1) ** 2 + 2
+    L, weigh, z_scale = second.n_z, second.weights, second.z_scale
+    q = k + L
+    width = (q + 1) ** 2
     wide = max(at) + 1 if columns is None else None
+    prior = REGION_PRIOR_SD**-2
 
     def group_arrays(batch: pa.RecordBatch):
         n = vector(batch, "n").astype(float)
@@ -236,143 +331,215 @@ def fit_varying_normal(
         s = (full[:, at] - n[:, None] * xm) / sx
         return n, s, vector(batch, "sy").astype(float), weigh(batch)
 
-    def products(rhos: np.ndarray) -> Callable[[pa.RecordBatch], np.ndarray]:
-        def kernel(batch: pa.RecordBatch) -> np.ndarray:
-            n, s, t, w = group_arrays(batch)
-            out = np.zeros((len(rhos), width))
-            own = np.column_stack([s, t])
-            for g, rho in enumerate(rhos):
-                f = 1.0 / (1.0 + n * rho)
-                a = np.zeros((p + 1, p + 1))
-                xy = [*range(k), p]
-                a[np.ix_(xy, xy)] = -(own * (rho * f)[:, None]).T @ own
-                a[k:p, k:p] = (w * (n * f)[:, None]).T @ w
-                cross = (w * f[:, None]).T @ own
-                a[np.ix_(range(k, p), xy)] = cross
-                a[np.ix_(xy, range(k, p))] = cross.T
-                out[g, :-2] = a.ravel()
-                out[g, -2] = np.log1p(n * rho).sum()
-                out[g, -1] = len(n)
-            return out.ravel()
-
-        return kernel
-
-    base = np.zeros((p + 1, p + 1))
+    base = np.zeros((q + 1, q + 1))
     base[:k, :k] = m.cross[:-1, :-1]
-    base[:k, p] = base[p, :k] = m.cross[:-1, -1] * m.scale[-1]
-    base[p, p] = m.cross[-1, -1] * m.scale[-1] ** 2 + m.n * ym**2
-    prior = np.zeros(p)
-    prior[k + L :] = REGION_PRIOR_SD**-2
-
-    def evaluate(rhos: np.ndarray):
-        got = small_vector(block_sums(table, products(rhos), len(rhos) * width), len(rhos) * width)
-        got = got.reshape(len(rhos), width)
-        full = base + got[:, :-2].reshape(len(rhos), p + 1, p + 1)
-        try:
-            centre, logs = _grid_posterior(full, got[:, -2], rhos, m.n, prior)
-        except np.linalg.LinAlgError as error:
-            raise ValueError(
-                "design or second-level columns are constant or collinear"
-            ) from error
-        return full, centre, logs, int(round(got[0, -1]))
-
-    coarse = 10.0 ** np.linspace(-7, 4, 45)
-    _, _, logs, j = evaluate(coarse)
-    top = logs.max(axis=1)
-    live = np.flatnonzero(top > top.max() - 18.0)
-    lo, hi = max(live[0] - 1, 0), min(live[-1] + 1, len(coarse) - 1)
-    rhos = np.exp(np.linspace(np.log(coarse[lo]), np.log(coarse[hi]), 91))
-    full, centre, logs, j = evaluate(rhos)
-
-    weights = np.exp(logs - logs.max())
+    base[:k, q] = base[q, :k] = m.cross[:-1, -1] * m.scale[-1]
+    base[q, q] = m.cross[-1, -1] * m.scale[-1] ** 2 + m.n * ym**2
+    own = [*range(k), q]
+    sums = [f"b{i}" for i in range(q + 2)]  # of a region: its slopes' cross terms and its weight
+
+    def by_region(rhos: np.ndarray) -> DataFrame:
+        """``(region_index, g, sums)`` of each region and ratio; rows without a region hold the
+        groups' part of the cross-products of the slopes, a row each, as (g, position, value)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(rhos), width + 2))
+            within = np.zeros(width)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                n, s, t, z = group_arrays(batch)
+                region = vector(batch, "region_index")
+                order = np.argsort(region, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(region[order]) > 0])
+                xy = np.column_stack([s, t])
+                mine = np.zeros((q + 1, q + 1))
+                mine[np.ix_(own, own)] = (xy / n[:, None]).T @ xy
+                within += mine.ravel()
+                for g, rho in enumerate(rhos):
+                    f = 1.0 / (1.0 + n * rho)
+                    a = np.zeros((q + 1, q + 1))
+                    a[np.ix_(own, own)] = -(xy * (rho * f)[:, None]).T @ xy
+                    a[k:q, k:q] = (z * (n * f)[:, None]).T @ z
+                    cross = (z * f[:, None]).T @ xy
+                    a[np.ix_(range(k, q), own)] = cross
+                    a[np.ix_(own, range(k, q))] = cross.T
+                    total[g, :width] += a.ravel()
+                    total[g, width:] += np.log1p(n * rho).sum(), len(n)
+                    rows = np.column_stack([s * f[:, None], z * (n * f)[:, None], t * f, n * f])
+                    rows = np.add.reduceat(rows[order], starts, axis=0)
+                    yield rows_of(region[order][starts], np.full(len(starts), g), rows)
+            for g in range(len(rhos)):
+                yield totals_of(g, total[g])
+            yield totals_of(len(rhos), within)
+
+        def rows_of(region, g, rows) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(region, pa.int32()), pa.array(g, pa.int32()), pa.nulls(len(g), pa.int32()),
+                 *[pa.array(np.ascontiguousarray(c)) for c in rows.T]], ["region_index", "g", "pos", *sums])
+
+        def totals_of(g, values) -> pa.RecordBatch:
+            n = len(values)
+            return pa.RecordBatch.from_arrays(
+                [pa.nulls(n, pa.int32()), pa.array(np.full(n, g, np.int32)), pa.array(np.arange(n, dtype=np.int32)),
+                 pa.array(np.ascontiguousarray(values)), *[pa.nulls(n, pa.float64())] * (q + 1)],
+                ["region_index", "g", "pos", *sums])
+
+        schema = "region_index int, g int, pos int, " + ", ".join(f"{c} double" for c in sums)
+        return materialise(table.mapInArrow(run, schema).groupBy("region_index", "g", "pos").agg(
+            *[F.sum(c).alias(c) for c in sums]))
+
+    def eliminated(rhos: np.ndarray) -> tuple[DataFrame, list[_Marginal], int]:
+        state = by_region(rhos)
+        core = np.zeros((len(rhos) + 1, width + 2))
+        for r in state.where("pos IS NOT NULL").select("g", "pos", "b0").collect():
+            core[r["g"], r["pos"]] = r["b0"]
+        whole = base + core[:-1, :width].reshape(-1, q + 1, q + 1)
+        # sigma lies between what free group intercepts leave and what none leave.
+        inner = base - core[-1, :width].reshape(q + 1, q + 1)
+
+        def left(c: np.ndarray, some: int) -> float:
+            return max(c[q, q] - c[:some, q] @ np.linalg.lstsq(c[:some, :some], c[:some, q])[0], 1e-300)
+
+        floor = left(inner, k) / (m.n + 2)
+        margin = np.exp(4 * SPREAD / np.sqrt(2.0 * max(m.n - q, 4)))
+        nodes = []
+        for c in whole:
+            top = max(left(c, q) / max(m.n - q - 2, 1), floor * 1.000001) * margin
+            nodes.append(_Nodes.over(prior * max(floor / margin, top * 1e-12), prior * top))
+        sizes = np.array([v.count for v in nodes])
+        offsets = np.r_[0, np.cumsum(sizes * (width + 1))]
+
+        def kernel(batch: pa.RecordBatch) -> np.ndarray:
+            out = np.zeros(offsets[-1])
+            g = vector(batch, "g")
+            rows = np.column_stack([vector(batch, c) for c in sums])
+            for i in np.unique(g):
+                b, weight = rows[g == i, :-1], rows[g == i, -1]
+                for j, kappa in enumerate(nodes[i].values):
+                    a = offsets[i] + j * (width + 1)
+                    out[a:a + width] = ((b / (weight + kappa)[:, None]).T @ b).ravel()
+                    out[a + width] = np.log(weight + kappa).sum()
+            return out
+
+        regions = state.where("pos IS NULL").drop("pos")
+        got = small_vector(block_sums(regions, kernel, int(offsets[-1])), int(offsets[-1]))
+        found = []
+        for i, rho in enumerate(rhos):
+            part = got[offsets[i]:offsets[i + 1]].reshape(sizes[i], width + 1)
+            cross = whole[i] - part[:, :width].reshape(-1, q + 1, q + 1)
+            found.append(_Marginal(rho, nodes[i], cross, part[:, width], core[i, width], m.n, second_regions))
+        return regions, found, int(round(core[0, width + 1]))
+
+    second_regions = second.n_regions
+    try:
+        _, rough, _ = eliminated(COARSE)
+        top = np.array([p.at(p.peak()[0])[0] for p in rough])
+        live = np.flatnonzero(top > top.max() - 18.0)
+        lo, hi = max(live[0] - 1, 0), min(live[-1] + 1, len(COARSE) - 1)
+        regions, fine, j = eliminated(np.exp(np.linspace(np.log(COARSE[lo]), np.log(COARSE[hi]), FINE)))
+        peaks = [p.peak() for p in fine]
+        steps = np.linspace(-SPREAD, SPREAD, SIGMAS)
+        places = np.array([centre + steps * sd for centre, sd in peaks])
+        logs = np.array([[p.at(v)[0] for v in line] for p, line in zip(fine, places)])
+    except np.linalg.LinAlgError as error:
+        raise ValueError("design or second-level columns are constant or collinear") from error
+
+    # Cells are as wide in log sigma as their own peak.
+    weights = np.exp(logs - logs.max()) * np.array([sd for _, sd in peaks])[:, None]
     weights /= weights.sum()
     flat = weights.ravel().cumsum()
-    step = _sigma_offsets(m.n, p)[1] - _sigma_offsets(m.n, p)[0]
-    offsets = _sigma_offsets(m.n, p)
-
-    def at_point(g: int, log_sigma: float):
-        s2 = np.exp(2.0 * log_sigma)
-        low = np.linalg.cholesky(full[g][:p, :p] / s2 + np.diag(prior))
-        mu = np.linalg.solve(low.T, np.linalg.solve(low, full[g][:p, p] / s2))
-        return low, mu
 
     def shown(theta: np.ndarray) -> dict[str, np.ndarray]:
-        return {
-            "beta": theta[:k] / sx,
-            "gamma": theta[k : k + L] / z_scale,
-            "a_region": theta[k + L :],
-        }
+        return {"beta": theta[:k] / sx, "gamma": theta[k:q] / z_scale}
 
-    def one(rng: np.random.Generator) -> dict[str, object]:
+    def core_draw(rng: np.random.Generator) -> tuple[int, float, np.ndarray]:
         cell = min(int(np.searchsorted(flat, rng.random() * flat[-1])), len(flat) - 1)
-        g, i = divmod(cell, len(offsets))
-        log_sigma = centre[g] + offsets[i] + step * (rng.random() - 0.5)
-        low, mu = at_point(g, log_sigma)
-        theta = mu + np.linalg.solve(low.T, rng.standard_normal(p))
-        sigma = float(np.exp(log_sigma))
-        return {**shown(theta), "sigma": sigma, "sigma_a": sigma * float(np.sqrt(rhos[g]))}
-
-    mean = np.zeros(p)
-    for g, i in zip(*np.nonzero(weights > 1e-10)):
-        mean += weights[g, i] * at_point(g, centre[g] + offsets[i])[1]
+        g, i = divmod(cell, SIGMAS)
+        width = (steps[1] - steps[0]) * peaks[g][1]
+        log_sigma = places[g, i] + width * (rng.random() - 0.5)
+        _, low, mu = fine[g].at(log_sigma)
+        return g, log_sigma, mu + np.linalg.solve(low.T, rng.standard_normal(q))
+
+    # Bounded by the number of draws and slopes; tasks need it next to every region.
+    cores = [core_draw(np.random.default_rng([seed, chain, d])) for chain in range(chains) for d in range(draws)]
+    at_rho = np.array([g for g, _, _ in cores])
+    s2 = np.exp(2.0 * np.array([v for _, v, _ in cores]))
+    theta = np.array([t for _, _, t in cores]).reshape(len(cores), q)
+    rho_of = np.array([p.rho for p in fine])
+
+    def region_draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, region = vector(batch, "g"), vector(batch, "region_index")
+            rows = np.column_stack([vector(batch, c) for c in sums])
+            for i in range(batch.num_rows):
+                mine = np.flatnonzero(at_rho == g[i])
+                b, weight = rows[i, :-1], rows[i, -1] + prior * s2[mine]
+                mean = (b[q] - theta[mine] @ b[:q]) / weight
+                noise = np.random.default_rng([seed, 1, int(region[i]), int(g[i])]).standard_normal(len(mine))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mine.astype(np.int32)), pa.array(np.full(len(mine), region[i], np.int32)),
+                     pa.array(mean + noise * np.sqrt(s2[mine] / weight))], ["d", "region_index", "a"])
+
+    def region_mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = vector(batch, "g")
+            rows = np.column_stack([vector(batch, c) for c in sums])
+            mean = np.zeros(len(g))
+            for i, (point, weight, mu, variance) in enumerate(grid):
+                some = g == point
+                mean[some] += weight * (rows[some, q] - rows[some, :q] @ mu) / (rows[some, -1] + prior * variance)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("region_index"), pa.array(mean)], ["region_index", "a"])
+
+    grid = [(g, weights[g, i], fine[g].at(places[g, i])[2], np.exp(2 * places[g, i]))
+            for g, i in zip(*np.nonzero(weights > 1e-10))]
+    mean = sum(w * mu for _, w, mu, _ in grid)
 
     spark = design.sparkSession
-    draw_table = make_draws(spark, fit, one, draws, chains, seed)
+    by_draw = regions.mapInArrow(region_draws, "d int, region_index int, a double").groupBy("d").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("region_index", "a"))), lambda v: v["a"]).alias("a_region"))
+
+    def one(i: int) -> dict[str, object]:
+        g, log_sigma, own = cores[i]
+        sigma = float(np.exp(log_sigma))
+        return {**shown(own), "sigma": sigma, "sigma_a": sigma * float(np.sqrt(rho_of[g]))}
+
+    core_table = make_draws(spark, fit, None, draws, chains, seed, known=one)
+    number = (F.col("chain") - 1) * draws + F.col("draw") - 1
+    draw_table = core_table.drop("a_region").withColumn("d", number.cast("int")).join(
+        by_draw, "d").select([c.split()[0] for c in DRAW_SCHEMA.split(", ")])
+    region_means = regions.mapInArrow(region_mean, "region_index int, a double").groupBy(
+        "region_index").agg(F.sum("a").alias("a")).join(second.regions, "region_index")
 
     def intercepts(count: int = 200) -> DataFrame:
-        """``(group, a array)``: draws of each group's intercept, one row a group."""
-        picks = [one(np.random.default_rng([seed, 0, d])) for d in range(count)]
-        b = np.array([q["beta"] for q in picks]) * sx
-        d = np.column_stack([
-            np.array([q["gamma"] for q in picks]) * z_scale,
-            np.array([q["a_region"] for q in picks]),
-        ])
-        s2 = np.array([q["sigma"] for q in picks]) ** 2
-        t2 = np.array([q["sigma_a"] for q in picks]) ** 2
+        """``(group, a array)``: draws of each group's intercept, one row a group, that go with
+        the first draws of the fit."""
+        count_ = min(count, len(cores))
+        b, d = theta[:count_, :k], theta[:count_, k:]
+        v2 = s2[:count_]
+        t2 = v2 * rho_of[at_rho[:count_]]
+        of_region = (
+            regions.mapInArrow(region_draws, "d int, region_index int, a double").where(F.col("d") < count_)
+            .groupBy("region_index").agg(F.transform(
+                F.array_sort(F.collect_list(F.struct("d", "a"))), lambda v: v["a"]).alias("u")))
 
         def run(batches):
             for batch in batches:
-                n, s, t, w = group_arrays(batch)
-                prec = n[:, None] / s2 + 1.0 / t2
-                mu = ((t[:, None] - s @ b.T) / s2 + (w @ d.T) / t2) / prec
+                n, s, t, z = group_arrays(batch)
+                u = matrix(batch, "u", count_)
+                prec = n[:, None] / v2 + 1.0 / t2
+                mu = ((t[:, None] - s @ b.T) / v2 + (z @ d.T + u) / t2) / prec
                 keys = [crc32(str(g).encode()) for g in batch.column(group).to_pylist()]
-                noise = [np.random.default_rng([seed, 1, c]).standard_normal(count) for c in keys]
+                noise = [np.random.default_rng([seed, 2, c]).standard_normal(count_) for c in keys]
                 a = mu + np.array(noise) / np.sqrt(prec)
                 yield pa.RecordBatch.from_pydict(
                     {group: batch.column(group), "a": pa.array(list(a))}
                 )
 
         key = table.schema[group].dataType.simpleString()
-        return table.mapInArrow(run, f"`{group}` {key}, a array<double>")
+        return table.join(of_region, "region_index").mapInArrow(run, f"`{group}` {key}, a array<double>")
 
     return VaryingNormalFit(
-        fit, list(names), m.n, j, second.regions, shown(mean), draw_table, intercepts
+        fit, list(names), m.n, j, second.regions, shown(mean), region_means, draw_table, intercepts
     )
-
-
-def _sigma_offsets(n: int, p: int) -> np.ndarray:
-    return np.linspace(-7.0, 7.0, 57) / np.sqrt(2.0 * max(n - p, 4))
-
-
-def _grid_posterior(full, log_dets, rhos, n, prior):
-    """Log posterior on a grid of (log rho, log sigma), all effects integrated out."""
-    p = len(prior)
-    offsets = _sigma_offsets(n, p)
-    centre = np.empty(len(rhos))
-    logs = np.empty((len(rhos), len(offsets)))
-    for g, rho in enumerate(rhos):
-        a, b, q = full[g][:p, :p], full[g][:p, p], full[g][p, p]
-        # Centre sigma where the weakly penalised residual puts it.
-        ridge = np.linalg.solve(a + np.diag(prior) * max(q / n, 1e-12) + 1e-12 * np.eye(p), b)
-        centre[g] = 0.5 * np.log(max(q - b @ ridge, 1e-300) / max(n - p, 1))
-        for i, off in enumerate(offsets):
-            ls = centre[g] + off
-            s2 = np.exp(2.0 * ls)
-            low = np.linalg.cholesky(a / s2 + np.diag(prior))
-            half = np.linalg.solve(low, b / s2)
-            logs[g, i] = (
-                -n * ls - 0.5 * log_dets[g] - 0.5 * (q / s2 - half @ half)
-                - np.log(np.diag(low)).sum()
-                + 2.0 * ls + 0.5 * np.log(rho)  # flat on (sigma, sigma_a)
-            )
-    return centre, logs
