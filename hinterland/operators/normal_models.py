@@ -199,8 +199,8 @@ class VaryingNormalFit:
 
 #: Ratios of the two variances that are looked at: over all orders of magnitude first, then where
 #: the posterior lies; and places of sigma for each.
-COARSE = 10.0 ** np.linspace(-7, 4, 45)
-FINE, SIGMAS, SPREAD = 61, 57, 7.0
+COARSE = 10.0 ** np.linspace(-7, 4, 23)
+FINE, SIGMAS, SPREAD = 61, 33, 6.0
 #: Relative error of what the eliminated regions add, as a function of sigma.
 INTERPOLATION = 1e-9
 
@@ -273,11 +273,11 @@ class _Marginal:
     def peak(self) -> tuple[float, float]:
         """Place and width of the peak along log sigma."""
         lo, hi = self.nodes.lo / 2 + np.log(REGION_PRIOR_SD), self.nodes.hi / 2 + np.log(REGION_PRIOR_SD)
-        for _ in range(6):
-            grid = np.linspace(lo, hi, 13)
+        while hi - lo > 0.02 / np.sqrt(2.0 * self.n):
+            grid = np.linspace(lo, hi, 7)
             logs = [self.at(v)[0] for v in grid]
             best = int(np.argmax(logs))
-            lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, 12)]
+            lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, 6)]
         centre, step = grid[best], 0.05 / np.sqrt(2.0 * self.n)
         around = [self.at(centre + d * step)[0] for d in (-1, 0, 1)]
         curve = (2 * around[1] - around[0] - around[2]) / step**2
@@ -441,7 +441,8 @@ def fit_varying_normal(
         peaks = [p.peak() for p in fine]
         steps = np.linspace(-SPREAD, SPREAD, SIGMAS)
         places = np.array([centre + steps * sd for centre, sd in peaks])
-        logs = np.array([[p.at(v)[0] for v in line] for p, line in zip(fine, places)])
+        cells = [[p.at(v) for v in line] for p, line in zip(fine, places)]
+        logs = np.array([[log for log, _, _ in line] for line in cells])
     except np.linalg.LinAlgError as error:
         raise ValueError("design or second-level columns are constant or collinear") from error
 
@@ -458,8 +459,9 @@ def fit_varying_normal(
         g, i = divmod(cell, SIGMAS)
         width = (steps[1] - steps[0]) * peaks[g][1]
         log_sigma = places[g, i] + width * (rng.random() - 0.5)
-        _, low, mu = fine[g].at(log_sigma)
-        return g, log_sigma, mu + np.linalg.solve(low.T, rng.standard_normal(q))
+        _, low, mu = cells[g][i]
+        wider = np.exp(log_sigma - places[g, i])
+        return g, log_sigma, mu + wider * np.linalg.solve(low.T, rng.standard_normal(q))
 
     # Bounded by the number of draws and slopes; tasks need it next to every region.
     cores = [core_draw(np.random.default_rng([seed, chain, d])) for chain in range(chains) for d in range(draws)]
@@ -492,7 +494,7 @@ def fit_varying_normal(
             yield pa.RecordBatch.from_arrays(
                 [batch.column("region_index"), pa.array(mean)], ["region_index", "a"])
 
-    grid = [(g, weights[g, i], fine[g].at(places[g, i])[2], np.exp(2 * places[g, i]))
+    grid = [(g, weights[g, i], cells[g][i][2], np.exp(2 * places[g, i]))
             for g, i in zip(*np.nonzero(weights > 1e-10))]
     mean = sum(w * mu for _, w, mu, _ in grid)
 

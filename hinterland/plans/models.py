@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import NamedTuple
@@ -11,8 +11,10 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hinterland.operators.beta_models import fit_beta, fit_varying_beta
-from hinterland.operators.design import Moments, ThinQR, design_matrix, moments, square_terms, thin_qr
+from hinterland.operators.beta_models import (
+    fit_beta_batch, fit_varying_beta_batch, open_interval,
+)
+from hinterland.operators.design import design_matrix, moments, square_terms, thin_qr
 from hinterland.operators.frame import one_hot
 from hinterland.operators.normal_models import (
     GroupLevel, fit_normal, fit_varying_normal, group_level, group_stats,
@@ -20,7 +22,7 @@ from hinterland.operators.normal_models import (
 from hinterland.operators.posterior import Margin, margin_mult, margin_tables
 from hinterland.operators.aggregates import ratio_range
 from hinterland.operators.windows import first_per_key
-from hinterland.sources.checkpoint import materialise
+from hinterland.sources.checkpoint import stored
 
 # Names, order and codes of the model variables.
 MEASURES = {m: f"pdw2_{m}" for m in ("download", "upload", "pcount")}
@@ -96,17 +98,19 @@ def fit_grid(
     draws: int = DRAWS,
     chains: int = CHAINS,
     seed: int = SEED,
-    at_once: int = 4,
+    at_once: int = 8,
 ) -> DataFrame:
     """Draws of every requested fit, keyed by ``fit``, ``chain`` and ``draw``.
 
     For each sample and family the widest design is built and stored once. Normal fits
-    need one cross-product pass (and one group pass) over it: the four measure sets are
-    sub-matrices. Beta fits iterate over the stored design. ``at_once`` fits send their
-    jobs to Spark at the same time, which fills the gaps between small jobs.
+    need one pass over it (and one group pass): the four measure sets are parts of the wide
+    triangle and the wide sums. Beta fits of one model take all their steps in the same passes
+    over packed rows, so passes do not grow with the number of fits. ``at_once`` batches send
+    their jobs to Spark at the same time, which fills the gaps between small jobs.
     """
     second = second or {}
-    work = []
+    options = {"draws": draws, "chains": chains, "seed": seed}
+    work: list[Callable[[], list[DataFrame]]] = []
     for sample, family in dict.fromkeys((s.sample, s.family) for s in specs):
         wanted = [s for s in specs if (s.sample, s.family) == (sample, family)]
         used = [m for m in MEASURES if any(m in s.measures for s in wanted)]
@@ -114,43 +118,46 @@ def fit_grid(
             samples[sample], outcomes[family], [MEASURES[m] for m in used], covariates[sample],
             group,
         )
-        design = materialise(design)
-        wide = thin_qr(design, len(names)) if family == "normal" else None
-        stats = grouped = None
-        if family == "normal" and any(s.model == "vi" for s in wanted):
-            # Varying fits take only rows whose group has a second level, in all their sums.
-            usable = second[sample].restrict(design, group)
-            grouped = moments(usable, len(names))
-            stats = materialise(group_stats(usable, group, len(names)))
-        for spec in wanted:
-            own = [*square_terms([MEASURES[m] for m in spec.measures]), *covariates[sample]]
-            at = [names.index(n) for n in own]
-            work.append((spec, design, own, at, grouped if spec.model == "vi" else wide, stats, group, second.get(sample),
-                         draws, chains, seed))
-    spark = work[0][1].sparkSession
-    run = inheritable_thread_target(spark)(lambda job: _fit(*job))
+        design = stored(design if family == "normal" else open_interval(design))
+        own = {s.name: [*square_terms([MEASURES[m] for m in s.measures]), *covariates[sample]] for s in wanted}
+        at = {f: [names.index(n) for n in cols] for f, cols in own.items()}
+        single = [s.name for s in wanted if s.model == "sl"]
+        varying = [s.name for s in wanted if s.model == "vi"]
+        level = second.get(sample)
+        if family == "normal":
+            work += _normal_jobs(design, names, single, varying, own, at, group, level, options)
+        else:
+            if single:
+                work.append(lambda d=design, n=names, a={f: at[f] for f in single}: [
+                    f.draws for f in fit_beta_batch(d, n, a, **options).values()])
+            if varying:
+                work.append(lambda d=design, n=names, a={f: at[f] for f in varying}, v=level: [
+                    f.draws for f in fit_varying_beta_batch(d, n, a, group, v, **options).values()])
+    spark = next(iter(samples.values())).sparkSession
+    run = inheritable_thread_target(spark)(lambda job: job())
     with ThreadPoolExecutor(at_once) as pool:
-        parts = list(pool.map(run, work))
+        parts = [draws for found in pool.map(run, work) for draws in found]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _fit(
-    spec: FitSpec, design: DataFrame, names: list[str], at: list[int], wide: ThinQR | Moments | None,
-    stats: DataFrame | None, group: str, second: GroupLevel | None, draws: int, chains: int,
-    seed: int,
-) -> DataFrame:
-    options = {"fit": spec.name, "draws": draws, "chains": chains, "seed": seed}
-    if spec.family == "normal":
-        known = wide.subset(at)
-        if spec.model == "sl":
-            return fit_normal(design, names, known=known, **options).draws
-        return fit_varying_normal(
-            design, names, group, second, known=known, stats=stats, columns=at, **options
-        ).draws
-    narrow = design.withColumn("x", F.array(*[F.col("x")[i] for i in at]))
-    if spec.model == "sl":
-        return fit_beta(narrow, names, **options).draws
-    return fit_varying_beta(narrow, names, group, second, **options).draws
+def _normal_jobs(
+    design: DataFrame, names: list[str], single: list[str], varying: list[str], own: Mapping[str, list[str]],
+    at: Mapping[str, list[int]], group: str, level: GroupLevel | None, options: Mapping[str, int],
+) -> list[Callable[[], list[DataFrame]]]:
+    """Normal fits of one sample, from one wide triangle and one wide table of group sums."""
+    jobs = []
+    if single:
+        wide = thin_qr(design, len(names))
+        jobs.append(lambda: [
+            fit_normal(design, own[f], fit=f, known=wide.subset(at[f]), **options).draws for f in single])
+    if varying:
+        # Varying fits take only rows whose group has a second level, in all their sums.
+        usable = level.restrict(design, group)
+        sums, stats = moments(usable, len(names)), stored(group_stats(usable, group, len(names)))
+        jobs += [lambda f=f: [fit_varying_normal(
+            design, own[f], group, level, fit=f, known=sums.subset(at[f]), stats=stats, columns=at[f], **options
+        ).draws] for f in varying]
+    return jobs
 
 
 def margins(draws: DataFrame, ci: float = 95) -> DataFrame:
