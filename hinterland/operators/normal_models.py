@@ -59,7 +59,7 @@ def make_draws(
                 rows.append({"fit": fit, "chain": chain + 1, "draw": draw + 1, **value})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    parts = max(1, min(chains * draws // 500, spark.sparkContext.defaultParallelism))
+    parts = max(1, min(chains * draws // 2000, spark.sparkContext.defaultParallelism))
     return spark.range(0, chains * draws, 1, parts).mapInArrow(run, DRAW_SCHEMA)
 
 
@@ -229,13 +229,14 @@ class _Nodes:
     def values(self) -> np.ndarray:
         return np.exp((self.lo + self.hi) / 2 + (self.hi - self.lo) / 2 * np.cos(self.angles))
 
-    def weights(self, kappa: float) -> np.ndarray:
+    def weights(self, kappa: np.ndarray) -> np.ndarray:
+        """Weights of the nodes in the polynomial's values, a row for each of ``kappa``."""
         x = np.clip((np.log(kappa) - (self.lo + self.hi) / 2) / max((self.hi - self.lo) / 2, 1e-12), -1, 1)
-        gap = x - np.cos(self.angles)
-        if (near := np.abs(gap) < 1e-14).any():
-            return near.astype(float)
-        w = (-1.0) ** np.arange(self.count) * np.sin(self.angles) / gap
-        return w / w.sum()
+        gap = x[:, None] - np.cos(self.angles)
+        at_node = np.abs(gap) < 1e-14
+        w = (-1.0) ** np.arange(self.count) * np.sin(self.angles) / np.where(at_node, 1.0, gap)
+        w = np.where(at_node.any(axis=1, keepdims=True), at_node, w)
+        return w / w.sum(axis=1, keepdims=True)
 
 
 @dataclass(frozen=True)
@@ -254,34 +255,38 @@ class _Marginal:
     n: int
     regions: int
 
-    def at(self, log_sigma: float) -> tuple[float, np.ndarray, np.ndarray]:
-        """Log posterior in (log rho, log sigma), Cholesky factor and mean of the slopes."""
+    def at(self, log_sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log posterior in (log rho, log sigma), Cholesky factor and mean of the slopes, for each
+        of some places of sigma."""
         s2 = np.exp(2.0 * log_sigma)
         w = self.nodes.weights(s2 * REGION_PRIOR_SD**-2)
         m = np.tensordot(w, self.cross, 1)
-        q = len(m) - 1
-        low = np.linalg.cholesky(m[:q, :q])
-        half = np.linalg.solve(low, m[:q, q])
+        q = m.shape[-1] - 1
+        low = np.linalg.cholesky(m[:, :q, :q])
+        half = np.linalg.solve(low, m[:, :q, q:])
         log = (
-            -self.n * log_sigma - 0.5 * self.groups - 0.5 * (m[q, q] - half @ half) / s2
+            -self.n * log_sigma - 0.5 * self.groups - 0.5 * (m[:, q, q] - (half[:, :, 0] ** 2).sum(axis=1)) / s2
             - 0.5 * (w @ self.dets - 2.0 * self.regions * log_sigma)
-            - np.log(np.diag(low)).sum() + q * log_sigma
+            - np.log(np.diagonal(low, axis1=1, axis2=2)).sum(axis=1) + q * log_sigma
             + 2.0 * log_sigma + 0.5 * np.log(self.rho)  # flat on (sigma, sigma_a)
         )
-        return log, low / np.exp(log_sigma), np.linalg.solve(low.T, half)
+        mean = np.linalg.solve(np.swapaxes(low, 1, 2), half)[:, :, 0]
+        return log, low / np.exp(log_sigma)[:, None, None], mean
 
-    def peak(self) -> tuple[float, float]:
-        """Place and width of the peak along log sigma."""
+    def peak(self) -> tuple[float, float, float]:
+        """Place and width of the peak along log sigma, and its height."""
         lo, hi = self.nodes.lo / 2 + np.log(REGION_PRIOR_SD), self.nodes.hi / 2 + np.log(REGION_PRIOR_SD)
-        while hi - lo > 0.02 / np.sqrt(2.0 * self.n):
-            grid = np.linspace(lo, hi, 7)
-            logs = [self.at(v)[0] for v in grid]
+        while True:
+            grid = np.linspace(lo, hi, 25)
+            logs = self.at(grid)[0]
             best = int(np.argmax(logs))
-            lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, 6)]
+            if hi - lo < 0.05 / np.sqrt(2.0 * self.n):
+                break
+            lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, 24)]
         centre, step = grid[best], 0.05 / np.sqrt(2.0 * self.n)
-        around = [self.at(centre + d * step)[0] for d in (-1, 0, 1)]
+        around = self.at(centre + step * np.array([-1.0, 0.0, 1.0]))[0]
         curve = (2 * around[1] - around[0] - around[2]) / step**2
-        return centre, 1.0 / np.sqrt(max(curve, 1.0))
+        return centre, 1.0 / np.sqrt(max(curve, 1.0)), logs[best]
 
 
 def fit_varying_normal(
@@ -434,40 +439,40 @@ def fit_varying_normal(
     second_regions = second.n_regions
     try:
         _, rough, _ = eliminated(COARSE)
-        top = np.array([p.at(p.peak()[0])[0] for p in rough])
+        top = np.array([p.peak()[2] for p in rough])
         live = np.flatnonzero(top > top.max() - 18.0)
         lo, hi = max(live[0] - 1, 0), min(live[-1] + 1, len(COARSE) - 1)
         regions, fine, j = eliminated(np.exp(np.linspace(np.log(COARSE[lo]), np.log(COARSE[hi]), FINE)))
         peaks = [p.peak() for p in fine]
         steps = np.linspace(-SPREAD, SPREAD, SIGMAS)
-        places = np.array([centre + steps * sd for centre, sd in peaks])
-        cells = [[p.at(v) for v in line] for p, line in zip(fine, places)]
-        logs = np.array([[log for log, _, _ in line] for line in cells])
+        places = np.array([centre + steps * sd for centre, sd, _ in peaks])
+        cells = [p.at(line) for p, line in zip(fine, places)]
+        logs = np.array([c[0] for c in cells])
     except np.linalg.LinAlgError as error:
         raise ValueError("design or second-level columns are constant or collinear") from error
 
     # Cells are as wide in log sigma as their own peak.
-    weights = np.exp(logs - logs.max()) * np.array([sd for _, sd in peaks])[:, None]
+    weights = np.exp(logs - logs.max()) * np.array([sd for _, sd, _ in peaks])[:, None]
     weights /= weights.sum()
     flat = weights.ravel().cumsum()
 
     def shown(theta: np.ndarray) -> dict[str, np.ndarray]:
         return {"beta": theta[:k] / sx, "gamma": theta[k:q] / z_scale}
 
-    def core_draw(rng: np.random.Generator) -> tuple[int, float, np.ndarray]:
-        cell = min(int(np.searchsorted(flat, rng.random() * flat[-1])), len(flat) - 1)
-        g, i = divmod(cell, SIGMAS)
-        width = (steps[1] - steps[0]) * peaks[g][1]
-        log_sigma = places[g, i] + width * (rng.random() - 0.5)
-        _, low, mu = cells[g][i]
-        wider = np.exp(log_sigma - places[g, i])
-        return g, log_sigma, mu + wider * np.linalg.solve(low.T, rng.standard_normal(q))
-
-    # Bounded by the number of draws and slopes; tasks need it next to every region.
-    cores = [core_draw(np.random.default_rng([seed, chain, d])) for chain in range(chains) for d in range(draws)]
-    at_rho = np.array([g for g, _, _ in cores])
-    s2 = np.exp(2.0 * np.array([v for _, v, _ in cores]))
-    theta = np.array([t for _, _, t in cores]).reshape(len(cores), q)
+    # Bounded by the number of draws and slopes; tasks need the draws next to every region.
+    random = [np.random.default_rng([seed, chain, d]) for chain in range(chains) for d in range(draws)]
+    cell = np.searchsorted(flat, np.array([r.random() for r in random]) * flat[-1])
+    at_rho, at_sigma = np.divmod(np.minimum(cell, len(flat) - 1), SIGMAS)
+    step = (steps[1] - steps[0]) * np.array([sd for _, sd, _ in peaks])
+    log_sigma = places[at_rho, at_sigma] + step[at_rho] * (np.array([r.random() for r in random]) - 0.5)
+    wider = np.exp(log_sigma - places[at_rho, at_sigma])
+    theta = np.zeros((len(random), q))
+    for g in np.unique(at_rho):
+        some = np.flatnonzero(at_rho == g)
+        noise = np.array([random[i].standard_normal(q) for i in some])
+        upper = np.swapaxes(cells[g][1][at_sigma[some]], 1, 2)
+        theta[some] = cells[g][2][at_sigma[some]] + wider[some, None] * np.linalg.solve(upper, noise[:, :, None])[:, :, 0]
+    s2 = np.exp(2.0 * log_sigma)
     rho_of = np.array([p.rho for p in fine])
 
     def region_draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -494,7 +499,7 @@ def fit_varying_normal(
             yield pa.RecordBatch.from_arrays(
                 [batch.column("region_index"), pa.array(mean)], ["region_index", "a"])
 
-    grid = [(g, weights[g, i], cells[g][i][2], np.exp(2 * places[g, i]))
+    grid = [(g, weights[g, i], cells[g][2][i], np.exp(2 * places[g, i]))
             for g, i in zip(*np.nonzero(weights > 1e-10))]
     mean = sum(w * mu for _, w, mu, _ in grid)
 
@@ -503,9 +508,8 @@ def fit_varying_normal(
         F.transform(F.array_sort(F.collect_list(F.struct("region_index", "a"))), lambda v: v["a"]).alias("a_region"))
 
     def one(i: int) -> dict[str, object]:
-        g, log_sigma, own = cores[i]
-        sigma = float(np.exp(log_sigma))
-        return {**shown(own), "sigma": sigma, "sigma_a": sigma * float(np.sqrt(rho_of[g]))}
+        sigma = float(np.sqrt(s2[i]))
+        return {**shown(theta[i]), "sigma": sigma, "sigma_a": sigma * float(np.sqrt(rho_of[at_rho[i]]))}
 
     core_table = make_draws(spark, fit, None, draws, chains, seed, known=one)
     number = (F.col("chain") - 1) * draws + F.col("draw") - 1
@@ -517,7 +521,7 @@ def fit_varying_normal(
     def intercepts(count: int = 200) -> DataFrame:
         """``(group, a array)``: draws of each group's intercept, one row a group, that go with
         the first draws of the fit."""
-        count_ = min(count, len(cores))
+        count_ = min(count, len(theta))
         b, d = theta[:count_, :k], theta[:count_, k:]
         v2 = s2[:count_]
         t2 = v2 * rho_of[at_rho[:count_]]

@@ -110,8 +110,9 @@ def fit_grid(
     """
     second = second or {}
     options = {"draws": draws, "chains": chains, "seed": seed}
-    work: list[Callable[[], list[DataFrame]]] = []
-    for sample, family in dict.fromkeys((s.sample, s.family) for s in specs):
+    Job = Callable[[], list[DataFrame]]
+
+    def prepared(sample: str, family: str) -> list[Job]:
         wanted = [s for s in specs if (s.sample, s.family) == (sample, family)]
         used = [m for m in MEASURES if any(m in s.measures for s in wanted)]
         design, names = design_matrix(
@@ -121,23 +122,28 @@ def fit_grid(
         design = stored(design if family == "normal" else open_interval(design))
         own = {s.name: [*square_terms([MEASURES[m] for m in s.measures]), *covariates[sample]] for s in wanted}
         at = {f: [names.index(n) for n in cols] for f, cols in own.items()}
-        single = [s.name for s in wanted if s.model == "sl"]
-        varying = [s.name for s in wanted if s.model == "vi"]
+        single = {s.name: at[s.name] for s in wanted if s.model == "sl"}
+        varying = {s.name: at[s.name] for s in wanted if s.model == "vi"}
         level = second.get(sample)
         if family == "normal":
-            work += _normal_jobs(design, names, single, varying, own, at, group, level, options)
-        else:
-            if single:
-                work.append(lambda d=design, n=names, a={f: at[f] for f in single}: [
-                    f.draws for f in fit_beta_batch(d, n, a, **options).values()])
-            if varying:
-                work.append(lambda d=design, n=names, a={f: at[f] for f in varying}, v=level: [
-                    f.draws for f in fit_varying_beta_batch(d, n, a, group, v, **options).values()])
+            return _normal_jobs(design, names, list(single), list(varying), own, at, group, level, options)
+        jobs: list[Job] = []
+        if single:
+            jobs.append(lambda: [f.draws for f in fit_beta_batch(design, names, single, **options).values()])
+        if varying:
+            jobs.append(lambda: [f.draws for f in fit_varying_beta_batch(
+                design, names, varying, group, level, **options).values()])
+        return jobs
+
     spark = next(iter(samples.values())).sparkSession
+    prepare = inheritable_thread_target(spark)(prepared)
     run = inheritable_thread_target(spark)(lambda job: job())
     with ThreadPoolExecutor(at_once) as pool:
+        kinds = list(dict.fromkeys((s.sample, s.family) for s in specs))
+        work = [job for jobs in pool.map(lambda kind: prepare(*kind), kinds) for job in jobs]
         parts = [draws for found in pool.map(run, work) for draws in found]
-    return reduce(DataFrame.unionByName, parts)
+    # Stored once made: summaries read draws several times.
+    return stored(reduce(DataFrame.unionByName, parts))
 
 
 def _normal_jobs(
