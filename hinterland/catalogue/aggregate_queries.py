@@ -260,7 +260,7 @@ FROM lineitem GROUP BY 1, 2
 def group_quantiles(t: Tables):
     out = quantiles(
         t.lineitem, "l_extendedprice", [0.025, 0.5, 0.975], ["l_returnflag", "l_linestatus"],
-        ["lo", "med", "hi"], extra={"mean": F.avg},
+        ["lo", "med", "hi"], means={"mean": lambda v: v},
     )
     return rounded(out, 4, "lo", "med", "hi", "mean")
 
@@ -271,8 +271,5 @@ SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 4) AS q10,
 FROM lineitem GROUP BY 1
 """)
 def group_quantiles_sorted(t: Tables):
-    """The way large groups go, whatever their size here."""
-    out = quantiles(
-        t.lineitem, "l_extendedprice", [0.1, 0.9], ["l_returnflag"], ["q10", "q90"], in_memory=0
-    )
+    out = quantiles(t.lineitem, "l_extendedprice", [0.1, 0.9], ["l_returnflag"], ["q10", "q90"])
     return rounded(out, 4, "q10", "q90")

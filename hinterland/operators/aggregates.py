@@ -6,13 +6,13 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hinterland.functions.scalar import round_large
 from hinterland.operators.frame import pivot_keys, split_col, stack_rows, to_long
 from hinterland.operators.joins import attach_row, keyed_join
-from hinterland.operators.windows import running_total
+from hinterland.sources.checkpoint import materialise
 
 
 def rollup(
@@ -244,82 +244,98 @@ def kde(
     )
 
 
+_INFINITY = 2047 << 52
+#: Bits below the digits of the first and of the second step.
+_SHIFTS = (42, 21, 0)
+
+
+def order_key(v: Column) -> Column:
+    """Whole number of a double, in the same order and one to one (zeros are one): exponent and
+    fraction, as powers of two and products with them are exact. NaN comes last."""
+    a = F.abs(v)
+    two = F.lit(2.0)
+    e = F.floor(F.log2(F.when((a > 0) & (a < float("inf")), a)))
+    e = e - F.when(a < F.pow(two, e), 1).otherwise(0)
+    e = e + F.when(a >= F.pow(two, e + 1), 1).otherwise(0)
+    e = F.greatest(e, F.lit(-1022))
+    size = (e + 1022) * F.lit(2**52) + (a / F.pow(two, e) * float(2**52)).cast("long")
+    size = F.when(a == 0, F.lit(0)).when(a == float("inf"), F.lit(_INFINITY)).otherwise(size)
+    return F.when(F.isnan(v), F.lit(_INFINITY + 1)).when(v < 0, -size).otherwise(size).cast("long")
+
+
+def key_value(k: Column) -> Column:
+    """The double of an ``order_key``."""
+    a = F.abs(k)
+    e = F.shiftright(a, 52)
+    fraction = a.bitwiseAND(F.lit(2**52 - 1)) + F.when(e > 0, F.lit(2**52)).otherwise(F.lit(0))
+    size = fraction.cast("double") * F.pow(F.lit(2.0), F.greatest(e, F.lit(1)).cast("double") - 1075.0)
+    return F.when(a > _INFINITY, F.lit(float("nan"))).when(k < 0, -size).otherwise(size)
+
+
 def quantiles(
     df: DataFrame,
     col: str,
     probs: Sequence[float],
     by: Sequence[str] = (),
     names: Sequence[str] | None = None,
-    extra: Mapping[str, Callable[[Column], Column]] | None = None,
-    largest: int | None = None,
-    in_memory: int = 50_000,
+    means: Mapping[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation (type 7), NULL values skipped.
 
-    ``extra`` adds further aggregates of the same column. Spark's ``percentile`` keeps the
-    distinct values of a group in one task. It is used when the caller knows that no group
-    has more than ``in_memory`` rows (``largest``), or, on counted values, when a count
-    shows that no group has more distinct values than that. Larger groups take the sorted
-    way: counted values are ranked by ``running_total`` over range partitions, and only the
-    two next to each quantile are kept.
+    ``means`` adds averages of expressions of the same column. Values are looked at as whole
+    numbers of 64 bits in the same order. A first pass counts rows by group and leading digits; a
+    second reads only rows whose digits hold a wanted rank, and counts them by value. Two more
+    steps on those counts narrow the digits until one value is left for each rank. All groups of
+    any size go this way: a task orders at most the 2**22 digits of a step, never the rows of a
+    group.
     """
     by, names = list(by), list(names or [f"q{p:g}" for p in probs])
-    extra = {n: f(F.col("_v")).alias(n) for n, f in (extra or {}).items()}
-    rows = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_v"))
-    at = F.array(*[F.lit(float(p)) for p in probs])
-
-    def unpacked(grouped: DataFrame) -> DataFrame:
-        return grouped.select(
-            *by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)],
-            *[c for c in extra if c in grouped.columns],
-        )
-
-    if largest is not None and largest <= in_memory:
-        return unpacked(
-            rows.groupBy(*by).agg(F.percentile("_v", at).alias("_q"), *extra.values())
-        )
-    counted = rows.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    distinct = counted.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if distinct <= in_memory:
-        out = unpacked(counted.groupBy(*by).agg(F.percentile("_v", at, F.col("_c")).alias("_q")))
-    else:
-        out = _sorted_quantiles(counted, probs, by, names)
-    if not extra:
-        return out
-    more = rows.groupBy(*by).agg(*extra.values())
-    return keyed_join(out, more, by, "inner", null_safe=True) if by else attach_row(
-        out, more, list(extra)
-    )
-
-
-def _sorted_quantiles(
-    counted: DataFrame, probs: Sequence[float], by: list[str], names: list[str]
-) -> DataFrame:
-    ranked = running_total(counted, ["_v"], F.col("_c"), "_upto", by)
-    totals = ranked.groupBy(*by).agg(F.max("_upto").alias("_n"))
-    joined = (
-        keyed_join(ranked, totals, by, "inner", null_safe=True)
-        if by else attach_row(ranked, totals, ["_n"])
-    )
-
-    def at(rank: Column) -> Column:
-        """Value whose run of equal values covers this zero-based rank."""
-        hit = (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_c"))
-        return F.max(F.when(hit, F.col("_v")))
-
-    picks = []
-    for i, p in enumerate(probs):
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        low = F.floor(pos)
-        picks += [
-            at(low).alias(f"_lo{i}"),
-            at(F.ceil(pos)).alias(f"_hi{i}"),
-            F.max(pos - low).alias(f"_f{i}"),
-        ]
-    return joined.groupBy(*by).agg(*picks).select(*by, *[
-        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(n)
-        for i, n in enumerate(names)
-    ])
+    means = means or {}
+    value = F.col(col).cast("double")
+    rows = df.where(F.col(col).isNotNull()).select(*by, value.alias("_v"), order_key(value).alias("_k"))
+    first = rows.groupBy(*by, F.shiftright("_k", _SHIFTS[0]).alias("_d")).agg(
+        F.count("*").alias("_c"),
+        *[F.sum(f(F.col("_v")).cast("double")).alias(f"_s{i}") for i, f in enumerate(means.values())])
+    first = materialise(first.withColumn("_p", F.lit(0).cast("long")))
+    totals = first.groupBy(*by).agg(
+        F.sum("_c").alias("_n"),
+        *[(F.sum(f"_s{i}") / F.sum("_c")).alias(n) for i, n in enumerate(means)])
+    at = (F.col("_n") - 1) * F.col("_prob")
+    wanted = totals.select(*by, "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_prob"))
+    wanted = wanted.select(
+        *by, "_i", (at - F.floor(at)).alias("_part"), F.lit(0).cast("long").alias("_p"),
+        F.explode(F.array(F.floor(at), F.ceil(at))).alias("_rank")).distinct()
+
+    def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+        return keyed_join(left, right, [*by, *keys], how, null_safe=True)
+
+    def narrowed(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+        """The digit of each wanted rank among ``counts(by, _p, _d, _c)``, and its rank there."""
+        upto = F.sum("_c").over(Window.partitionBy(*by, "_p").orderBy("_d"))
+        placed = counts.select(*by, "_p", "_d", "_c").withColumn("_upto", upto)
+        before = F.col("_upto") - F.col("_c")
+        return same(wanted, placed, ["_p"]).where((F.col("_rank") >= before) & (F.col("_rank") < F.col("_upto"))).select(
+            *by, "_i", "_part", F.col("_d").alias("_p"), (F.col("_rank") - before).alias("_rank"))
+
+    wanted = materialise(narrowed(first, wanted))
+    held = same(
+        rows.withColumn("_p", F.shiftright("_k", _SHIFTS[0])), wanted.select(*by, "_p").distinct(), ["_p"], "left_semi")
+    values = materialise(held.groupBy(*by, "_k").agg(F.count("*").alias("_c")))
+    for above, shift in zip(_SHIFTS, _SHIFTS[1:]):
+        counts = values.groupBy(
+            *by, F.shiftright("_k", above).alias("_p"), F.shiftright("_k", shift).alias("_d")).agg(F.sum("_c").alias("_c"))
+        # Digits of a step are few next to those that the last step left out.
+        counts = same(counts, wanted.select(*by, "_p").distinct(), ["_p"], "left_semi")
+        wanted = narrowed(counts, wanted)
+    found = wanted.withColumn("_x", key_value(F.col("_p")))
+    own = [F.col("_i") == i for i in range(len(names))]
+    picked = found.groupBy(*by).agg(*[
+        (F.min(F.when(o, F.col("_x"))) + (F.max(F.when(o, F.col("_x"))) - F.min(F.when(o, F.col("_x"))))
+         * F.max(F.when(o, F.col("_part")))).alias(n) for o, n in zip(own, names)])
+    if not means:
+        return picked
+    totals = totals.drop("_n")
+    return same(picked, totals, []) if by else attach_row(picked, totals, list(means))
 
 
 def counts_by(df: DataFrame, by: Sequence[str], name: str = "n") -> DataFrame:

@@ -75,25 +75,20 @@ def posterior_terms(
     tail = (1.0 - level) / 2.0
     out = quantiles(
         long, "value", [tail, 1.0 - tail], [*by, "pos", "term"], ["lo", "hi"],
-        extra={"estimate": F.avg}, largest=_largest(draws, by),
+        means={"estimate": lambda v: v},
     )
     shown = {c: F.col(c) if digits is None else rounding(F.col(c), digits)
              for c in ("estimate", "lo", "hi")}
     return out.select(*by, "pos", "term", *[v.alias(c) for c, v in shown.items()])
 
 
-def _largest(draws: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the largest group, counted before draws are multiplied by a grid."""
-    return draws.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-
-
 def _margin_summary(
-    values: DataFrame, by: Sequence[str], ci: float, largest: int, shift: float
+    values: DataFrame, by: Sequence[str], ci: float, shift: float
 ) -> DataFrame:
     tail = (1.0 - ci / 100.0) / 2.0
     out = quantiles(
         values, "effect", [tail, 0.5, 1.0 - tail], [*by, "x"], ["lo_ci", "med", "hi_ci"],
-        extra={"mean": F.avg, "gt0": lambda v: F.avg((v > 0).cast("int"))}, largest=largest,
+        means={"mean": lambda v: v, "gt0": lambda v: (v > 0).cast("int")},
     )
     return out.select(
         *by, (F.col("x") + shift).alias("x"), "lo_ci", "med", "mean", "hi_ci", "gt0"
@@ -127,7 +122,7 @@ def margin_quad(
     values = draws.select(*by, vector, F.explode(_grid(grid)).alias("x")).select(
         *by, "x", _slope(vector, i, j, F.col("x")).cast("double").alias("effect")
     )
-    return _margin_summary(values, by, ci, _largest(draws, by), shift)
+    return _margin_summary(values, by, ci, shift)
 
 
 def margin_mult(
@@ -151,7 +146,7 @@ def margin_mult(
         (_slope(vector, *first, F.col("g.x")) + _slope(vector, *second, F.col("g.y")))
         .cast("double").alias("effect"),
     )
-    return _margin_summary(values, by, ci, _largest(draws, by), shift)
+    return _margin_summary(values, by, ci, shift)
 
 
 class Margin(NamedTuple):
@@ -192,7 +187,7 @@ def margin_tables(
     )
     values = picked.select("fit", "type", "x", (F.col("b1") + 2.0 * F.col("b2") * F.col("x"))
                            .alias("effect"))
-    return _margin_summary(values, ["fit", "type"], ci, _largest(draws, ["fit"]), shift)
+    return _margin_summary(values, ["fit", "type"], ci, shift)
 
 
 def regression_table(

@@ -1,8 +1,11 @@
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hinterland.operators.aggregates import (
+    key_value, order_key,
     describe, histogram, kde, merge_rollups, propmiss, quantiles, ratio_range, rollup,
     weighted_mean,
 )
@@ -97,8 +100,7 @@ def test_kde_without_spread_in_the_middle(spark, values, h):
     assert kde(df, "v", [2.0]).first()["density"] == pytest.approx(want)
 
 
-@pytest.mark.parametrize("in_memory", [0, 10**6])
-def test_quantiles_equal_numpy(spark, in_memory):
+def test_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(2)
     values = {"hot": rng.integers(0, 40, 3000).astype(float), "one": np.array([7.5]),
               None: rng.normal(size=11)}
@@ -106,7 +108,7 @@ def test_quantiles_equal_numpy(spark, in_memory):
     df = spark.createDataFrame(rows, "g string, x double")
     probs = [0.025, 0.5, 0.975]
     got = quantiles(df, "x", probs, ["g"], ["lo", "med", "hi"],
-                    extra={"mean": F.avg}, in_memory=in_memory).collect()
+                    means={"mean": lambda v: v}).collect()
     assert len(got) == 3
     for r in got:
         want = np.quantile(values[r["g"]], probs)
@@ -114,11 +116,51 @@ def test_quantiles_equal_numpy(spark, in_memory):
         assert r["mean"] == pytest.approx(values[r["g"]].mean())
 
 
-@pytest.mark.parametrize("in_memory", [0, 10**6])
-def test_quantiles_without_groups(spark, in_memory):
+def test_quantiles_without_groups(spark):
     df = spark.range(101).select(F.col("id").cast("double").alias("x"))
-    row = quantiles(df, "x", [0.5, 0.333], extra={"top": F.max}, in_memory=in_memory).first()
-    assert row["q0.5"] == 50 and row["q0.333"] == pytest.approx(33.3) and row["top"] == 100
+    row = quantiles(df, "x", [0.5, 0.333], means={"above": lambda v: (v > 50).cast("int")}).first()
+    assert row["q0.5"] == 50 and row["q0.333"] == pytest.approx(33.3) and row["above"] == pytest.approx(50 / 101)
+
+
+EDGES = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, 0.9999999999999999,
+         1.0000000000000002, -1.0, 1.7976931348623157e308, -1.7976931348623157e308, 4.0, 3.9999999999999996, 8.0,
+         1e22, 1e-22, float("inf"), float("-inf")]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.floats(allow_nan=False, width=64) | st.sampled_from(EDGES), min_size=1, max_size=60))
+def test_keys_order_doubles_and_come_back(spark, values):
+    df = spark.createDataFrame([(v,) for v in values + EDGES], "x double").select("x", order_key(F.col("x")).alias("k"))
+    rows = sorted((r.k, r.x, r.back) for r in df.withColumn("back", key_value(F.col("k"))).collect())
+    assert [x for _, x, _ in rows] == sorted(values + EDGES)
+    assert all(x == back for _, x, back in rows)
+    assert all((a[0] == b[0]) == (a[1] == b[1]) for a, b in zip(rows, rows[1:]))
+    nan = spark.range(1).select(F.lit(float("nan")).alias("x")).select(order_key(F.col("x")).alias("k"))
+    r = nan.select("k", key_value(F.col("k")).alias("x")).first()
+    assert r.k > rows[-1][0] and r.x != r.x
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.floats(-1e9, 1e9)), min_size=1, max_size=80),
+       st.lists(st.floats(0, 1), min_size=1, max_size=4, unique=True))
+def test_quantiles_of_any_groups(spark, rows, probs):
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: r for r in quantiles(df, "x", probs, ["g"], [f"p{i}" for i in range(len(probs))]).collect()}
+    assert got.keys() == {g for g, _ in rows}
+    for g, r in got.items():
+        want = np.quantile([x for k, x in rows if k == g], probs)
+        assert [r[f"p{i}"] for i in range(len(probs))] == pytest.approx(list(want), rel=1e-12, abs=1e-12)
+
+
+def test_quantiles_never_order_the_rows_of_a_group(spark):
+    """Rows are only counted by (group, digits); windows run over counts."""
+    df = spark.range(50_000).select((F.col("id") % 2).alias("g"), F.sin("id").alias("x"))
+    out = quantiles(df, "x", [0.5], ["g"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "percentile" not in plan
+    x = np.sin(np.arange(50_000))
+    got = {r.g: r["q0.5"] for r in out.collect()}
+    assert got == pytest.approx({0: np.median(x[::2]), 1: np.median(x[1::2])}, abs=1e-12)
 
 
 def test_ratio_range(spark):

@@ -72,18 +72,6 @@ def test_table_order_and_counts(spark, draws):
     assert rows[1]["normal"].startswith("[") and rows[-1]["beta"] == "36"
 
 
-def test_draws_in_large_groups_take_the_sorted_way(draws, monkeypatch):
-    from hinterland.operators import aggregates, posterior
-
-    small = posterior_terms(draws, digits=None).orderBy("fit", "pos").collect()
-    plain = aggregates.quantiles
-    monkeypatch.setattr(posterior, "quantiles",
-                        lambda *a, **k: plain(*a, **{**k, "in_memory": 0}))
-    large = posterior_terms(draws, digits=None).orderBy("fit", "pos").collect()
-    for a, b in zip(small, large, strict=True):
-        assert (a["lo"], a["hi"], a["estimate"]) == pytest.approx((b["lo"], b["hi"], b["estimate"]))
-
-
 def test_other_columns_follow_the_slopes_and_the_intercept_comes_last(spark):
     draws = spark.createDataFrame(
         [("sl", [1.0, 2.0], None, 0.5, 3.0), ("sl", [3.0, 4.0], None, 1.5, 5.0),
