@@ -4,16 +4,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from hinterland.catalogue.registry import Tables, query
+from hinterland.catalogue.registry import Tables, query, rounded
 from hinterland.functions import paste
 from hinterland.operators.frame import stack_rows
 from hinterland.operators.joins import attach_row
 from hinterland.sources.checkpoint import ensure_checkpoint_dir
 from hinterland.sources.delimited import (
-    preview, read_table, reconcile, text_schema, write_extracts, write_table,
+    load_text, preview, read_table, reconcile, replace_table, text_schema, write_extracts, write_table,
 )
+from hinterland.sources.draws import read_draws
 from hinterland.sources.files import (
-    period_table, prefer_revision, release_stem, route_sources, with_period,
+    period_table, prefer_revision, read_periods, release_stem, route_sources, store_period, with_period,
 )
 
 
@@ -149,3 +150,113 @@ def reconcile_counts(t: Tables):
     back = read_table(t.spark, path, "c_custkey long, c_mktsegment string",
                       names=["unitid", "segment"])
     return reconcile(t.spark, path, back)
+
+
+#: Columns of the two kinds of draw files below, and the draw of each file that is no number.
+WIDTHS = (8, 16)
+
+
+@query("draw_files", f"""
+WITH d AS (SELECT label, vec_id, unnest(range(1, 17)) AS k, unnest(embedding[1:16])::DOUBLE AS v FROM embeddings),
+w AS (SELECT * FROM d WHERE k <= CASE WHEN label % 2 = 0 THEN {WIDTHS[0]} ELSE {WIDTHS[1]} END),
+m AS (SELECT *, k = 1 AND vec_id = min(vec_id) OVER (PARTITION BY label) AS lost FROM w)
+SELECT CASE WHEN label % 2 = 0 THEN 'sl_normal_full_w_download' ELSE 'sl_normal_full_w_all' END AS fit,
+       CAST(label // 2 + 1 AS INTEGER) AS chain, CAST(k AS INTEGER) AS k, count(*) AS draws,
+       count(*) FILTER (lost) AS lost, round(sum(v) FILTER (NOT lost), 4) AS total,
+       round(avg(vec_id), 4) AS alpha
+FROM m GROUP BY ALL
+""")
+def draw_files(t: Tables):
+    """One draw file a chain, of two widths, with comments, headers in another order than the
+    columns and a draw that is no number; then read back."""
+    path = scratch(t)
+    first = t.embeddings.groupBy("label").agg(F.min("vec_id").alias("first"))
+    rows = t.embeddings.join(first, "label").withColumn(
+        "width", F.when(F.col("label") % 2 == 0, WIDTHS[0]).otherwise(WIDTHS[1]))
+    measure = F.when(F.col("label") % 2 == 0, F.lit("download")).otherwise(F.lit("all"))
+    file = F.format_string("sl_normal_full_w_%s_%d.csv", measure, F.floor(F.col("label") / 2).cast("int") + 1)
+    # Columns are written last first.
+    numbers = F.transform(F.reverse(F.slice("embedding", 1, F.col("width"))), lambda v: v.cast("double").cast("string"))
+    lost = F.when(F.col("vec_id") == F.col("first"), F.concat(
+        F.slice(numbers, 1, F.col("width") - 1), F.array(F.lit("nan")))).otherwise(numbers)
+    draws = rows.select(file.alias("file"), F.concat_ws(",", F.col("vec_id").cast("string"), lost).alias("value"))
+    heads = rows.select(
+        file.alias("file"),
+        F.concat_ws(",", F.lit("alpha"), F.transform(F.reverse(F.sequence(F.lit(1), F.col("width"))), lambda k: F.concat(
+            F.lit("beta."), k.cast("string")))).alias("value")).distinct()
+    notes = heads.select("file", F.lit("# adaptation of the step size").alias("value"))
+    draws.unionByName(heads).unionByName(notes).repartition("file").write.partitionBy("file").text(path)
+    back = read_draws(t.spark, path, scalars=("alpha",)).select(
+        "fit", "chain", "alpha", F.posexplode("beta").alias("k", "v"))
+    out = back.groupBy("fit", "chain", (F.col("k") + 1).alias("k")).agg(
+        F.count("*").alias("draws"), F.count_if(F.isnan("v")).alias("lost"),
+        F.sum(F.when(~F.isnan("v"), F.col("v"))).alias("total"), F.avg("alpha").alias("alpha"))
+    return rounded(out, 4, "total", "alpha")
+
+
+@query("reload_period", """
+SELECT CAST(year AS INTEGER) AS year, CAST(mon AS INTEGER) AS mon, count(*) AS n,
+       round(sum(CASE WHEN year = 1995 AND mon = 3 THEN 2 * o_totalprice ELSE o_totalprice END), 2) AS total
+FROM (SELECT o_totalprice, year(o_orderdate) AS year, month(o_orderdate) AS mon FROM orders)
+WHERE year = 1995 GROUP BY year, mon
+""")
+def reload_period(t: Tables):
+    """A month is loaded again, twice: that month is replaced and the others stay."""
+    path = scratch(t)
+    rows = t.orders.select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"),
+                           F.month("o_orderdate").alias("mon"))
+    store_period(rows, path)
+    march = rows.where("year = 1995 AND mon = 3").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    for _ in range(2):
+        store_period(march, path)
+    back = t.spark.read.schema(rows.schema).parquet(path).where("year = 1995")
+    out = back.groupBy("year", "mon").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    return rounded(out, 2, "total")
+
+
+@query("read_periods", """
+SELECT CAST(year AS INTEGER) AS year, CAST(mon AS INTEGER) AS mon, count(*) AS n, round(sum(o_totalprice), 2) AS total
+FROM (SELECT o_totalprice, year(o_orderdate) AS year, month(o_orderdate) AS mon FROM orders)
+WHERE year IN (1994, 1995) AND mon IN (6, 12) GROUP BY year, mon
+""")
+def periods(t: Tables):
+    """One table a release, named after its month; month and year come from the names."""
+    path = scratch(t)
+    names = {"June_1994": (1994, 6), "December_1994": (1994, 12), "June_1995": (1995, 6), "December_1995": (1995, 12)}
+    for name, (year, mon) in names.items():
+        own = (F.year("o_orderdate") == year) & (F.month("o_orderdate") == mon)
+        write_table(t.orders.where(own).select("o_orderkey", "o_totalprice"), f"{path}/{name}")
+    out = read_periods(t.spark, path, list(names)).groupBy("year", "mon").agg(
+        F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    return rounded(out, 2, "total")
+
+
+@query("replace_table", """
+SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total
+FROM orders WHERE o_orderstatus = 'F' GROUP BY 1
+""")
+def replaced(t: Tables):
+    """A table of the catalog is created, then replaced with fewer rows."""
+    name = f"staging_{uuid.uuid4().hex}"
+    rows = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    replace_table(rows, name)
+    replace_table(rows.where("o_orderstatus = 'F'"), name, ["o_orderpriority"])
+    out = t.spark.table(name).groupBy("o_orderpriority").agg(
+        F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    return rounded(out, 2, "total")
+
+
+@query("load_metrics", """
+SELECT count(*) AS data_lines, count(*) AS rows, 0::BIGINT AS bad, round(sum(c_acctbal), 2) AS total
+FROM customer
+""")
+def load_metrics(t: Tables):
+    """Lines, headers and rows counted by the very job that writes the table."""
+    path = scratch(t)
+    rows = t.customer.select("c_custkey", "c_acctbal", "c_mktsegment")
+    rows.write.option("sep", "|").option("header", True).csv(f"{path}/text")
+    table, counts = load_text(t.spark, f"{path}/text", rows.schema, f"{path}/table")
+    shown = {"data_lines": counts["lines"] - counts["headers"], "rows": counts["rows"], "bad": counts["bad"]}
+    out = table.agg(F.sum("c_acctbal").alias("total")).select(
+        *[F.lit(v).cast("long").alias(c) for c, v in shown.items()], "total")
+    return rounded(out, 2, "total")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hinterland.functions.scalar import round_large
-from hinterland.operators.frame import pivot_keys, split_col, stack_rows, to_long
+from hinterland.operators.frame import pivot_keys, pivoted, split_col, stack_rows, to_long
 from hinterland.operators.joins import attach_row, keyed_join
 from hinterland.sources.checkpoint import materialise
 
@@ -372,9 +372,7 @@ def measures_by_year(
         to_long(keyed, [year], [c for c in keyed.columns if c != year]),
         "key", ["ord", "var", "stat"], "|",
     )
-    return (
-        long.withColumn("ord", F.col("ord").cast("int"))
-        .groupBy("ord", "var", "stat")
-        .pivot(year, pivot_keys(df, year, years))
-        .agg(rounding(F.first("value"), digits))
-    )
+    # Years are looked up among the means, one row a year, and not in the data again.
+    wide = materialise(long.withColumn("ord", F.col("ord").cast("int")))
+    return pivoted(
+        wide, ["ord", "var", "stat"], year, rounding(F.first("value"), digits), pivot_keys(wide, year, years))

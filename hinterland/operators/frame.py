@@ -70,23 +70,41 @@ def split_col(df: DataFrame, col: str, into: Sequence[str], sep: str = "_") -> D
     return df.withColumns({n: F.get(parts, i) for i, n in enumerate(into)}).drop(col)
 
 
-def pivot_keys(df: DataFrame, key: str, keys: Sequence[object] | None = None) -> list[object]:
-    """Keys of a pivot, one job over the distinct values: all that occur, in order, or the given
-    ones if none is missing from them."""
-    found = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).distinct().collect())
+#: Columns that a pivot makes at most.
+MOST_KEYS = 10_000
+
+
+def pivot_keys(df: DataFrame, key: str, keys: Sequence[object] | None = None, most: int = MOST_KEYS) -> list[object]:
+    """Keys of a pivot, one job over the distinct values: all that occur, in order and NULL last,
+    or the given ones if none is missing from them. More than ``most`` keys are refused."""
+    found = [r[0] for r in df.select(key).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{key} has more than {most} values, too many for columns")
     if keys is None:
-        return found
+        return sorted(v for v in found if v is not None) + [None] * (None in found)
     if missed := [k for k in found if k not in keys]:
         raise ValueError(f"{key} has values without a column: {missed[:10]}")
     return list(keys)
 
 
+def pivoted(df: DataFrame, ids: Sequence[str], key: str, value: Column, keys: Sequence[object]) -> DataFrame:
+    """One column a key; NULL keys go to a column called NULL. ``value`` is an aggregate."""
+    names = [k for k in keys if k is not None]
+    if None not in keys:
+        return df.groupBy(*ids).pivot(key, names).agg(value)
+    # A pivot matches keys by equality: those without one are summarised beside it.
+    whole = df.groupBy(*ids, key).agg(value.alias("_value"))
+    columns = [F.first(F.when(F.col(key) == F.lit(k), F.col("_value")), ignorenulls=True).alias(str(k)) for k in names]
+    columns.append(F.first(F.when(F.col(key).isNull(), F.col("_value")), ignorenulls=True).alias("NULL"))
+    return whole.groupBy(*ids).agg(*columns)
+
+
 def to_wide(
     df: DataFrame, ids: Sequence[str], key: str, value: str, keys: Sequence[object] | None = None
 ) -> DataFrame:
-    """Pivot one value per (ids, key), with a column for each key that occurs; given ``keys``
-    set the order and must miss none."""
-    return df.groupBy(*ids).pivot(key, pivot_keys(df, key, keys)).agg(F.first(value, ignorenulls=True))
+    """Pivot one value per (ids, key), with a column for each key that occurs, also for NULL; given
+    ``keys`` set the order and must miss none."""
+    return pivoted(df, ids, key, F.first(value, ignorenulls=True), pivot_keys(df, key, keys))
 
 
 def stack_rows(*parts: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +54,27 @@ def reconcile(spark: SparkSession, path: str, df: DataFrame, header: bool = True
     ).withColumn("agree", F.col("source_rows") == F.col("table_rows"))
 
 
+def load_text(
+    spark: SparkSession, path: str, schema: T.StructType, target: str, sep: str = "|",
+) -> tuple[DataFrame, dict[str, int]]:
+    """Headed text without quotes into a Parquet table, and counts taken while it is written:
+    ``lines`` that are not blank, ``headers`` among them, ``rows`` written and ``bad`` ones, with
+    another number of fields than the schema. The source is read once."""
+    seen, kept = Observation(), Observation()
+    header = sep.join(schema.fieldNames()).lower()
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    is_header = F.lower("value") == header
+    lines = lines.observe(seen, F.count("*").alias("lines"), F.count_if(is_header).alias("headers"))
+    fields = F.split("value", re.escape(sep), -1)
+    width = len(schema)
+    rows = lines.where(~is_header).select(fields.alias("f"), (F.size(fields) != width).alias("bad"))
+    rows = rows.observe(kept, F.count("*").alias("rows"), F.count_if("bad").alias("bad"))
+    rows.select(*[
+        F.nullif(F.get("f", F.lit(i)), F.lit("")).try_cast(c.dataType).alias(c.name)
+        for i, c in enumerate(schema)]).write.parquet(target)
+    return spark.read.schema(schema).parquet(target), {**seen.get, **kept.get}
+
+
 def write_table(
     df: DataFrame,
     path: str,

@@ -87,3 +87,10 @@ def read_periods(
         part = with_period(spark.read.parquet(f"{base}/{t}").withColumn("_t", F.lit(t)), "_t")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out.drop("_t")
+
+
+def store_period(df: DataFrame, base: str, by: Sequence[str] = ("year", "mon")) -> None:
+    """Write rows into a table partitioned by period. Partitions that occur in ``df`` are replaced,
+    all others stay, so loading a month again gives the same table."""
+    (df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*by).parquet(base))
