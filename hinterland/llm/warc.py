@@ -146,8 +146,9 @@ def assemble(records: DataFrame) -> DataFrame:
         some = F.coalesce("others", F.array().cast("array<struct<record_id:string,kind:string,body:string>>"))
         return F.transform(F.filter(some, lambda o: o["kind"] == kind), lambda o: o["body"])
 
-    # The nested row is built last: measures are taken before the join, and payloads that nobody
-    # reads are not shuffled.
+    # The nested row is built last and measures are taken before the join, so that payloads which
+    # nobody reads are not shuffled. That holds while nothing stands between a field of the row and
+    # who reads it that could fail: casts of other fields have to be lenient.
     response = F.struct("payload", "payload_bytes", "payload_digest").alias("response")
     return captures.join(others, "record_id", "left").select(
         "record_id", "kind", "target", response, pick("request").alias("requests"),
@@ -169,7 +170,7 @@ def archived_pages(
     border = write_warc(pages, path, id_col, url_col, payload_col)
     page_id = F.regexp_extract(F.element_at("metadata", 1), r"(?m)^page-id: (-?\d+)", 1)
     rows = scratch.keep(assemble(read_warc(spark, path, border)).select(
-        F.nullif(page_id, F.lit("")).cast("long").alias("page_id"),
+        page_id.try_cast("long").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("kind").alias("record_type"), F.size("requests").alias("requests")), "captures")

@@ -321,3 +321,29 @@ def test_queries_match_duckdb(spark, tables, name):
     got = queries.QUERIES[name](spark, tables)
     assert sorted(columns) == sorted(got.columns)
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r[c] for c in columns)) for r in got.collect())
+
+
+def test_archived_payloads_are_not_shuffled(spark):
+    """The digest needs the payload, the join doesn't: no exchange of the plan carries it."""
+    pages = spark.createDataFrame([(1, "http://a", "<p>x</p>" * 400), (2, "http://b", "<p>x</p>" * 400)],
+                                  "page_id long, url string, html string")
+    from hinterland.llm.scratch import Scratch
+    from hinterland.llm.warc import assemble
+    from pyspark.sql import functions as F
+
+    path = Scratch(spark).path("archives")
+    border = write_warc(pages, path, "page_id", "url", "html")
+    page_id = F.regexp_extract(F.element_at("metadata", 1), r"(?m)^page-id: (-?\d+)", 1)
+    out = assemble(read_warc(spark, path, border)).select(
+        page_id.try_cast("long").alias("page_id"), "response.payload_bytes", "response.payload_digest")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = out._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    exchanges = [block for block in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", block)]
+    assert len(exchanges) >= 2
+    for block in exchanges:
+        assert not re.search(r"Input.*\bpayload#", block), block
