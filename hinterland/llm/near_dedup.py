@@ -61,8 +61,12 @@ def near_duplicates(
         linked.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
     names = scratch.keep(
         linked.join(smallest, "component").select("digest", "component_id").unionByName(lone), "names")
+    scratch.drop(smallest)
     with_set = sketches.where("n > 0").select("row_id", "n", "digest").join(names, "digest", "left")
     without = sketches.where("n = 0").select("row_id", "n", F.col("row_id").alias("component_id"))
-    return with_set.select("row_id", "n", "component_id").unionByName(without).select(
+    found = scratch.keep(with_set.select("row_id", "n", "component_id").unionByName(without), "found")
+    scratch.drop(sketches, nodes, names)
+    scratch.rest()
+    return found.select(
         F.col("row_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id",
         F.col("row_id").eqNullSafe(F.col("component_id")).alias("kept"))

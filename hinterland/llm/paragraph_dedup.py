@@ -54,12 +54,14 @@ def repeated_paragraphs(
     first = scratch.keep(linked.groupBy("component").agg(F.min("place").alias("kept")), "first")
     clusters = scratch.keep(
         linked.join(first, "component").select("digest", "kept").unionByName(alone), "clusters")
-    return (
+    gone = scratch.keep(
         places.select("row_id", "row_key", "unit", "digest").join(clusters, "digest")
         .where(~place().eqNullSafe(F.col("kept")))
         .select("row_key", F.col("row_id").alias("doc_id"), "unit",
-                F.col("kept.row_id").alias("kept_doc_id"), F.col("kept.unit").alias("kept_unit"))
-    )
+                F.col("kept.row_id").alias("kept_doc_id"), F.col("kept.unit").alias("kept_unit")), "gone")
+    scratch.drop(places, nodes, first, clusters)
+    scratch.rest()
+    return gone
 
 
 def _free_name(docs: DataFrame, name: str) -> str:
@@ -112,10 +114,13 @@ def dedup_paragraphs(
             number: F.monotonically_increasing_id(),
         })
         .select(*rows.columns, "removed", number), "left")
-    windows = scratch.keep(repeated_windows(left.select(
+    scratch.drop(lists)
+    scratch.rest()
+    windows = repeated_windows(left.select(
         F.col(number).alias("number"), F.col(id_col).cast("long").alias("row_id"),
-        F.col(text_col).cast("string").alias("text")), scratch), "windows").select(
+        F.col(text_col).cast("string").alias("text")), scratch).select(
         F.col("number").alias(own), F.col("cuts").alias(found))
+    scratch.rest()
     # Texts that lose nothing are not sent to Python.
     cut = take_out(F.when(F.col(found).isNotNull(), F.col(text_col)), F.col(found))
     return (

@@ -137,13 +137,14 @@ def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     first = scratch.keep(
         windows.groupBy("h1", "h2").agg(F.min(place).alias("kept"), F.count("*").alias("n"))
         .where("n > 1").drop("n"), "first_windows")
-    return (
+    cuts = scratch.keep(
         windows.join(first, ["h1", "h2"])
         .where("number <> kept.number OR pos <> kept.pos")
         .groupBy("number").agg(F.collect_list(F.struct(
             "pos", F.col("kept.row_id").alias("kept_id"), F.col("kept.pos").alias("kept_pos"),
-            (F.col("number") == F.col("kept.number")).alias("own"))).alias("cuts"))
-    )
+            (F.col("number") == F.col("kept.number")).alias("own"))).alias("cuts")), "cuts")
+    scratch.drop(windows, first)
+    return cuts
 
 
 def take_out(text: Column, cuts: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,10 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
 
 
+#: Lists that want to know of every scratch that is made.
+WATCHERS: list[list[Scratch]] = []
+
+
 class Scratch:
     """Parquet tables of one run. They cut lineage, so a lost executor repeats one step only.
 
@@ -22,6 +27,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
+        for watcher in WATCHERS:
+            watcher.append(self)
         self.root = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
         self._jvm_path(self.root, on_exit=True)
         self._paths: dict[int, str] = {}
@@ -53,3 +60,14 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         for frame in frames:
             self._jvm_path(frame._scratch_path)
+
+    def rest(self) -> None:
+        """Let Spark remove the shuffle files of plans that nothing holds any more. It does so when
+        the driver collects garbage, which a driver with little to do puts off."""
+        gc.collect()
+        self.spark._jvm.java.lang.System.gc()
+
+    def close(self) -> None:
+        """Remove all tables. What was returned must have been written elsewhere."""
+        self._jvm_path(self.root)
+        self.rest()

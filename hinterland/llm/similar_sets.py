@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 from hinterland.llm.components import components
 from hinterland.llm.scratch import Scratch
 
-#: Rounds that compare one pivot of a key with the rest, before what is left is compared exactly.
-PIVOT_ROUNDS = 2
+#: Rounds of pivots go on while they leave at most this share of the members of keys open.
+SHRINK = 0.8
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -75,18 +75,22 @@ def link_sets(
     link are not in the result.
 
     Within a key sets are compared with one pivot, so that a key shared by g sets costs g pairs.
-    The early keys join most copies; from then on only keys that still hold several components
-    are looked at, and in them only sets of another component than the pivot's, as a pair
-    within one changes nothing. What remains after ``PIVOT_ROUNDS`` is compared exactly, by rare
-    items. No pair of sets that share a key is thus left out, and no key is dropped for its size.
+    The pivot is the member that shares the most keys with the most sets: of an original and its
+    changed copies that is the original, which is similar to more of them than they are to each
+    other. The early keys join most copies; from then on only keys that still hold several
+    components are looked at, and in them only sets of another component than the pivot's, as a
+    pair within one changes nothing. Rounds go on while they close keys; what remains is compared
+    exactly, by rare items. No pair of sets that share a key is thus left out, and no key is dropped
+    for its size.
     """
     shared = scratch.keep(
-        keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        .where("low < high").select("key", F.col("low").alias("pivot")), "shared")
+        keys.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("low"), F.max("node").alias("high"))
+        .where("low < high").select("key", "held"), "shared")
     members = scratch.keep(keys.join(shared.hint("shuffle_hash"), "key"), "members")
     scratch.drop(shared)
+    scratch.rest()
     sets = scratch.keep(fetch(members.select("node").distinct()), "sets")
-    sizes = scratch.keep(members.select("node", "n").distinct(), "sizes")
+    sizes = scratch.keep(members.groupBy("node").agg(F.first("n").alias("n"), F.sum("held").alias("score")), "sizes")
     links: list[DataFrame] = []
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -99,27 +103,37 @@ def link_sets(
         scratch.drop(pairs)
         return components(reduce(DataFrame.unionByName, links), scratch)
 
-    labels = linked(members.where("early AND node <> pivot").select(
-        F.col("pivot").alias("u"), F.col("node").alias("v")))
-    members = members.select("key", "node")
-    for turn in range(PIVOT_ROUNDS + 1):
-        named = scratch.keep(members.join(labels, "node", "left").withColumn(
-            "component", F.coalesce("component", "node")), "named")
-        open_keys = scratch.keep(
-            named.groupBy("key").agg(
-                F.min("component").alias("low"), F.max("component").alias("high"),
-                F.min(F.struct("component", "node")).alias("first")).where("low < high")
-            .select("key", F.col("first.node").alias("pivot"), F.col("first.component").alias("own")),
-            "open")
-        members = scratch.keep(named.join(open_keys, "key"), "members")
-        scratch.drop(named, open_keys)
-        if not members.take(1):
+    def opened(rows: DataFrame) -> DataFrame:
+        """Members of keys that hold several components, next to the key's pivot."""
+        best = F.max(F.struct("score", -F.col("node"), "node", "component")).alias("best")
+        open_keys = rows.groupBy("key").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), best).where("low < high").select(
+            "key", F.col("best.node").alias("pivot"), F.col("best.component").alias("own"))
+        return rows.join(open_keys, "key")
+
+    def pivot_pairs(rows: DataFrame) -> DataFrame:
+        return rows.where("component <> own").select(
+            F.least("pivot", "node").alias("u"), F.greatest("pivot", "node").alias("v"))
+
+    scores = sizes.select("node", "score")
+    early = members.where("early").select("key", "node").join(scores, "node").withColumn("component", F.col("node"))
+    labels = linked(pivot_pairs(opened(early)))
+    rest, before = members.select("key", "node"), None
+    while True:
+        named = scratch.keep(
+            rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            .join(scores, "node"), "named")
+        scratch.drop(members)
+        members = scratch.keep(opened(named), "members")
+        scratch.drop(named)
+        scratch.rest()
+        count = members.count()
+        if not count:
             break
-        if turn < PIVOT_ROUNDS:
-            labels = linked(members.where("component <> own").select(
-                F.col("pivot").alias("u"), F.col("node").alias("v")))
-            members = members.where("node <> pivot").select("key", "node")
-        else:
+        if before is not None and count > SHRINK * before:
             labels = linked(_rare_pairs(members.select("node", "component").distinct(), sets, scratch, percent))
-    scratch.drop(sets, sizes, *links)
+            break
+        labels, before = linked(pivot_pairs(members)), count
+        rest = members.where("node <> pivot").select("key", "node")
+    scratch.drop(members, sets, sizes, *links)
     return labels

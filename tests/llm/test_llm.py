@@ -347,3 +347,53 @@ def test_archived_payloads_are_not_shuffled(spark):
     assert len(exchanges) >= 2
     for block in exchanges:
         assert not re.search(r"Input.*\bpayload#", block), block
+
+
+def test_pipeline_over_files_matches_brute_force(spark, docs, tmp_path):
+    """Rows read from files are numbered by their place there: NULL and repeated ids, equal rows."""
+    import corpus_pipeline
+
+    more = [(None, text_of(60, 90)), (None, text_of(60, 90)), (30, text_of(61, 90)), (30, text_of(61, 90)),
+            (30, text_of(62, 90)), (31, text_of(63, 120) + "\n" + text_of(64, 70)), (32, text_of(65, 60) + " " + text_of(64, 70))]
+    rows = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 0, 1, 2, "z") for i, t in more], SCHEMA))
+    path = str(tmp_path / "documents.parquet")
+    rows.repartition(3).write.parquet(path)
+    table = spark.read.parquet(path)
+    held = [(r.doc_id, r.text, shingles(r.text, 5)) for r in table.collect()]
+    group = list(range(len(held)))
+    for a, b in itertools.combinations(range(len(held)), 2):
+        s, t = held[a][2], held[b][2]
+        if s and t and 100 * len(s & t) >= 80 * len(s | t):
+            old, new = group[b], group[a]
+            group = [new if g == old else g for g in group]
+    first = {}
+    for (i, t, _), g in zip(held, group):
+        place = (i is None, i or 0)
+        if g not in first or place < first[g][0]:
+            first[g] = (place, i)
+    got = corpus_pipeline.near_dedup(spark, table, "").select("doc_id", "text").collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted((i for _, i in first.values()), key=str)
+    texts = {t for _, t, _ in held}
+    assert len(got) == len(first) and all(r.text in texts for r in got)
+
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    whole = {}
+    for p in pieces:
+        whole.setdefault(p.doc_id, []).append(p)
+    passed = {r.doc_id for r in weak_quality.judge_quality(table).where("kept").collect()}
+    assert set(whole) <= passed and {30, 31, 32, 16} <= set(whole)
+    # The passage of 70 words that 31 and 32 share is in one of them only.
+    kept = {i: p[0].doc_tokens for i, p in whole.items()}
+    assert min(kept[31] / 190, kept[32] / 130) < 0.8 * max(kept[31] / 190, kept[32] / 130)
+    # 30 holds two different texts; every id of every text lies in one piece.
+    for i, parts in whole.items():
+        assert sum(p.length for p in parts) == sum(p.doc_tokens for p in parts if p.start == 0)
+
+
+def test_pipeline_stages_of_an_empty_table(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for _, run in corpus_pipeline.STAGES:
+        assert run(spark, docs.limit(0), "").count() == 0
