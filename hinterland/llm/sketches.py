@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hinterland.llm.words import MinHash, set_digest, shingle_set, units
+from hinterland.llm.words import (
+    MinHash, blocks, set_digest, shingle_set, shingle_sets, unit_spans, units, word_hashes, word_spans,
+)
 
 
 @dataclass(frozen=True)
@@ -37,6 +40,16 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(text_col).cast("string").alias("text"))
 
 
+def _nested(values: list[np.ndarray], held: np.ndarray) -> pa.Array:
+    """Collections of each unit that has any, as an array of arrays; the rest are empty."""
+    counts = [v.shape[1] for v in values]
+    flat = np.hstack(values).ravel() if values else np.zeros(0, np.int64)
+    inner = np.r_[0, np.cumsum(np.tile(counts, int(held.sum())))].astype(np.int32)
+    outer = np.r_[0, np.cumsum(np.where(held, len(values), 0))].astype(np.int32)
+    return pa.ListArray.from_arrays(
+        pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), pa.array(flat.astype(np.int64))))
+
+
 def unit_sketches(docs: DataFrame, what: Units, id_col: str, text_col: str) -> DataFrame:
     """One row a unit: its set's size, 128-bit digest and MinHash collections.
 
@@ -47,19 +60,20 @@ def unit_sketches(docs: DataFrame, what: Units, id_col: str, text_col: str) -> D
         hashes = [MinHash(*plan) for plan in what.plans]
         for batch in batches:
             ids, keys = batch.column("row_id"), batch.column("row_key")
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for row, unit, words in units(batch.column("text"), what.by_line, what.least):
-                items = shingle_set(words, what.k)
-                for column, value in zip(out, (
-                        row, unit, len(items), set_digest(items),
-                        [h(items) for h in hashes] if len(items) else [])):
-                    column.append(value)
-            take = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(take), keys.take(take), pa.array(out[1], pa.int32()),
-                 pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary()),
-                 pa.array(out[4], pa.list_(pa.list_(pa.int64())))],
-                ["row_id", "row_key", "unit", "n", "digest", "sketch"])
+            for first, data, at in blocks(batch.column("text")):
+                start, end = word_spans(data, at)
+                words = word_hashes(data, start, end)
+                row, unit, a, b = unit_spans(data, at, start, what.by_line, what.least)
+                values, n = shingle_sets(words, a, b, what.k)
+                starts = np.cumsum(n) - n
+                some = np.flatnonzero(n)
+                digests = [set_digest(values[i:i + m]) for i, m in zip(starts.tolist(), n.tolist())]
+                take = pa.array(row + first)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(take), keys.take(take), pa.array(unit.astype(np.int32)),
+                     pa.array(n.astype(np.int32)), pa.array(digests, pa.binary()),
+                     _nested([h.of_sets(values, starts[some]) for h in hashes], n > 0)],
+                    ["row_id", "row_key", "unit", "n", "digest", "sketch"])
 
     return _rows(docs, id_col, text_col).mapInArrow(run, _SKETCH)
 

@@ -15,8 +15,10 @@ import pyarrow as pa
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 22
+_BLOCK = 1 << 20
 _ROWS = 1 << 11
+#: Shingles whose hash values are held at once.
+_VALUES = 1 << 14
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,7 +39,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of whole texts of about 4 MB: first row, bytes, and row offsets. NULL is empty."""
+    """Runs of whole texts of about 1 MB: first row, bytes, and row offsets. NULL is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
         return
@@ -126,12 +128,75 @@ class MinHash:
             part = shingles[i:i + _ROWS, None] * self._a
             part += self._b
             np.minimum(low, part.min(axis=0), out=low)
-        out = np.zeros(self.count, _U)
+        return self._combined(low[None, :])[0]
+
+    def of_sets(self, shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Values of many sets, which begin at ``starts`` and are not empty: a row each."""
+        ends = np.append(starts[1:], len(shingles))
+        low = np.empty((len(starts), len(self._a)), _U)
+        i = 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + _VALUES, "right")))
+            if ends[i] - starts[i] > _VALUES:
+                own = np.full(len(self._a), np.iinfo(_U).max, _U)
+                for a in range(starts[i], ends[i], _ROWS):
+                    part = shingles[a:min(a + _ROWS, ends[i]), None] * self._a
+                    part += self._b
+                    np.minimum(own, part.min(axis=0), out=own)
+                low[i], j = own, i + 1
+            else:
+                part = shingles[starts[i]:ends[j - 1], None] * self._a
+                part += self._b
+                low[i:j] = np.minimum.reduceat(part, starts[i:j] - starts[i], axis=0)
+            i = j
+        return self._combined(low)
+
+    def _combined(self, low: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(low), self.count), _U)
         for j in range(self.rows):
-            out = mix(out * _U(0xD6E8FEB86659FD93) + low[j::self.rows])
+            out = mix(out * _U(0xD6E8FEB86659FD93) + low[:, j::self.rows])
         return out.view(np.int64)
 
 
+def unit_spans(
+    data: np.ndarray, at: np.ndarray, start: np.ndarray, by_line: bool, least: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number in its text, first word and end word of each unit of a block: whole texts, also
+    those without words, or lines of at least ``least`` words."""
+    if not by_line:
+        cut = np.searchsorted(start, at)
+        n = len(at) - 1
+        return np.arange(n), np.zeros(n, np.int64), cut[:-1], cut[1:]
+    breaks = np.flatnonzero(data == 10)
+    edges = np.union1d(breaks + 1, at)
+    cut = np.searchsorted(start, edges)
+    row = np.searchsorted(at, edges, "right") - 1
+    line = np.searchsorted(breaks, edges) - np.searchsorted(breaks, at)[row]
+    held = np.flatnonzero(np.diff(cut) >= max(1, least))
+    return row[held], line[held], cut[held], cut[held + 1]
+
+
+def shingle_sets(words: np.ndarray, first: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of all units after each other, and how many each unit has."""
+    unit = np.full(len(words), -1)
+    length = end - first
+    unit[np.repeat(first, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)] = np.repeat(
+        np.arange(len(first)), length)
+    place = np.arange(max(len(words) - k + 1, 0))
+    place = place[(unit[place] >= 0) & (unit[place] == unit[place + k - 1])]
+    values, owners = [_sequence(words, place, k)], [unit[place]]
+    for n in range(1, k):
+        short = np.flatnonzero(length == n)
+        values.append(_sequence(words, first[short], n))
+        owners.append(short)
+    value, owner = np.concatenate(values), np.concatenate(owners)
+    order = np.lexsort((value, owner))
+    value, owner = value[order], owner[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    return value[new], np.bincount(owner[new], minlength=len(first))
+
+
 def units(texts: pa.Array, by_line: bool, least: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(row, unit, word hashes) of each text, or of each ``\\n`` line of at least ``least`` words."""
     for first, data, at in blocks(texts):
