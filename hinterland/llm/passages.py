@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from hinterland.llm.scratch import Scratch
 from hinterland.llm.words import blocks, run_hashes, word_hashes, word_spans
+from hinterland.llm.worker import give_back
 
 #: Passages of over 50 words are repeats.
 WINDOW = 51
@@ -69,6 +70,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [numbers.take(pa.array(held)), pa.array(shingles[places].view(np.int64))],
                 ["number", "mark"])
+    give_back()
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,6 +88,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(run_hashes(words, WINDOW)[found].view(np.int64)),
                  pa.array(run_hashes(words, WINDOW, second=True)[found].view(np.int64))],
                 ["number", "pos", "h1", "h2"])
+    give_back()
 
 
 def _take_out(text: str | None, cuts: list | None) -> tuple[str | None, list] | None:

@@ -14,6 +14,8 @@ from hinterland.llm.words import (
     MinHash, blocks, set_digest, shingle_set, shingle_sets, unit_spans, units, word_hashes, word_spans,
 )
 
+from hinterland.llm.worker import give_back
+
 
 @dataclass(frozen=True)
 class Units:
@@ -74,6 +76,7 @@ def unit_sketches(docs: DataFrame, what: Units, id_col: str, text_col: str) -> D
                      pa.array(n.astype(np.int32)), pa.array(digests, pa.binary()),
                      _nested([h.of_sets(values, starts[some]) for h in hashes], n > 0)],
                     ["row_id", "row_key", "unit", "n", "digest", "sketch"])
+        give_back()
 
     return _rows(docs, id_col, text_col).mapInArrow(run, _SKETCH)
 
@@ -95,6 +98,7 @@ def unit_sets(docs: DataFrame, what: Units, id_col: str, text_col: str) -> DataF
                     digests, items, held = [], [], 0
             if digests:
                 yield _sets(digests, items)
+        give_back()
 
     return _rows(docs, id_col, text_col).mapInArrow(run, _SET)
 

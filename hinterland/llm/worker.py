@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
+
 
 def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     """What ``make`` returned when this process first asked for ``key``.
@@ -16,3 +20,20 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     """
     store = sys.modules.setdefault("_hinterland_worker", types.ModuleType("_hinterland_worker"))
     return store.__dict__.setdefault("made", {}).get(key) or store.made.setdefault(key, make())
+
+
+def give_back() -> None:
+    """Forget what is ``kept`` and return freed memory to the machine.
+
+    Idle processes hold on to both, next to an executor that may need the room for a step
+    without any Python. What the next task needs it makes again.
+    """
+    store = sys.modules.get("_hinterland_worker")
+    if store is not None:
+        store.__dict__.get("made", {}).clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
