@@ -328,10 +328,15 @@ def quantiles(
         counts = same(counts, wanted.select(*by, "_p").distinct(), ["_p"], "left_semi")
         wanted = narrowed(counts, wanted)
     found = wanted.withColumn("_x", key_value(F.col("_p")))
-    own = [F.col("_i") == i for i in range(len(names))]
-    picked = found.groupBy(*by).agg(*[
-        (F.min(F.when(o, F.col("_x"))) + (F.max(F.when(o, F.col("_x"))) - F.min(F.when(o, F.col("_x"))))
-         * F.max(F.when(o, F.col("_part")))).alias(n) for o, n in zip(own, names)])
+    ends = found.groupBy(*by).agg(*[e for i, own in enumerate(F.col("_i") == i for i in range(len(names))) for e in (
+        F.min(F.when(own, F.col("_x"))).alias(f"_lo{i}"), F.max(F.when(own, F.col("_x"))).alias(f"_hi{i}"),
+        F.max(F.when(own, F.col("_part"))).alias(f"_f{i}"))])
+
+    def between(i: int) -> Column:
+        lo, hi, part = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_f{i}")
+        return F.when(lo == hi, lo).otherwise((1 - part) * lo + part * hi)
+
+    picked = ends.select(*by, *[between(i).alias(n) for i, n in enumerate(names)])
     if not means:
         return picked
     totals = totals.drop("_n")
