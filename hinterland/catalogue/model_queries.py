@@ -1,11 +1,14 @@
 """Design matrices, sufficient statistics and fitted models."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from hinterland.catalogue.registry import Tables, query, rounded
-from hinterland.operators.beta_models import fit_beta, fit_varying_beta
+from hinterland.operators.beta_models import (
+    fit_beta, fit_varying_beta, open_interval, packed_rows, score_sums,
+)
 from hinterland.operators.design import (
-    centre_columns, design_matrix, gram, sizes, thin_qr, triangle_entries,
+    centre_columns, design_matrix, gram, moments, sizes, thin_qr, triangle_entries,
 )
 from hinterland.operators.frame import one_hot
 from hinterland.operators.normal_models import (
@@ -165,6 +168,31 @@ def normal_draws(t: Tables):
     return posterior_terms(fit_normal(rows, names).draws, names)
 
 
+@query("normal_fit", """
+WITH m AS (SELECT avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_extendedprice) AS my, count(*) AS n FROM lineitem),
+c AS (SELECT covar_samp(l_quantity, l_quantity) AS c11, covar_samp(l_quantity, l_discount) AS c12,
+        covar_samp(l_discount, l_discount) AS c22, covar_samp(l_quantity, l_extendedprice) AS c1,
+        covar_samp(l_discount, l_extendedprice) AS c2, covar_samp(l_extendedprice, l_extendedprice) AS cy FROM lineitem),
+b AS (SELECT *, (c22 * c1 - c12 * c2) / (c11 * c22 - c12 * c12) AS b1,
+        (c11 * c2 - c12 * c1) / (c11 * c22 - c12 * c12) AS b2 FROM c, m)
+SELECT round(b1, 4) AS l_quantity, round(b2, 2) AS l_discount, round(my, 4) AS alpha,
+  round(sqrt((cy - b1 * c1 - b2 * c2) * (n - 1) / (n - 4)), 3) AS residual,
+  round(sqrt(c22 / (c11 * c22 - c12 * c12) / (n - 1)) * 1000, 6) AS spread_1,
+  round(sqrt(c11 / (c11 * c22 - c12 * c12) / (n - 1)), 6) AS spread_2
+FROM b
+""")
+def normal_fit(t: Tables):
+    """Coefficients, intercept, residual deviation and unscaled deviations of the slopes."""
+    rows = t.lineitem.select(F.col("l_extendedprice").alias("y"), F.array("l_quantity", "l_discount").alias("x"))
+    f = fit_normal(rows, ["l_quantity", "l_discount"], draws=1, chains=1)
+    spread = np.sqrt(np.diag(f.cov_unscaled))
+    out = t.spark.createDataFrame(
+        [(float(f.beta[0]), float(f.beta[1]), f.alpha, float(np.sqrt(f.sse / (f.n - 4))), float(spread[0] * 1000), float(spread[1]))],
+        "l_quantity double, l_discount double, alpha double, residual double, spread_1 double, spread_2 double")
+    out = rounded(rounded(out, 4, "l_quantity", "alpha"), 2, "l_discount")
+    return rounded(rounded(out, 3, "residual"), 6, "spread_1", "spread_2")
+
+
 @query("vi_normal_fit")
 def vi_normal_fit(t: Tables):
     rows, names = design(t)
@@ -185,6 +213,39 @@ def beta_fit(t: Tables):
     return posterior_terms(fit_beta(rows, names).draws, names, also=OTHER_TERMS)
 
 
+#: Intercept, slopes of the centred and scaled measure and flag, and log phi; and a small change.
+PLACE, CHANGE = (-0.1, 0.05, -0.02, 0.7), 1e-4
+MOVES = ", ".join(
+    f"({n}, {sign}, " + ", ".join(str(v + sign * CHANGE * (i == n)) for i, v in enumerate(PLACE)) + ")"
+    for n in range(len(PLACE)) for sign in (-1, 0, 1) if sign or not n)
+
+
+@query("beta_scores", f"""
+WITH top AS (SELECT max(o_totalprice) * 1.01 AS m FROM orders),
+p AS (SELECT o_totalprice / m AS y, c_acctbal / 1000 AS a, CAST(o_orderstatus = 'F' AS DOUBLE) AS b
+      FROM orders JOIN customer ON o_custkey = c_custkey, top),
+z AS (SELECT y, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS b
+      FROM p WHERE y > 0 AND y < 1),
+moves(n, side, t0, t1, t2, t3) AS (VALUES {MOVES}),
+e AS (SELECT n, side, y, 1 / (1 + exp(-(t0 + t1 * a + t2 * b))) AS mu, exp(t3) AS phi FROM z, moves),
+l AS (SELECT n, side, sum(lgamma(phi) - lgamma(mu * phi) - lgamma((1 - mu) * phi) + (mu * phi - 1) * ln(y)
+                          + ((1 - mu) * phi - 1) * ln(1 - y)) AS v FROM e GROUP BY ALL)
+SELECT round(max(v) FILTER (side = 0), 4) AS loglik, {", ".join(
+    f"round((max(v) FILTER (n = {n} AND side = 1) - max(v) FILTER (n = {n} AND side = -1)) / {2 * CHANGE}, 1) AS {c}"
+    for n, c in enumerate(("alpha", "pdw2_download", "done", "log_phi")))}
+FROM l
+""")
+def beta_scores(t: Tables):
+    """Log likelihood and score of a beta regression at fixed parameters, by the pass of the fits."""
+    rows, names = share_design(t)
+    rows = open_interval(rows)
+    at = [names.index(c) for c in ("pdw2_download", "done")]
+    got = score_sums(packed_rows(rows, len(names)), moments(rows, len(names)), {"f": (at, np.array(PLACE))})["f"]
+    out = t.spark.createDataFrame(
+        [tuple(map(float, got[:5]))], "loglik double, alpha double, pdw2_download double, done double, log_phi double")
+    return rounded(rounded(out, 4, "loglik"), 1, "alpha", "pdw2_download", "done", "log_phi")
+
+
 @query("vi_beta_fit")
 def vi_beta_fit(t: Tables):
     rows, names = share_design(t)
