@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,12 +33,27 @@ def _sizes_fit(a: str, b: str, percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
+#: A set's parities: for each of 64 * PARITY_WORDS classes of items, whether it holds an odd number.
+PARITY_WORDS = 8
+_PARITY = (f"transform(sequence(0, {PARITY_WORDS - 1}), w -> aggregate(filter(items, "
+           f"x -> pmod(shiftright(x, 6), {PARITY_WORDS}) = w), 0L, "
+           "(a, x) -> a ^ shiftleft(1L, CAST(x & 63 AS INT))))")
+
+
+def _parity_fits(a: str, b: str, na: str, nb: str, percent: int) -> Column:
+    """False only for pairs that are surely not similar: where parities differ, an item lies in
+    one set only, and similar sets have few of those."""
+    apart = " + ".join(f"bit_count({a}[{w}] ^ {b}[{w}])" for w in range(PARITY_WORDS))
+    return F.expr(f"({apart}) * {100 + percent} <= {100 - percent} * ({na} + {nb})")
+
+
 def _rare_pairs(nodes: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """All pairs ``(u, v)`` of ``nodes(node, component)`` that can be similar across components.
 
     With items ordered by rarity, two sets that share ``percent`` per cent of their union share
     an item among their first n - ceil(n * percent / 100) + 1, and at the first that they share
-    what is left of either still suffices; other pairs never meet.
+    what is left of either still suffices; other pairs never meet. Of those that meet, the join
+    keeps the ones whose parities allow the similarity.
     """
     items = scratch.keep(sets.join(nodes, "node").select(
         "node", "component", F.size("items").alias("n"), F.explode("items").alias("item")), "items")
@@ -50,13 +65,15 @@ def _rare_pairs(nodes: DataFrame, sets: DataFrame, scratch: Scratch, percent: in
     first = scratch.keep(
         shared.withColumn("rank", rank).join(counts, "node").withColumn("i", F.expr("rank + n - m"))
         .where(f"i <= n - (n * {percent} + 99) div 100 + 1")
-        .select("node", "component", "n", "item", "i"), "first")
+        .join(sets.select("node", "bits"), "node")
+        .select("node", "component", "n", "item", "i", "bits"), "first")
     left = first.select("item", F.col("node").alias("u"), F.col("n").alias("nu"),
-                        F.col("component").alias("cu"), F.col("i").alias("iu"))
+                        F.col("component").alias("cu"), F.col("i").alias("iu"), F.col("bits").alias("bu"))
     right = first.select("item", F.col("node").alias("v"), F.col("n").alias("nv"),
-                         F.col("component").alias("cv"), F.col("i").alias("iv"))
+                         F.col("component").alias("cv"), F.col("i").alias("iv"), F.col("bits").alias("bv"))
     pairs = left.join(right, "item").where("cu < cv").where(_sizes_fit("nu", "nv", percent)).where(
-        f"(1 + least(nu - iu, nv - iv)) * (100 + {percent}) >= {percent} * (nu + nv)")
+        f"(1 + least(nu - iu, nv - iv)) * (100 + {percent}) >= {percent} * (nu + nv)").where(
+        _parity_fits("bu", "bv", "nu", "nv", percent))
     pairs = scratch.keep(pairs.select("u", "v").distinct(), "rare")
     scratch.drop(items, seen, first)
     return pairs
@@ -89,16 +106,20 @@ def link_sets(
     members = scratch.keep(keys.join(shared.hint("shuffle_hash"), "key"), "members")
     scratch.drop(shared)
     scratch.rest()
-    sets = scratch.keep(fetch(members.select("node").distinct()), "sets")
-    sizes = scratch.keep(members.groupBy("node").agg(F.first("n").alias("n"), F.sum("held").alias("score")), "sizes")
+    sets = scratch.keep(fetch(members.select("node").distinct()).withColumn("bits", F.expr(_PARITY)), "sets")
+    sizes = scratch.keep(
+        members.groupBy("node").agg(F.first("n").alias("n"), F.sum("held").alias("score"))
+        .join(sets.select("node", "bits"), "node"), "sizes")
     links: list[DataFrame] = []
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Verify pairs ``(u, v)`` and label all nodes linked so far."""
         pairs = pairs.distinct().join(
-            sizes.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(
-            sizes.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
-        pairs = scratch.keep(pairs.where(_sizes_fit("nu", "nv", percent)).select("u", "v"), "pairs")
+            sizes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu")), "u").join(
+            sizes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv")), "v")
+        pairs = scratch.keep(
+            pairs.where(_sizes_fit("nu", "nv", percent)).where(_parity_fits("bu", "bv", "nu", "nv", percent))
+            .select("u", "v"), "pairs")
         links.append(scratch.keep(_verified(pairs, sets, percent), "links"))
         scratch.drop(pairs)
         return components(reduce(DataFrame.unionByName, links), scratch)

@@ -18,6 +18,7 @@ from hinterland.llm.packing import PieceEncoder, binary_lengths, pack_pieces
 from hinterland.llm.paragraph_dedup import dedup_paragraphs
 from hinterland.llm.sampling import hashed_sample
 from hinterland.llm.scratch import Scratch
+from hinterland.llm.similar_sets import link_sets
 from hinterland.llm.url_templates import filter_urls
 from hinterland.llm.warc import archived_pages, read_warc, write_warc
 
@@ -104,6 +105,29 @@ def test_components_of_a_chain_and_a_star(spark):
     assert all(got[i] == 0 for i in range(21)) and all(got[i] == 100 for i in range(100, 140))
 
 
+def test_links_of_graded_copies_match_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    base = rng.integers(-2**63, 2**63 - 1, 120)
+    sets = [list(map(int, base))]
+    for i in range(60):  # copies of the base and of copies, 1 to 40 items of 120 changed
+        own = list(sets[int(rng.integers(0, len(sets)))] if i % 3 else sets[0])
+        for at in rng.choice(len(own), int(rng.integers(1, 40)), replace=False):
+            own[at] = int(rng.integers(-2**63, 2**63 - 1))
+        sets.append(own[:int(rng.integers(90, 121))])
+    group = list(range(len(sets)))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        x, y = set(sets[a]), set(sets[b])
+        if 100 * len(x & y) >= 80 * len(x | y):
+            group = [group[a] if g == group[b] else g for g in group]
+    items = spark.createDataFrame(list(enumerate(sets)), "node long, items array<long>")
+    keys = spark.createDataFrame(
+        [(k, i, len(x), k == 0) for i, x in enumerate(sets) for k in range(3)], "key long, node long, n int, early boolean")
+    found = link_sets(keys, lambda nodes: items.join(nodes, "node"), Scratch(spark))
+    label = {r.node: r.component for r in found.collect()}
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        assert (label.get(a, f"a{a}") == label.get(b, f"b{b}")) == (group[a] == group[b])
+
+
 def test_repeated_paragraph_stays_once(spark, docs):
     rows = [r for r in dedup_paragraphs(docs).collect()]
     assert len(rows) == docs.count() and rows[0].asDict().keys() >= {"_cuts", "row_id", "node"}
