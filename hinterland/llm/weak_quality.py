@@ -21,14 +21,19 @@ RULES = (
     ("repeats", "20 * n_repeat_words <= n_words", "4 * n_repeat_words > n_words"),
     ("word_length", "FALSE", "word_chars > 7 * n_words OR word_chars < 2 * n_words"),
     ("lines", "FALSE", "2 * n_dup_lines > n_lines"),
-    ("variety", "FALSE", "n_words <= 1000 AND 5 * n_distinct_words < n_words"),
+    ("variety", "FALSE", "3 * n_fresh_words < n_words"),
 )
+#: Fresh words are the distinct ones of each run of so many words, added up: unlike the distinct
+#: words of a whole text their share does not fall with its length.
+RUN_WORDS = 100
 STEPS = 25
 #: Shares of good documents, and of votes to keep and to reject among good and among bad ones:
 #: where EM starts, and what it is smoothed towards with the weight of so many documents.
 PRIOR_GOOD, PRIOR_WEIGHT = 0.9, 20.0
 PRIOR = {"gk": 0.5, "gr": 0.001, "bk": 0.3, "br": 0.2}
-#: Rules reject at most this share of good documents, so "good" cannot come to mean the rejected.
+#: Rules reject at most this share of good documents. EM alone may swap the classes where a
+#: crawl is mostly junk, as nothing but the start says which class is the good one; with the clamp
+#: a vote to reject always speaks against a document.
 MOST_REJECTED = 0.001
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
@@ -76,7 +81,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"),
+        F.expr(f"""aggregate(sequence(0, greatest(size(words) - 1, 0) div {RUN_WORDS}), 0L, (a, i) ->
+            a + size(array_distinct(slice(words, CAST(i * {RUN_WORDS} + 1 AS INT), {RUN_WORDS}))))""")
+        .alias("n_fresh_words"),
     )
     rows = rows.withColumn("windows", F.expr("""
         sort_array(CASE WHEN n_words >= 3 THEN
@@ -198,7 +205,8 @@ counts AS (
         (length(text) - length(translate(text, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
         len(lines)::BIGINT AS n_lines,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-        len(list_distinct(words))::BIGINT AS n_distinct_words,
+        coalesce(list_sum(list_transform(range(0, len(words), {RUN_WORDS}),
+            lambda i: len(list_distinct(words[i + 1:i + {RUN_WORDS}])))), 0)::BIGINT AS n_fresh_words,
         coalesce(c.n, 0)::BIGINT AS n_repeat_words
     FROM split s LEFT JOIN covered c USING (rid)),
 voted AS (SELECT *, {votes} FROM counts),
