@@ -35,10 +35,12 @@ DEPTH = 4
 #: A segment is variable when it has at least this many siblings and under a tenth of their rows.
 SIBLINGS, SHARE = 20, 10
 #: Branches whose counts of allowed, blocked and unlabelled rows differ from those of their
-#: siblings by less (chi-square, two degrees of freedom, 5 %) are merged.
+#: siblings by less (chi-square, two degrees of freedom, 5 %) are merged. Variable segments must
+#: pass the same test, so that a wildcard never takes in a section whose labels are its own.
 CHI_SQUARE = 5.991
-#: A template is rejected when (blocked + 2) / (labelled + 4) is at least four fifths.
-PURITY, WEIGHT = 0.8, 4
+#: A template is rejected when (blocked + 2) / (labelled + 4 + unlabelled / 50) is at least four
+#: fifths, so a few blocked rows don't speak for a crowd of rows without a label.
+PURITY, WEIGHT, SPEAKS_FOR = 0.8, 4, "50e0"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HEX = r"^[0-9a-fA-F]{8,}(-[0-9a-fA-F]{4,})*$"
 
@@ -80,8 +82,8 @@ def template_tree(urls: DataFrame, scratch: Scratch) -> DataFrame:
 
     Shapes are counted first, so the tree's work follows their number and a hot host has been
     summed before it meets its levels. At each level, from the root down, segments under the same
-    parent become ``*`` when they are many and small, and then ``~`` when a chi-square test does
-    not tell their label counts from those of their siblings.
+    parent become ``*`` when they are many and small, ``~`` when they are not, where a chi-square
+    test does not tell their label counts from those of their siblings; others keep their names.
     """
     tree = urls.groupBy("host", "segments").agg(
         F.count("*").alias("n"),
@@ -93,21 +95,12 @@ def template_tree(urls: DataFrame, scratch: Scratch) -> DataFrame:
         if not tree.where("name IS NOT NULL").take(1):
             tree = tree.drop("name")
             break
-        child = tree.where("name IS NOT NULL").groupBy("host", "prefix", "name").agg(
-            F.sum("n").alias("n"))
-        parent = child.groupBy("host", "prefix").agg(
-            F.count("*").alias("k"), F.sum("n").alias("total"))
-        wild = child.join(parent, ["host", "prefix"]).where(
-            f"k >= {SIBLINGS} AND n * {SHARE} < total").select(
-            "host", "prefix", "name", F.lit("*").alias("star"))
+        wild = _branches(tree).where(f"k >= {SIBLINGS} AND n * {SHARE} < all_n").where(
+            _chi_square()).select("host", "prefix", "name", F.lit("*").alias("star"))
         tree = scratch.keep(
             tree.join(wild, ["host", "prefix", "name"], "left")
             .withColumn("name", F.coalesce("star", "name")).drop("star"), "starred")
-        child = tree.where("name IS NOT NULL").groupBy("host", "prefix", "name").agg(
-            F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-        parent = child.groupBy("host", "prefix").agg(
-            F.sum("n").alias("all_n"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
-        alike = child.join(parent, ["host", "prefix"]).where("all_n > n").where(
+        alike = _branches(tree).where("all_n > n").where(
             _chi_square()).select("host", "prefix", "name", F.lit("~").alias("merged"))
         tree = (
             tree.join(alike, ["host", "prefix", "name"], "left")
@@ -117,12 +110,27 @@ def template_tree(urls: DataFrame, scratch: Scratch) -> DataFrame:
     tree = scratch.keep(tree, "tree")
     pooled = scratch.keep(tree.groupBy("host", "prefix").agg(
         F.sum("n").alias("n_template"), F.sum("good").alias("good"), F.sum("bad").alias("bad")
-    ).withColumn("purity", F.expr(f"(bad + {WEIGHT} / 2) / (good + bad + {WEIGHT})"))
+    ).withColumn("purity", F.expr(_purity()))
         .drop("good", "bad"), "pooled")
     return scratch.keep(tree.select("host", "prefix", "segments").join(pooled, ["host", "prefix"])
                         .withColumnRenamed("prefix", "template"), "templates")
 
 
+def _branches(tree: DataFrame) -> DataFrame:
+    """Counts of each segment of a level next to those of all segments under its parent."""
+    child = tree.where("name IS NOT NULL").groupBy("host", "prefix", "name").agg(
+        F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    parent = child.groupBy("host", "prefix").agg(
+        F.count("*").alias("k"), F.sum("n").alias("all_n"), F.sum("good").alias("all_good"),
+        F.sum("bad").alias("all_bad"))
+    return child.join(parent, ["host", "prefix"])
+
+
+def _purity() -> str:
+    return (f"(bad + {WEIGHT} / 2) / "
+            f"(good + bad + {WEIGHT} + (n_template - good - bad) / {SPEAKS_FOR})")
+
+
 def _chi_square() -> str:
     """A branch against the rest of its siblings, over the three kinds of rows."""
     def term(a: str, total: str) -> str:
@@ -182,11 +190,16 @@ tree0 AS (
         t = f"{level}"
         parts.append(f"""
 named{t} AS (SELECT *, segments[{level + 1}] AS name FROM tree{t}),
-child{t} AS (SELECT host, prefix, name, sum(n) AS n FROM named{t} WHERE name IS NOT NULL GROUP BY ALL),
+child{t} AS (
+    SELECT host, prefix, name, sum(n)::BIGINT AS n, sum(good)::BIGINT AS good, sum(bad)::BIGINT AS bad
+    FROM named{t} WHERE name IS NOT NULL GROUP BY ALL),
+kin{t} AS (
+    SELECT *, count(*) OVER w AS k, (sum(n) OVER w)::BIGINT AS all_n,
+        (sum(good) OVER w)::BIGINT AS all_good, (sum(bad) OVER w)::BIGINT AS all_bad
+    FROM child{t} WINDOW w AS (PARTITION BY host, prefix)),
 wild{t} AS (
-    SELECT host, prefix, name FROM child{t}
-    QUALIFY count(*) OVER (PARTITION BY host, prefix) >= {SIBLINGS}
-        AND n * {SHARE} < sum(n) OVER (PARTITION BY host, prefix)),
+    SELECT host, prefix, name FROM kin{t}
+    WHERE k >= {SIBLINGS} AND n * {SHARE} < all_n AND {_chi_square()}),
 starred{t} AS (
     SELECT a.* REPLACE (CASE WHEN w.name IS NULL THEN a.name ELSE '*' END AS name)
     FROM named{t} a LEFT JOIN wild{t} w USING (host, prefix, name)),
@@ -203,9 +216,9 @@ tree{level + 1} AS (
     FROM starred{t} a LEFT JOIN alike{t} m USING (host, prefix, name))""")
     return ",".join(parts) + f""",
 pooled AS (
-    SELECT host, prefix, sum(n)::BIGINT AS n_template,
-        (sum(bad) + {WEIGHT} / 2) / (sum(good) + sum(bad) + {WEIGHT}) AS purity
-    FROM tree{DEPTH + 1} GROUP BY ALL)
+    SELECT host, prefix, n_template, {_purity()} AS purity
+    FROM (SELECT host, prefix, sum(n)::BIGINT AS n_template, sum(good)::BIGINT AS good,
+        sum(bad)::BIGINT AS bad FROM tree{DEPTH + 1} GROUP BY ALL))
 SELECT u.page_id, u.host, u.path, u.rule,
     coalesce(u.rule_verdict, CASE WHEN p.purity >= {PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
     t.prefix AS template, p.n_template, p.purity

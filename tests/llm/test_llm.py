@@ -187,6 +187,17 @@ def test_quality_counts_match_brute_force(spark, docs):
     assert weak_quality.judge_quality(docs.limit(0)).count() == 0
 
 
+def test_variety_does_not_depend_on_length(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice([f"v{i}" for i in range(k)], n)) for k in (25, 3000) for n in (150, 1000, 1001, 9000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in weak_quality.judge_quality(rows).collect()}
+    for i, text in enumerate(texts):
+        w = text.split(" ")
+        assert got[i].n_fresh_words == sum(len(set(w[a:a + 100])) for a in range(0, len(w), 100))
+        assert got[i].vote_variety == (-1 if i < 4 else 0)
+
+
 def test_em_finds_the_rejected_kind():
     good, bad = (1, 1, 0, 0, 0), (-1, 1, 0, 0, 0)
     model = weak_quality.fit_votes([(good, 900), (bad, 60)])
@@ -335,6 +346,15 @@ def test_urls(spark):
     assert filter_urls(pages.limit(0)).count() == 0
 
 
+def test_sections_without_labels_stay_beside_a_blocked_one(spark):
+    urls = [f"http://x.net/{'abcdefghijklmnopqrstuvwx'[s]}/{i}" for s in range(24) for i in range(5)]
+    urls += [f"http://x.net/es/{i}" for i in range(8)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in filter_urls(pages).collect()}
+    assert all(got[i].verdict == ("block" if i >= 120 else "allow") for i in got)
+    assert {got[i].template for i in range(120)} == {"/*/*"} and {got[i].template for i in range(120, 128)} == {"/es/*"}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_queries_match_duckdb(spark, tables, name):
     con = duckdb.connect()
