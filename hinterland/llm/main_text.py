@@ -6,8 +6,8 @@ import html as entities
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,12 +18,17 @@ from hinterland.llm.sampling import hashed_sample
 #: Elements whose whole content is never main text.
 SKIPPED = frozenset("""script style noscript template svg math iframe object canvas head title nav
 header footer aside form button select textarea option dialog menu audio video""".split())
-#: Names in class, id or role that say the same of the element that bears them.
+#: Words in class, id or role that say the same of the element that bears them, as long as
+#: labelled pages don't contradict. A name says so when all its parts do or are mere filling.
 _CLUTTER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|nav|navbar|navigation|menu|"
-    r"breadcrumbs?|header|footer|cookie\w*|consent|notice|alert|popup|modal|newsletter|subscribe|"
-    r"subscription|signup|login|search|share|social|related|recommend\w*|comments?|replies|reply|"
-    r"disqus|respond|contentinfo|complementary)(?:$|[\s_-])", re.I)
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|nav|navbar|navigation|menu|"
+    r"breadcrumbs?|header|footer|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|"
+    r"subscription|signup|login|search|share|sharing|social|related|recommend\w*|comments?|replies|reply|"
+    r"disqus|respond|contentinfo|complementary")
+_FILLING = frozenset("""area article bar block box buttons col column container entry form global group inner
+item items left links list main outer page post posts right row section site slot stories thread top
+unit widget wrap wrapper""".split())
+_OWN = frozenset("article entry post".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end a block of text where they start and where they end.
 _BLOCKS = frozenset("""address article blockquote body caption center dd details div dl dt fieldset figcaption
@@ -44,36 +49,92 @@ _SPACES = re.compile(r"\s+")
 
 @dataclass(frozen=True)
 class Weights:
-    """Score of a word, and by name of a tag; names inside clutter have that before them."""
+    """Score of a word, and by name of a tag; names inside clutter have that before them.
+
+    ``marks`` are scores of exact class, id and role names where labelled pages tell; an element
+    that bears one below ``CUT`` is clutter.
+    """
 
     word: float
     tags: dict[str, float]
     other: float
+    marks: dict[str, float] = field(default_factory=dict)
+
+
+#: Words that a name starts with inside and outside articles, where it says clutter and elsewhere.
+_LISTED, _UNLISTED = (1.0, 100.0), (50.0, 1.0)
+#: An element goes when the log odds of its words lying in the article are below this.
+CUT = -3.0
+
+
+def _says_clutter(mark: str) -> bool:
+    parts = [x for x in re.split(r"[-_]+", mark.rstrip("0123456789")) if x]
+    named = [x for x in parts if _CLUTTER.fullmatch(x)]
+    if "header" in named and _OWN.intersection(parts):
+        return False
+    return bool(named) and all(x in _FILLING or x in named for x in parts)
+
+
+def mark_score(mark: str, inside: float = 0.0, outside: float = 0.0) -> float:
+    """Log odds of the article for words in elements of that name, after so many words seen."""
+    a, b = _LISTED if _says_clutter(mark) else _UNLISTED
+    return math.log((a + inside) / (b + outside))
+
 
+def _element_marks(attributes: str) -> list[str]:
+    if "=" not in attributes:
+        return []
+    return [x for found in _NAMES.findall(attributes) for x in "".join(found).lower().split()]
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
+
+def tokens(
+    page: str, marks: dict[str, float] | None = None,
+    observe: Callable[[list[str], int, int], None] | None = None,
+) -> Iterator[tuple[str, str, bool]]:
     """``(kind, value, clutter)``: tags ``open`` / ``close`` by name, and ``text``; comments,
-    declarations and the content of scripts and styles are gone."""
+    declarations and the content of scripts and styles are gone.
+
+    An element is clutter by its tag or by the score of a name it bears. The first article or main
+    of a page is none for the names around it. ``observe`` is told the names of each element
+    outside that article, the words it holds and those of them in the article. The work is linear
+    in the page, however deep its elements lie: an end tag without a start is known by a count.
+    """
+    marks = marks or {}
     at, n = 0, len(page)
-    stack: list[tuple[str, bool]] = []
-    clutter = 0
+    stack: list[tuple] = []
+    opened: Counter = Counter()
+    soft = hard = False
+    words = inner = 0
+    article = 0  # depth of the stack at which the first article lies; -1 once it has ended
+
+    def pop() -> str:
+        nonlocal soft, hard, article
+        name, soft, hard, own, had, had_inner = stack.pop()
+        opened[name] -= 1
+        if article > len(stack):
+            article = -1
+        elif observe and own and article <= 0:
+            observe(own, words - had, inner - had_inner)
+        return name
+
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
         if m.lastindex is None:
             text = m.group()
             if text[0] != "<" or text == "<":
-                yield "text", text, clutter > 0
+                if observe:
+                    count = len(_WORD.findall(text))
+                    words += count
+                    inner += count if article > 0 else 0
+                yield "text", text, soft or hard
             continue
         name = m.group(2).lower()
         if m.group(1):
-            if any(s[0] == name for s in stack):
-                while stack:
-                    top, bad = stack.pop()
-                    clutter -= bad
-                    if top == name:
-                        break
-            yield "close", name, clutter > 0
+            if opened[name]:
+                while pop() != name:
+                    pass
+            yield "close", name, soft or hard
             continue
         if name in _RAW:
             end = _RAW[name].search(page, at)
@@ -82,13 +143,22 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             continue
         attributes = m.group(3)
         if stack and stack[-1][0] == "p" and name in _ENDS_P:
-            clutter -= stack.pop()[1]
-        bad = name in SKIPPED or ("=" in attributes and name not in ("html", "body") and any(
-            _CLUTTER.search(" ".join(filter(None, x))) for x in _NAMES.findall(attributes)))
+            pop()
+        own = _element_marks(attributes) if name not in ("html", "body", "main") else []
+        bad = any(marks[x] < CUT if x in marks else _says_clutter(x) for x in own)
+        shut = name in SKIPPED
+        first = name in ("article", "main") and article == 0 and not (bad or hard)
         if name not in _VOID and not attributes.endswith("/"):
-            stack.append((name, bad))
-            clutter += bad
-        yield "open", name, clutter > 0 or bad
+            stack.append((name, soft, hard, own, words, inner))
+            opened[name] += 1
+            soft, hard = (soft or bad) and not first, hard or shut
+            if first:
+                article = len(stack)
+            yield "open", name, soft or hard
+        else:
+            yield "open", name, soft or hard or bad or shut
+    while observe and stack:
+        pop()
 
 
 def main_text(page: str, weights: Weights) -> str:
@@ -98,7 +168,7 @@ def main_text(page: str, weights: Weights) -> str:
     zero. One pass finds the contiguous run with the largest sum, the first of equal ones; a
     second one turns its tokens into text. Clutter inside the region is left out.
     """
-    found = list(tokens(page))
+    found = list(tokens(page, weights.marks))
     best = total = 0.0
     start, region = 0, (0, 0)
     for i, (kind, value, clutter) in enumerate(found):
@@ -133,10 +203,16 @@ def main_text(page: str, weights: Weights) -> str:
 
 
 def _label(page: str) -> Counter | None:
-    """Counts of words and tags inside and outside the element marked as the article."""
+    """Counts of words and tags inside and outside the element marked as the article, and of the
+    words that named elements outside it hold; names have ``#`` before them."""
     inside: Counter = Counter()
     depth, seen = 0, False
-    for kind, value, clutter in tokens(page):
+
+    def observe(marks: list[str], words: int, inner: int) -> None:
+        for mark in set(marks):
+            inside[f"#{mark}", inner > 0] += inner or words
+
+    for kind, value, clutter in tokens(page, observe=observe):
         if kind == "open" and value in ("article", "main"):
             depth, seen = depth + 1, True
         elif kind == "close" and value in ("article", "main"):
@@ -159,8 +235,10 @@ def fit_weights(pages: DataFrame, id_col: str, html_col: str, limit: int = LABEL
     """Tag weights from at most ``limit`` pages that mark their article themselves.
 
     A tag's weight follows the log ratio of its shares outside and inside marked articles, per
-    word: tags of menus and footers weigh a lot, those of paragraphs little. Without such
-    pages every tag weighs the same.
+    word: tags of menus and footers weigh a lot, those of paragraphs little. Names in class, id and
+    role are weighed by the words of their elements: of those around articles the words in the
+    article speak for the name, of those beside articles all words speak against it. Without such
+    pages every tag weighs the same and names keep the scores they start with.
     """
     marked = pages.where(F.lower(html_col).rlike("<(article|main)[\\s>]")).select(
         F.xxhash64(F.col(id_col).cast("string"), F.col(html_col)).alias("h"), html_col)
@@ -178,18 +256,21 @@ def fit_weights(pages: DataFrame, id_col: str, html_col: str, limit: int = LABEL
             "n": pa.array([total[k] for k in keys], pa.int64())})
 
     counted = sample.mapInArrow(count, "name string, inside boolean, n long").where(
-        F.col("name").rlike("^(clutter )?[a-z0-9]{1,12}$")).groupBy("name").agg(
+        F.col("name").rlike("^((clutter )?[a-z0-9]{1,12}|#.{1,40})$")).groupBy("name").agg(
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"),
-        F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b"))
+        F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b")).where(
+        ~F.col("name").startswith("#") | (F.col("a") + F.col("b") >= 100))
     rows = {r["name"]: (r["a"], r["b"]) for r in counted.collect()}
     words_in = 1 + rows.get("word", (0, 0))[0]
     words_out = 1 + rows.get("word", (0, 0))[1] + rows.get("clutter word", (0, 0))[1]
-    tags = {}
+    tags, marks = {}, {}
     for name, (a, b) in rows.items():
-        if name != "word":
+        if name[0] == "#":
+            marks[name[1:]] = mark_score(name[1:], a, b)
+        elif name != "word":
             odds = math.log(((b + 0.5) / words_out) / ((a + 0.5) / words_in))
             tags[name] = min(_HIGHEST, max(_LOWEST, -odds))
-    return Weights(_WORD_SCORE, tags, _UNSEEN)
+    return Weights(_WORD_SCORE, tags, _UNSEEN, marks)
 
 
 def extract_main_text(

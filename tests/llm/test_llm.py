@@ -310,6 +310,53 @@ def test_main_text(spark):
     assert main_text.extract_main_text(pages.limit(0)).count() == 0
 
 
+BODY = "<h1>Head line here</h1><p>" + " ".join(f"w{i}" for i in range(60)) + ".</p>"
+
+
+@pytest.mark.parametrize("start, end", [
+    ('<div class="content with-sidebar">', "</div>"), ('<div class="page has-sidebar">', "</div>"),
+    ('<article class="post comments-open">', "</article>"), ('<article class="post no-comments">', "</article>"),
+    ('<div class="social-science">', "</div>"), ('<div id="share-price">', "</div>"), ('<main id="search">', "</main>"),
+    ('<div class="sidebar"><article>', "</article></div>")])
+def test_names_that_only_contain_a_telltale_word_empty_no_article(start, end):
+    weights = main_text.Weights(1.0, {"clutter word": -1.0}, -0.5)
+    beside = '<div class="cookie-notice">We use cookies</div><div class="related-posts"><p>Read this too</p></div>'
+    comments = '<section id="comments"><article><p>Nice post</p></article></section>'
+    text = main_text.main_text(f"<body>{beside}{start}{BODY}{end}{comments}</body>", weights)
+    assert text == "Head line here\n" + " ".join(f"w{i}" for i in range(60)) + "."
+
+
+def test_names_are_learnt_from_labelled_pages(spark):
+    words = " ".join(f"w{i}" for i in range(80))
+    page = (f'<body><div class="sidebar"><article><p>{words}</p></article></div><div class="zone-7"><p>{words[:200]}</p></div></body>')
+    rows = spark.createDataFrame([(i, page) for i in range(60)], "page_id long, html string")
+    weights = main_text.fit_weights(rows, "page_id", "html")
+    assert weights.marks["zone-7"] < main_text.CUT < weights.marks["sidebar"]
+    bare = f'<body><div class="sidebar"><p>{words}</p><div class="zone-7">Buy now</div></div></body>'
+    assert main_text.main_text(bare, weights) == words
+
+
+def test_region_is_the_first_best_run_of_all():
+    rng = np.random.default_rng(4)
+    weights = main_text.Weights(1.0, {"b": -2.0, "p": -0.5, "div": -3.0, "clutter word": -1.0}, -1.5)
+    for _ in range(200):
+        page = "".join(rng.choice(["<p>", "</p>", "<b>", "</b>", "<div>", "</div>", "<hr>", "a b ", "c ", "<nav>x y</nav>"],
+                                  int(rng.integers(0, 25))))
+        found = list(main_text.tokens(page))
+        score = [(len(v.split()) * (-1.0 if c else 1.0)) if k == "text" else
+                 weights.tags.get(f"clutter {v}" if c else v, -1.5) for k, v, c in found]
+        runs = [(sum(score[i:j]), -j, -i) for i in range(len(score)) for j in range(i + 1, len(score) + 1)]
+        best = max(runs, default=(0, 0, 0))
+        text = "".join(v for k, v, c in found[-best[2]:-best[1]] if k == "text" and not c) if best[0] > 0 else ""
+        assert main_text.main_text(page, weights).split() == text.split() or any(
+            abs(r[0] - best[0]) < 1e-9 and r != best for r in runs)
+
+
+def test_deep_nesting_takes_linear_time():
+    page = "<div>" * 100_000 + "</b>" * 100_000 + "one two three"
+    assert sum(1 for _ in main_text.tokens(page)) == 200_001
+
+
 def test_neighbours_are_exact_where_few_and_good_where_many(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
