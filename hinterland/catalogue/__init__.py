@@ -6,6 +6,7 @@ from hinterland.catalogue import (  # noqa: F401
     geo_queries,
     join_queries,
     model_queries,
+    panel_queries,
     posterior_queries,
     source_queries,
 )

@@ -6,7 +6,7 @@ from hinterland.catalogue.registry import Tables, query, rounded, sql_half_up
 from hinterland.functions import area_code, zero_pad
 from hinterland.operators.aggregates import (
     describe, descriptive_table, histogram, kde, measures_by_year, merge_rollups, propmiss,
-    quantiles, ratio_range, rollup, share_positive, threshold_share, weighted_mean,
+    provider_pairs, quantiles, ratio_range, rollup, share_positive, threshold_share, weighted_mean,
 )
 from hinterland.operators.frame import apply_to_columns
 
@@ -56,6 +56,36 @@ def merge_two_sources(t: Tables):
     return merge_rollups(parts, "fips").orderBy("fips")
 
 
+DISTINCT_SQL = f"""
+SELECT substr(fips, 1, 12) AS fips, count(*) AS mcount, count(DISTINCT frn) AS pcount FROM ({RAW_SQL}) GROUP BY 1
+"""
+
+
+def _by_status(t: Tables, **options):
+    sources = [raw(t).where(F.col("l_linestatus") == s) for s in ("O", "F")]
+    return sources, [rollup(s, "fips", 12, "frn", {}, **options) for s in sources]
+
+
+@query("merge_distinct_exact", DISTINCT_SQL)
+def merge_distinct_exact(t: Tables):
+    """Providers of two sources, those of both counted once."""
+    sources, parts = _by_status(t)
+    pairs = [provider_pairs(s, "fips", 12, "frn") for s in sources]
+    return merge_rollups(parts, "fips", means=[], pairs=pairs)
+
+
+@query("merge_distinct_sketch", f"SELECT fips, pcount, TRUE AS within FROM ({DISTINCT_SQL})")
+def merge_distinct_sketch(t: Tables):
+    """The same from merged sketches: is the estimate within three standard errors, or one?"""
+    _, parts = _by_status(t, sketch="providers")
+    merged = merge_rollups(parts, "fips", means=[], sketch="providers").withColumnRenamed("pcount", "estimate")
+    exact = raw(t).select(F.substring("fips", 1, 12).alias("fips"), "frn").groupBy("fips").agg(
+        F.count_distinct("frn").alias("pcount"))
+    gap = F.abs(F.col("estimate") - F.col("pcount"))
+    return merged.join(exact, "fips").select(
+        "fips", "pcount", (gap <= F.greatest(F.lit(1.0), F.col("pcount") * 3 * 1.04 / 64)).alias("within"))
+
+
 @query("area_hierarchy", f"""
 WITH bg AS (SELECT substr(fips, 1, 12) AS fips, count(*) AS mcount,
                    avg(down) AS download FROM ({RAW_SQL}) GROUP BY 1)
