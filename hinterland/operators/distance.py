@@ -5,15 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hinterland.functions.geo import EARTH_RADIUS_M, great_circle, unit_vector
 from hinterland.operators.cells import POINTS, cells, nearest_points
-
-_SCRATCH_PAIRS = 65_536  # pairs computed at once, so that temporaries stay in cache
+from hinterland.operators.kernel_sums import kernel_sums
 
 
 def popdist_weighted_mean(
@@ -28,8 +25,8 @@ def popdist_weighted_mean(
     lon: str = "lon",
     lat: str = "lat",
     prefix: str | None = None,
-    x_block: int = 8192,
-    y_block: int = 2048,
+    x_block: int = 1024,
+    y_block: int = 1024,
     partitions: int | None = None,
 ) -> DataFrame:
     """Population and inverse-distance weighted mean of every measure around each point.
@@ -39,13 +36,11 @@ def popdist_weighted_mean(
     ``x`` without coordinates, or whose group (a NULL one too) has no ``y``, get NULL measures.
     ``x_id`` must be unique within ``by``.
 
-    Every x meets every y by definition, so the work is cut into blocks instead of
-    pair rows: y is first summed to one row a location (copies of a location cost
-    nothing more), both sides are hashed into blocks of bounded size, and one task
-    handles one (x block, y block) cell with array arithmetic. A cell returns one partial
-    sum per x, for all measures at once, which a final aggregation adds up. The number of
-    blocks follows the size of each ``by`` group, so one huge group spreads over many
-    tasks.
+    y is first summed to one row a location. ``x`` is cut into blocks of at most ``x_block``
+    places, and a task adds up what one block sees: areas near it one by one, those farther away
+    through charges on the grids of their cells (``kernel_sums``), for all measures at once. Cells
+    of at most ``y_block`` areas are met one by one at any distance, so small tables are added up
+    pair by pair. The work grows with x times the logarithm of y, in any ``by`` group.
     """
     spark = x.sparkSession
     by, measures = list(by), list(measures)
@@ -63,60 +58,24 @@ def popdist_weighted_mean(
         ],
     )
 
-    x_cells, y_cells = _block_cells(
-        _with_vector(xs, [*by, x_id], lon, lat),
-        _with_vector(located, [*by, *sums], lon, lat),
-        xs.select(*by), ys.select(*by), by, x_block, y_block,
-    )
-    key = [*by, "x_cell", "y_cell"]
     n = partitions or max(spark.sparkContext.defaultParallelism, _shuffle_partitions(spark))
-    # An explicit count keeps AQE from merging cells that are small in bytes but long to run.
-    # Fresh aliases keep the two sides apart when they come from one table.
-    x_cells = x_cells.select([F.col(c).alias(c) for c in x_cells.columns]).repartition(n, *key)
-    y_cells = y_cells.select([F.col(c).alias(c) for c in y_cells.columns]).repartition(n, *key)
-
-    out_schema = T.StructType(
-        [x.schema[c] for c in by]
-        + [x.schema[x_id]]
-        + [T.StructField(s, T.DoubleType()) for s in sums]
-    )
-    columns = out_schema.fieldNames()
     power = float(decay)
 
-    def cell_sums(xp: pd.DataFrame, yp: pd.DataFrame) -> pd.DataFrame:
-        if xp.empty or yp.empty:
-            return pd.DataFrame(columns=columns)
-        ya = np.ascontiguousarray(yp[["_ux", "_uy", "_uz"]].to_numpy(float).T)
-        parts = yp[sums].fillna(0.0).to_numpy(float)
-        xa = xp[["_ux", "_uy", "_uz"]].to_numpy(float)
-        total = np.empty((len(xa), len(sums)))
-        step = max(1, _SCRATCH_PAIRS // len(parts))
-        gap, d = np.empty((step, len(parts))), np.empty((step, len(parts)))
-        for i in range(0, len(xa), step):
-            block = xa[i : i + step]
-            g, w = gap[: len(block)], d[: len(block)]
-            w[:] = 0.0
-            for axis in range(3):
-                np.subtract(block[:, axis, None], ya[axis], out=g)
-                np.multiply(g, g, out=g)
-                np.add(w, g, out=w)
-            # From squared chord to metres along the sphere, then to weights.
-            np.sqrt(w, out=w)
-            np.arcsin(np.minimum(w / 2.0, 1.0, out=w), out=w)
-            np.maximum(w * (2.0 * EARTH_RADIUS_M), min_dist, out=w)
-            if power == 2.0:
-                np.divide(1.0, np.multiply(w, w, out=w), out=w)
-            else:
-                np.power(w, -power, out=w)
-            total[i : i + step] = w @ parts
-        out = xp[[*by, x_id]].reset_index(drop=True)
-        out[sums] = total
-        return out[columns]
-
-    partial = (
-        x_cells.groupBy(*key).cogroup(y_cells.groupBy(*key)).applyInPandas(cell_sums, out_schema)
-    )
-    # Rows of x that meet no y are in no cell; a row of NULL sums each leaves the others as they are.
+    def weight(w: np.ndarray) -> np.ndarray:
+        # From squared chord to metres along the sphere, then to weights, in place.
+        np.sqrt(w, out=w)
+        np.arcsin(np.minimum(np.multiply(w, 0.5, out=w), 1.0, out=w), out=w)
+        np.maximum(np.multiply(w, 2.0 * EARTH_RADIUS_M, out=w), min_dist, out=w)
+        if power == 2.0:
+            np.divide(1.0, np.multiply(w, w, out=w), out=w)
+        else:
+            np.power(w, -power, out=w)
+        return w
+
+    partial = kernel_sums(
+        cells(xs, by, [x_id], lon, lat, x_block).leaves, _with_vector(located, [*by, *sums], lon, lat),
+        by, sums, x.schema[x_id], weight, min_dist, y_block, n)
+    # Rows of x that meet no y are in no block; a row of NULL sums each leaves the others as they are.
     every = x.select(*by, x_id, *[F.lit(None).cast("double").alias(s) for s in sums])
     return (
         partial.unionByName(every).groupBy(*by, x_id)
@@ -141,35 +100,6 @@ def _with_vector(df: DataFrame, keep: Sequence[str], lon: str, lat: str) -> Data
     return df.select(*keep, ux.alias("_ux"), uy.alias("_uy"), uz.alias("_uz"))
 
 
-def _block_cells(x, y, x_rows, y_rows, by, x_block, y_block) -> tuple[DataFrame, DataFrame]:
-    """Give each side its own block number and copy it to every block of the other side."""
-
-    def blocks(n: Column, size: int) -> Column:
-        return F.greatest(F.lit(1), F.ceil(n / F.lit(size)).cast("int"))
-
-    if by:
-        sizes = (
-            x_rows.groupBy(*by).agg(F.count("*").alias("nx"))
-            .join(y_rows.groupBy(*by).agg(F.count("*").alias("ny")), by)
-            .select(*by, blocks(F.col("nx"), x_block).alias("_bx"),
-                    blocks(F.col("ny"), y_block).alias("_by"))
-        )
-        x, y = x.join(sizes, by), y.join(sizes, by)
-    else:
-        nx = x_rows.agg(blocks(F.count("*"), x_block).alias("n"))
-        ny = y_rows.agg(blocks(F.count("*"), y_block).alias("n"))
-        x = x.withColumns({"_bx": nx.scalar(), "_by": ny.scalar()})
-        y = y.withColumns({"_bx": nx.scalar(), "_by": ny.scalar()})
-
-    spread = F.xxhash64("_ux", "_uy", "_uz")
-    x_key = [c for c in x.columns if c not in ("_bx", "_by", "_ux", "_uy", "_uz", *by)]
-    x = x.withColumn("x_cell", F.pmod(F.xxhash64(*x_key), F.col("_bx")).cast("int"))
-    x = x.withColumn("y_cell", F.explode(F.sequence(F.lit(0), F.col("_by") - 1)))
-    y = y.withColumn("y_cell", F.pmod(spread, F.col("_by")).cast("int"))
-    y = y.withColumn("x_cell", F.explode(F.sequence(F.lit(0), F.col("_bx") - 1)))
-    return x.drop("_bx", "_by"), y.drop("_bx", "_by")
-
-
 def nearest_join(
     starts: DataFrame,
     ends: DataFrame,
