@@ -60,3 +60,16 @@ def test_sums_through_cells_equal_all_pairs(spark, monkeypatch, decay, most):
         want = (w @ b.m.to_numpy()) / w.sum(axis=1)
         spread = (w @ np.abs(b.m.to_numpy())) / w.sum(axis=1)
         assert max(abs(got[i] - v) / s for i, v, s in zip(a.id, want, spread)) < 1e-9
+
+
+def test_a_block_meets_fewer_points_than_there_are(spark, monkeypatch):
+    met = []
+    rng = np.random.default_rng(2)
+    y = spark.createDataFrame(pd.DataFrame({"lon": rng.uniform(-120, -75, 20000), "lat": rng.uniform(25, 49, 20000), "pop": 1, "m": 1.0}))
+    x = spark.createDataFrame([(1, -100.0, 40.0), (2, -100.1, 40.0)], "id int, lon double, lat double")
+    kept = ks.stored
+    monkeypatch.setattr(ks, "stored", lambda df: met.append(kept(df)) or met[-1])
+    assert popdist_weighted_mean(x, y, ["m"], "id", y_block=32).count() == 2
+    uses = met[-1].where(F.col("stub").isNull()).count()
+    # All points would be 20000 / 32 cells; the tree gives a few a level.
+    assert 0 < uses < 400
