@@ -70,7 +70,7 @@ def _by_status(t: Tables, **options):
 def merge_distinct_exact(t: Tables):
     """Providers of two sources, those of both counted once."""
     sources, parts = _by_status(t)
-    pairs = [provider_pairs(s, "fips", 12, "frn") for s in sources]
+    pairs = [provider_pairs(s, "fips", 12, "frn", distinct=False) for s in sources]
     return merge_rollups(parts, "fips", means=[], pairs=pairs)
 
 

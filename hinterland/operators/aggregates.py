@@ -59,11 +59,15 @@ def rollup(
 
 
 def provider_pairs(
-    df: DataFrame, key: str, n_chars: int, provider: str, by: Sequence[str] = ()
+    df: DataFrame, key: str, n_chars: int, provider: str, by: Sequence[str] = (), distinct: bool = True,
 ) -> DataFrame:
-    """The exact state of a roll-up's distinct count: one row a key and provider."""
-    return df.where(F.col(provider).isNotNull()).select(
-        F.substring(key, 1, n_chars).alias(key), *by, provider).distinct()
+    """The exact state of a roll-up's distinct count: one row a key and provider.
+
+    ``distinct=False`` leaves that to a merge that follows at once: it makes the pairs of all sources
+    distinct in any case, and a task then holds them in one hash table, not in one a source and two more.
+    """
+    pairs = df.where(F.col(provider).isNotNull()).select(F.substring(key, 1, n_chars).alias(key), *by, provider)
+    return pairs.distinct() if distinct else pairs
 
 
 def merge_rollups(

@@ -167,3 +167,12 @@ def test_ratio_range(spark):
     df = spark.createDataFrame([(1.0, 2.0), (4.0, 4.0)], "u double, d double")
     got = {r["i"]: r["y"] for r in ratio_range(df, "u", "d", [0.0, 1.0, 2.0]).collect()}
     assert got == pytest.approx({0: 0.0, 1: 0.75, 2: 2.0})
+
+
+def test_pairs_of_merged_sources_are_hashed_once(spark, tables):
+    """A task holds one table of (area, provider) pairs, not one a source and more for their union."""
+    from hinterland.catalogue import QUERIES
+
+    plan = QUERIES["merge_distinct_exact"](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    keyed = [line for line in plan.split("Initial Plan")[0].splitlines() if "Aggregate(keys=[" in line and "frn" in line.split("]")[0]]
+    assert len(keyed) == 2  # before and after the shuffle
