@@ -7,7 +7,7 @@ make the nodes above, so a table of cells is a balanced tree without pointers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -155,40 +155,52 @@ def near_cells(starts: Cells, ends: Cells) -> DataFrame:
 def nearest_points(
     starts: Cells, ends: Cells, start_cols: Sequence[T.StructField], end_cols: Sequence[T.StructField],
 ) -> DataFrame:
-    """``(*by, start columns, end columns)``: for each start the ends of a cell that are as near as
-    the cell's nearest, from every cell that can hold the start's nearest end.
+    """``(*by, start columns, end columns)``: for each start its nearest ends.
 
-    A task compares the arrays of a pair of cells. Ends that differ in the last digits of the
-    chord are all returned, so that a more exact distance can decide.
+    A task holds the arrays of one cell of starts and meets the cells of ends near it one after the
+    other, so starts are shuffled once and no row holds a pair of cells. Ends that differ in the
+    last digits of the chord are all returned, so that a more exact distance can decide.
     """
-    by = starts.by
-    pairs = (
-        near_cells(starts, ends)
-        .join(starts.leaves.select(*by, F.col("cell").alias("s"), F.col("points").alias("starts")), [*by, "s"])
-        .join(ends.leaves.select(*by, F.col("cell").alias("e"), F.col("points").alias("ends")), [*by, "e"])
-        .select(*by, "bound", "starts", "ends"))
-    schema = T.StructType([*[pairs.schema[c] for c in by], *start_cols, *end_cols])
+    by, spark = starts.by, starts.leaves.sparkSession
+    near = near_cells(starts, ends).select(*by, "s", "e").join(
+        ends.leaves.select(*by, F.col("cell").alias("e"), F.col("points").alias("ends")), [*by, "e"]).drop("e")
+    own = starts.leaves.select(*by, F.col("cell").alias("s"), F.col("points").alias("starts"))
+    schema = T.StructType([*[own.schema[c] for c in by], *start_cols, *end_cols])
     names = schema.fieldNames()
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bounds = batch.column("bound").to_numpy()
-            for k in range(batch.num_rows):
-                s, e = batch.column("starts")[k].values, batch.column("ends")[k].values
-                gap = np.zeros((len(s), len(e)))
-                for a in _AXES:
-                    d = np.subtract.outer(s.field(a).to_numpy(), e.field(a).to_numpy())
-                    gap += d * d
-                best = gap.min(axis=1, keepdims=True)
-                best[best > bounds[k] * (1 + 1e-9) + 1e-15] = -1.0
-                i, j = np.nonzero(gap <= best * (1 + 1e-9) + 1e-15 * (best >= 0))
-                if not len(i):
-                    continue
-                own = pa.array(np.full(len(i), k))
-                i, j = pa.array(i), pa.array(j)
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).take(own) for c in by],
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        s = left.column("starts").combine_chunks().flatten()
+        cells_of_ends = [c[k].values for c in right.column("ends").chunks for k in range(len(c))] if len(s) else []
+        best, found = np.full(len(s), np.inf), []
+        for m, e in enumerate(cells_of_ends):
+            gap = np.zeros((len(s), len(e)))
+            for a in _AXES:
+                d = np.subtract.outer(s.field(a).to_numpy(), e.field(a).to_numpy())
+                gap += d * d
+            best = np.minimum(best, gap.min(axis=1))
+            i, j = np.nonzero(gap <= (best * (1 + 1e-9) + 1e-15)[:, None])
+            found.append((m, i, j, gap[i, j]))
+        taken = []
+        for m, i, j, gap in found:
+            last = gap <= best[i] * (1 + 1e-9) + 1e-15
+            if last.any():
+                i, j, e = pa.array(i[last]), pa.array(j[last]), cells_of_ends[m]
+                group = pa.array(np.zeros(len(i), np.int64))
+                taken.append(pa.Table.from_arrays(
+                    [*[left.column(c).combine_chunks().take(group) for c in by],
                      *[s.field(f.name).take(i) for f in start_cols],
-                     *[e.field(f.name).take(j) for f in end_cols]], names)
-
-    return pairs.mapInArrow(compare, schema)
+                     *[e.field(f.name).take(j) for f in end_cols]], names))
+        return pa.concat_tables(taken) if taken else pa.Table.from_arrays(
+            [pa.array([], left.schema.field(c).type) for c in by]
+            + [pa.array([], own_type(left, "starts", f.name)) for f in start_cols]
+            + [pa.array([], own_type(right, "ends", f.name)) for f in end_cols], names)
+
+    def own_type(table: pa.Table, column: str, name: str) -> pa.DataType:
+        return table.schema.field(column).type.value_type.field(name).type
+
+    key = [*by, "s"]
+    # An explicit count keeps AQE from merging cells that are small in bytes but long to compare.
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Fresh aliases keep the two sides apart, which share the cells of starts.
+    own, near = (side.select([F.col(c).alias(c) for c in side.columns]).repartition(n, *key) for side in (own, near))
+    return own.groupBy(*key).cogroup(near.groupBy(*key)).applyInArrow(compare, schema)

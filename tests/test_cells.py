@@ -108,3 +108,11 @@ def test_nothing_is_keyed_by_the_group_alone(spark):
     for k in keys:
         assert len([c for c in k.split(", ") if "#" in c]) >= 2, k
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_starts_are_shuffled_once_and_never_lie_beside_ends(spark):
+    starts, ends = (spark.createDataFrame(frame(spark, i, 300, 0.5, name)) for i, name in ((1, "sid"), (2, "eid")))
+    plan = nearest_join(starts, ends, "sid", "eid", ["g"], cell=16)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow [" not in plan
+    # One repartition of the starts, one of the cells of ends near them.
+    assert plan.count("REPARTITION_BY_NUM") == 2
