@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hinterland.operators.cells import cells, kd_code
+from hinterland.operators.cells import cells, kd_code, nearest_points
 from hinterland.operators.distance import nearest_join
 
 
@@ -116,3 +116,13 @@ def test_starts_are_shuffled_once_and_never_lie_beside_ends(spark):
     assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow [" not in plan
     # One repartition of the starts, one of the cells of ends near them.
     assert plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_a_start_gives_one_row_from_all_cells_it_meets(spark):
+    starts, ends = frame(spark, 1, 300, 0.0, "_start"), frame(spark, 2, 900, 0.0, "_end")
+    both = [spark.createDataFrame(d).withColumnsRenamed({"lon": f"_{c}lon", "lat": f"_{c}lat"})
+            for d, c in ((starts, "s"), (ends, "e"))]
+    cols = [["_start", "_slon", "_slat"], ["_end", "_elon", "_elat"]]
+    dealt = [cells(d, ["g"], c, c[1], c[2], 16) for d, c in zip(both, cols)]
+    rows = nearest_points(*dealt, *[[d.schema[c] for c in names] for d, names in zip(both, cols)])
+    assert rows.count() == 300
