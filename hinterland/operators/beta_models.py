@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hinterland.functions.special import digamma, lgamma, trigamma
+from hinterland.operators.beta_curves import BetaCurves, Outcomes
 from hinterland.operators.design import Moments, block_sums, matrix, moments, small_vector, vector
 from hinterland.operators.normal_models import REGION_PRIOR_SD, GroupLevel, Weights, make_draws
 from hinterland.sources.checkpoint import discard, stored
 
 BLOCK_ROWS = 2048  # rows of a block at most
+PASS_ROWS = 8192  # rows that a pass works on at once, at least, so that temporaries stay in cache
 
 
 def open_interval(design: DataFrame) -> DataFrame:
@@ -37,29 +38,6 @@ def outside_interval(design: DataFrame) -> DataFrame:
         F.count_if(F.col("y") <= 0).alias("low"), F.count_if(F.col("y") >= 1).alias("high"))
 
 
-def _scores(eta: np.ndarray, y: np.ndarray, phi: float):
-    """Log likelihood, and score and expected information in (eta, log phi) by row."""
-    mu = np.clip(1.0 / (1.0 + np.exp(-eta)), 1e-12, 1 - 1e-12)
-    slope = mu * (1.0 - mu)
-    a, b = mu * phi, (1.0 - mu) * phi
-    ly, l1 = np.log(y), np.log1p(-y)
-    da, db = digamma(a), digamma(b)
-    ta, tb = trigamma(a), trigamma(b)
-    loglik = lgamma(np.full(1, phi)) - lgamma(a) - lgamma(b) + (a - 1) * ly + (b - 1) * l1
-    g_eta = phi * slope * ((ly - l1) - (da - db))
-    g_phi = phi * (digamma(np.full(1, phi)) - mu * da - (1 - mu) * db + mu * ly + (1 - mu) * l1)
-    h_eta = (phi * slope) ** 2 * (ta + tb)
-    h_mix = phi * phi * slope * (mu * ta - (1 - mu) * tb)
-    h_phi = phi**2 * (mu**2 * ta + (1 - mu) ** 2 * tb - trigamma(np.full(1, phi)))
-    return loglik, g_eta, g_phi, h_eta, h_mix, h_phi
-
-
-def _logliks(eta: np.ndarray, y: np.ndarray, phi: float) -> np.ndarray:
-    mu = np.clip(1.0 / (1.0 + np.exp(-eta)), 1e-12, 1 - 1e-12)
-    a, b = mu * phi, (1.0 - mu) * phi
-    return lgamma(np.full(1, phi)) - lgamma(a) - lgamma(b) + (a - 1) * np.log(y) + (b - 1) * np.log1p(-y)
-
-
 def packed_rows(design: DataFrame, k: int, group: str | None = None) -> DataFrame:
     """Rows ``(group, y, x)`` as stored blocks ``(group, n, y array, x array)`` of at most
     ``BLOCK_ROWS`` rows of one group, near each other by group. A group with most of the rows is
@@ -93,18 +71,40 @@ def packed_rows(design: DataFrame, k: int, group: str | None = None) -> DataFram
 
 
 def _block_arrays(batch: pa.RecordBatch, k: int, mean: np.ndarray, scale: np.ndarray):
-    """Rows of each block, outcomes, and centred and scaled columns of a batch of blocks."""
+    """Rows of each block, outcomes, and the centred and scaled columns of a batch of blocks, each
+    column as a row below one of ones."""
     n = batch.column("n").to_numpy()
     y = batch.column("y").flatten().to_numpy(zero_copy_only=False)
-    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-    return n, y, (x - mean) / scale
+    x = np.ones((k + 1, len(y)))
+    np.subtract(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, k).T, mean[:, None], out=x[1:])
+    x[1:] /= scale[:, None]
+    return n, y, x
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A few blocks at a time, so that temporaries stay small."""
     for batch in batches:
-        for a in range(0, batch.num_rows, 32):
-            yield batch.slice(a, 32)
+        if not batch.num_rows:
+            continue
+        upto = np.cumsum(batch.column("n").to_numpy())
+        a = 0
+        while a < batch.num_rows:
+            b = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PASS_ROWS)) + 1
+            yield batch.slice(a, b - a)
+            a = b
+
+
+def _wide(jobs: Sequence[tuple[Sequence[int], np.ndarray]], k: int) -> np.ndarray:
+    """Coefficients ``(intercept, columns)`` of each fit on all columns, one row each."""
+    out = np.zeros((len(jobs), k + 1))
+    for i, (at, theta) in enumerate(jobs):
+        out[i, [0, *[c + 1 for c in at]]] = theta
+    return out
+
+
+def _chosen(x: np.ndarray, members: Sequence[Sequence[int]]) -> dict[tuple[int, ...], np.ndarray]:
+    """Ones and the columns of each distinct choice."""
+    return {at: x[[0, *[c + 1 for c in at]]] for at in dict.fromkeys(map(tuple, members))}
 
 
 @dataclass(frozen=True)
@@ -136,18 +136,21 @@ def score_sums(blocks: DataFrame, m: Moments, thetas: Mapping[str, tuple[Sequenc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(total)
+        curves = [BetaCurves(float(np.exp(theta[-1]))) for _, theta in thetas.values()]
+        choices = [tuple(at) for at, _ in thetas.values()]
+        wide = _wide([(at, theta[:-1]) for at, theta in thetas.values()], k)
         for batch in _slices(batches):
             _, y, x = _block_arrays(batch, k, mean, scale)
-            x = np.column_stack([np.ones(len(y)), x])
+            etas, seen, columns = wide @ x, Outcomes(y), _chosen(x, choices)
             parts = []
-            for at, theta in thetas.values():
-                own = x[:, [0, *[i + 1 for i in at]]]
-                ll, ge, gp, he, hm, hp = _scores(own @ theta[:-1], y, float(np.exp(theta[-1])))
-                h = np.zeros((len(theta), len(theta)))
-                h[:-1, :-1] = (own * he[:, None]).T @ own
-                h[:-1, -1] = h[-1, :-1] = own.T @ hm
-                h[-1, -1] = hp.sum()
-                parts += [[ll.sum()], own.T @ ge, [gp.sum()], h.ravel()]
+            for at, eta, curve in zip(choices, etas, curves):
+                own = columns[at]
+                ll, ge, gp, he, hm, hp = curve.scores(eta, seen)
+                h = np.zeros((len(own) + 1, len(own) + 1))
+                h[:-1, :-1] = (own * he) @ own.T
+                h[:-1, -1] = h[-1, :-1] = own @ hm
+                h[-1, -1] = hp
+                parts += [[ll], own @ ge, [gp], h.ravel()]
             out += np.concatenate(parts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(total, dtype=np.int32)), pa.array(out)], ["pos", "value"])
@@ -335,31 +338,40 @@ class _VaryingBatch:
         held = self.rows
         wide = max(len(o.at) for o in members) + 3  # score, information, cross terms with slopes and log phi
         columns = [f"v{i}" for i in range(wide)]
-        jobs = [(list(o.at), o.psi[:-1], float(np.exp(o.psi[-1]))) for o in members]
+        jobs = [(tuple(o.at), float(np.exp(o.psi[-1]))) for o in members]
+        slopes = _wide([(o.at, np.r_[0.0, o.psi[:-1]]) for o in members], k)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            totals = [np.zeros(1 + (len(at) + 1) * (len(at) + 2)) for at, _, _ in jobs]
+            totals = [np.zeros(1 + (len(at) + 1) * (len(at) + 2)) for at, _ in jobs]
+            curves = [BetaCurves(phi) for _, phi in jobs]
             kind = None
             for batch in _slices(batches):
                 n, y, x = _block_arrays(batch, k, mean, scale)
                 a = matrix(batch, "a_of", len(jobs))
                 groups, starts = held.runs(batch, n)
                 kind = groups.type
-                for v, (at, theta, phi) in enumerate(jobs):
-                    own, p = x[:, at], len(at) + 1
-                    eta = own @ theta + np.repeat(a[:, v], n)
-                    ll, ge, gp, he, hm, hp = _scores(eta, y, phi)
+                fixed, seen, choices = slopes @ x, Outcomes(y), _chosen(x, [at for at, _ in jobs])
+                values = np.zeros((len(jobs), len(starts), wide))
+                for v, ((at, _), curve) in enumerate(zip(jobs, curves)):
+                    own, p = choices[at], len(at) + 1
+                    ll, ge, gp, he, hm, hp = curve.scores(fixed[v] + np.repeat(a[:, v], n), seen)
+                    weighed = own * he
                     h = np.empty((p, p))
-                    h[:-1, :-1] = (own * he[:, None]).T @ own
-                    h[:-1, -1] = h[-1, :-1] = own.T @ hm
-                    h[-1, -1] = hp.sum()
-                    totals[v] += np.concatenate([[ll.sum()], own.T @ ge, [gp.sum()], h.ravel()])
-                    values = np.zeros((len(y), wide))
-                    values[:, 0], values[:, 1], values[:, 2], values[:, 3:3 + len(at)] = ge, he, hm, own * he[:, None]
-                    rows = np.add.reduceat(values, starts, axis=0)
-                    yield pa.RecordBatch.from_arrays(
-                        [groups, pa.array(np.full(len(rows), v, np.int32)), pa.array(np.full(len(rows), -1, np.int32)),
-                         *[pa.array(np.ascontiguousarray(c)) for c in rows.T]], [group, "v", "pos", *columns])
+                    h[:-1, :-1] = weighed[1:] @ own[1:].T
+                    h[:-1, -1] = h[-1, :-1] = own[1:] @ hm
+                    h[-1, -1] = hp
+                    totals[v] += np.concatenate([[ll], own[1:] @ ge, [gp], h.ravel()])
+                    rows = values[v]
+                    rows[:, 0], rows[:, 2] = np.add.reduceat(ge, starts), np.add.reduceat(hm, starts)
+                    by_run = np.add.reduceat(weighed, starts, axis=1)
+                    rows[:, 1], rows[:, 3:3 + len(at)] = by_run[0], by_run[1:].T
+                count = len(jobs) * len(starts)
+                yield pa.RecordBatch.from_arrays(
+                    [groups.take(pa.array(np.tile(np.arange(len(starts)), len(jobs)))),
+                     pa.array(np.repeat(np.arange(len(jobs), dtype=np.int32), len(starts))),
+                     pa.array(np.full(count, -1, np.int32)),
+                     *[pa.array(np.ascontiguousarray(c)) for c in values.reshape(count, wide).T]],
+                    [group, "v", "pos", *columns])
             if kind is None:
                 return
             for v, total in enumerate(totals):
@@ -465,21 +477,27 @@ class _VaryingBatch:
         k, mean, scale, group = self.m.k, self.m.mean[:-1], self.m.scale[:-1], self.group
         held = self.rows
         columns = [f"q{i}" for i in range(QUADRATURE)]
-        jobs = [(list(o.at), o.psi[:-1], float(np.exp(o.psi[-1]))) for o in members]
+        phis = [float(np.exp(o.psi[-1])) for o in members]
+        slopes = _wide([(o.at, np.r_[0.0, o.psi[:-1]]) for o in members], k)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            curves = [BetaCurves(phi) for phi in phis]
             for batch in _slices(batches):
                 n, y, x = _block_arrays(batch, k, mean, scale)
-                a, kappa = matrix(batch, "a_of", len(jobs)), matrix(batch, "kappa_of", len(jobs))
+                a, kappa = matrix(batch, "a_of", len(phis)), matrix(batch, "kappa_of", len(phis))
                 groups, starts = held.runs(batch, n)
-                for v, (at, theta, phi) in enumerate(jobs):
-                    fixed = x[:, at] @ theta
-                    places = a[:, v, None] + points * np.sqrt(2.0 / kappa[:, v, None])
-                    rows = [np.add.reduceat(_logliks(fixed + np.repeat(places[:, i], n), y, phi), starts)
-                            for i in range(QUADRATURE)]
-                    yield pa.RecordBatch.from_arrays(
-                        [groups, pa.array(np.full(len(starts), v, np.int32)), *map(pa.array, rows)],
-                        [group, "v", *columns])
+                fixed, seen = slopes @ x, Outcomes(y, starts)
+                first = np.searchsorted(np.cumsum(n), starts, side="right")  # a run's first block
+                values = np.empty((len(phis), len(starts), QUADRATURE))
+                for v, curve in enumerate(curves):
+                    shifts = points * np.sqrt(2.0 / kappa[first, v, None])
+                    values[v] = curve.shifted(fixed[v] + np.repeat(a[:, v], n), seen, shifts)
+                count = len(phis) * len(starts)
+                yield pa.RecordBatch.from_arrays(
+                    [groups.take(pa.array(np.tile(np.arange(len(starts)), len(phis)))),
+                     pa.array(np.repeat(np.arange(len(phis), dtype=np.int32), len(starts))),
+                     *[pa.array(np.ascontiguousarray(c)) for c in values.reshape(count, QUADRATURE).T]],
+                    [group, "v", *columns])
 
         schema = f"`{group}` {self.key_type}, v int, " + ", ".join(f"{c} double" for c in columns)
         found = self._by_group(state, ["a", "kappa"]).mapInArrow(run, schema).groupBy(group, "v").agg(
