@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import comb
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ def popdist_weighted_mean(
     lat: str = "lat",
     prefix: str | None = None,
     x_block: int = 1024,
-    y_block: int = 1024,
+    y_block: int = 256,
     partitions: int | None = None,
 ) -> DataFrame:
     """Population and inverse-distance weighted mean of every measure around each point.
@@ -61,16 +62,24 @@ def popdist_weighted_mean(
     n = partitions or max(spark.sparkContext.defaultParallelism, _shuffle_partitions(spark))
     power = float(decay)
 
-    def weight(w: np.ndarray) -> np.ndarray:
-        # From squared chord to metres along the sphere, then to weights, in place.
-        np.sqrt(w, out=w)
-        np.arcsin(np.minimum(np.multiply(w, 0.5, out=w), 1.0, out=w), out=w)
-        np.maximum(np.multiply(w, 2.0 * EARTH_RADIUS_M, out=w), min_dist, out=w)
-        if power == 2.0:
-            np.divide(1.0, np.multiply(w, w, out=w), out=w)
+    def weight(chord: np.ndarray, out: np.ndarray, most: float) -> np.ndarray:
+        # From squared chord to squared metres along the sphere, then to weights, in place.
+        terms = arc_terms(most)
+        if terms is None:
+            np.sqrt(chord, out=out)
+            np.arcsin(np.minimum(np.multiply(out, 0.5, out=out), 1.0, out=out), out=out)
+            np.multiply(np.multiply(out, out, out=out), (2.0 * EARTH_RADIUS_M) ** 2, out=out)
         else:
-            np.power(w, -power, out=w)
-        return w
+            out[...] = terms[-1] * EARTH_RADIUS_M**2
+            for c in terms[-2::-1]:
+                np.add(np.multiply(out, chord, out=out), c * EARTH_RADIUS_M**2, out=out)
+            np.multiply(out, chord, out=out)
+        np.maximum(out, min_dist**2, out=out)
+        if power == 2.0:
+            return np.divide(1.0, out, out=out)
+        if power == 1.0:
+            return np.divide(1.0, np.sqrt(out, out=out), out=out)
+        return np.power(out, -power / 2, out=out)
 
     partial = kernel_sums(
         cells(xs, by, [x_id], lon, lat, x_block).leaves, _with_vector(located, [*by, *sums], lon, lat),
@@ -91,6 +100,19 @@ def popdist_weighted_mean(
     )
 
 
+#: The squared arc is the sum of these times powers of the squared chord, from the first on.
+_ARC = [2.0 / (n * n * comb(2 * n, n)) for n in range(1, 40)]
+
+
+def arc_terms(most: float) -> list[float] | None:
+    """As many terms of the squared arc as squared chords up to ``most`` need for all digits; None
+    where these would take longer than an arcsine."""
+    for n in range(1, 17):
+        if _ARC[n] * most**n < 1e-16:
+            return _ARC[:n]
+    return None
+
+
 def _shuffle_partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

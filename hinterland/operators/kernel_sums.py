@@ -177,10 +177,10 @@ def _lowest(points: DataFrame, by: Sequence[str]) -> int:
 
 def kernel_sums(
     blocks: DataFrame, points: DataFrame, by: Sequence[str], charges: Sequence[str], id_field: T.StructField,
-    kernel: Callable[[np.ndarray], np.ndarray], near: float, few: int, partitions: int,
+    kernel: Callable[[np.ndarray, np.ndarray, float], np.ndarray], near: float, few: int, partitions: int,
 ) -> DataFrame:
-    """``(*by, id, charges)``: for each place the sums of ``kernel(squared chord) * charge`` over all
-    points of its group.
+    """``(*by, id, charges)``: for each place the sums of ``kernel * charge`` over all points of its
+    group. ``kernel(chord, out, most)`` writes the kernel of squared chords of at most ``most`` to ``out``.
 
     ``blocks`` are leaves of ``cells`` whose points hold the id; ``points`` has ``_ux, _uy, _uz`` and
     the charges. Cells of at most ``few`` points are met point by point. ``kernel`` must be smooth
@@ -258,21 +258,29 @@ def kernel_sums(
         places = left.column("points").combine_chunks().flatten()
         xyz = np.column_stack([places.field(a).to_numpy() for a in _XYZ]) if len(places) else np.empty((0, 3))
         total = np.zeros((len(xyz), len(charges)))
-        for part in right.column("data").chunks if len(xyz) else ():
-            rest = part.flatten().to_numpy().reshape(-1, width)
+        if len(xyz):
+            rest = right.column("data").combine_chunks().flatten().to_numpy().reshape(-1, width)
+            # Points of like distance come together, so that near ones take few terms of the kernel.
+            centre = (xyz.min(axis=0) + xyz.max(axis=0)) / 2
+            reach = np.sqrt(((xyz - centre) ** 2).sum(axis=1).max())
+            away = np.sqrt(((rest[:, :3] - centre) ** 2).sum(axis=1))
+            order = np.argsort(away)
             for j in range(0, len(rest), 8192):
-                axes, parts = np.ascontiguousarray(rest[j : j + 8192, :3].T), np.ascontiguousarray(rest[j : j + 8192, 3:])
+                some = order[j : j + 8192]
+                axes, parts = np.ascontiguousarray(rest[some, :3].T), rest[some, 3:]
+                most = float(away[some[-1]] + reach) ** 2
                 step = max(1, scratch // len(parts))
                 gap, w = np.empty((step, len(parts))), np.empty((step, len(parts)))
                 for i in range(0, len(xyz), step):
                     here = xyz[i : i + step]
                     g, c = gap[: len(here)], w[: len(here)]
-                    c[:] = 0.0
-                    for axis in range(3):
+                    np.subtract(here[:, 0, None], axes[0], out=c)
+                    np.multiply(c, c, out=c)
+                    for axis in (1, 2):
                         np.subtract(here[:, axis, None], axes[axis], out=g)
                         np.multiply(g, g, out=g)
                         np.add(c, g, out=c)
-                    total[i : i + step] += kernel(c) @ parts
+                    total[i : i + step] += kernel(c, g, most) @ parts
         ids = places.field(id_field.name)
         first = pa.array(np.zeros(len(xyz), np.int64))
         return pa.Table.from_arrays([

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hinterland.operators import kernel_sums as ks
-from hinterland.operators.distance import popdist_weighted_mean
+from hinterland.operators.distance import arc_terms, popdist_weighted_mean
 
 
 def unit(lon, lat):
@@ -73,3 +73,40 @@ def test_a_block_meets_fewer_points_than_there_are(spark, monkeypatch):
     uses = met[-1].where(F.col("stub").isNull()).count()
     # All points would be 20000 / 32 cells; the tree gives a few a level.
     assert 0 < uses < 400
+
+
+def test_the_squared_arc_is_a_short_series():
+    chord = np.array([0.0, 1e-14, 1e-6, 0.01, 0.3, 0.9])
+    for most, longest in ((1e-14, 2), (0.01, 7), (0.3, 14), (0.9, 20)):
+        terms = arc_terms(most)
+        assert terms is None or len(terms) <= longest
+        q = chord[chord <= most]
+        if terms is not None:
+            got = sum(c * q ** (n + 1) for n, c in enumerate(terms))
+            assert got == pytest.approx((2 * np.arcsin(np.sqrt(q) / 2)) ** 2, rel=1e-14, abs=1e-40)
+    assert arc_terms(0.3) and arc_terms(4.0) is None
+
+
+@pytest.mark.parametrize("decay", [1.0, 2.0, 3.5])
+def test_weights_hold_at_all_distances(spark, decay):
+    """Places at the floor, near ones by the series, and the other end of the globe."""
+    lon = [0.0, 1e-6, 1e-3, 0.5, 20.0, 90.0, 179.0, -179.9]
+    y = pd.DataFrame({"lon": lon, "lat": [0.0] * len(lon), "pop": 1, "m": np.arange(8.0) ** 2})
+    got = popdist_weighted_mean(spark.createDataFrame([(1, 2e-6, 0.0)], "id int, lon double, lat double"),
+                                spark.createDataFrame(y), ["m"], "id", decay=decay, prefix="w_").first().w_m
+    w = weights(unit(np.array([2e-6]), np.array([0.0])), unit(y.lon.to_numpy(), y.lat.to_numpy()), decay)[0]
+    assert got == pytest.approx(w @ y.m / w.sum(), rel=1e-9)
+
+
+def test_a_block_meets_few_points_with_the_usual_sizes(spark, monkeypatch):
+    met = []
+    rng = np.random.default_rng(2)
+    y = spark.createDataFrame(pd.DataFrame({"lon": rng.uniform(-120, -75, 40000), "lat": rng.uniform(25, 49, 40000), "pop": 1, "m": 1.0}))
+    x = spark.createDataFrame([(1, -100.0, 40.0), (2, -100.1, 40.0)], "id int, lon double, lat double")
+    kept = ks.stored
+    monkeypatch.setattr(ks, "stored", lambda df: met.append(kept(df)) or met[-1])
+    assert popdist_weighted_mean(x, y, ["m"], "id").count() == 2
+    _, tree, hits = met
+    points = hits.join(tree, ["root", "node"]).agg(F.sum(F.size("data")) / 5).first()[0]
+    # 36,144 when cells of up to 1,024 areas were met one by one.
+    assert 0 < points < 30000
